@@ -89,7 +89,7 @@ def _list(kind: str, items: Column) -> Column:
 
 def draft_document() -> Column:
     """Document tree of a draft, from the joined columns of build_drafts."""
-    found = F.size(F.coalesce("similar_bugs", F.array().cast("array<struct<key:string>>"))) > 0
+    found = F.coalesce(F.size("similar_bugs"), F.lit(0)) > 0
     lines = F.transform(
         "similar_bugs",
         lambda m: F.format_string("%s (%s, sim=%.2f): %s", m["key"], m["priority"], m["similarity"], m["summary"]),

@@ -1,6 +1,12 @@
 """Queries over the test tables."""
 
-from faultline.plans import queries_extraction  # noqa: F401
+from faultline.plans import (  # noqa: F401
+    queries_decisions,
+    queries_extraction,
+    queries_mining,
+    queries_retrieval,
+    queries_tickets,
+)
 from faultline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

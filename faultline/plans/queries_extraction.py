@@ -109,15 +109,6 @@ DESCRIPTION = f""", d1 AS (SELECT report_id, string_split(t, chr(10)) AS ls FROM
 TITLED = f", ti AS (SELECT *, {TITLE} AS title FROM r), co AS (SELECT *, lower(t || ' ' || title) AS c FROM ti)"
 
 
-def _field(name: str, column: Column) -> DataFrame:
-    def run(spark, sf):
-        texts = s.reports(spark, sf).select("report_id", t.strip(F.col("raw_text")).alias("t"))
-        return texts.select("report_id", column.alias(name))
-
-    return run
-
-
-_T = F.col
 for _name, _id, _make, _sql in [
     ("reporter_email", "x_reporter_email", lambda c: x.reporter_email(c), EMAIL),
     ("reporter_name", "x_reporter_name", lambda c: x.reporter_name(c), NAME),
@@ -297,18 +288,22 @@ def issue_training_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", src.training_text(summary, F.col("text")).alias("text"))
 
 
-_TREE = F.to_json(F.struct(
-    F.lit("doc").alias("type"),
-    F.transform(F.split("text", "\n"), lambda line: F.struct(
-        F.lit("paragraph").alias("type"),
-        F.array(F.struct(F.lit("text").alias("type"), line.alias("text")), F.struct(F.lit("text").alias("type"), F.lit("").alias("text"))).alias("content"),
-    )).alias("content"),
-))
+def _tree() -> Column:
+    """A document whose lines are paragraphs, each with an empty second text."""
+
+    def node(line: Column) -> Column:
+        return F.struct(F.lit("text").alias("type"), line.alias("text"))
+
+    paragraphs = F.transform(
+        F.split("text", "\n"),
+        lambda line: F.struct(F.lit("paragraph").alias("type"), F.array(node(line), node(F.lit(""))).alias("content")),
+    )
+    return F.to_json(F.struct(F.lit("doc").alias("type"), paragraphs.alias("content")))
 
 
 @query("doc_tree_text", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: l <> ''), ' ') AS text FROM documents")
 def doc_tree_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", src.doc_tree_text(_TREE).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", src.doc_tree_text(_tree()).alias("text"))
 
 
 @query("ticket_search_text", f"SELECT doc_id, concat_ws(chr(10), nullif({sql_strip('source')}, ''), nullif({sql_strip('text')}, '')) AS text FROM documents")

@@ -12,20 +12,21 @@ _FOLDER = r"([^/]+)/[^/]+$"
 _NAME = r"([^/]+)$"
 
 
-def attachments(spark: SparkSession, path: str) -> DataFrame:
-    """Image and video files below ``path``; only file metadata is read."""
+def media_files(files: DataFrame) -> DataFrame:
+    """Image and video files of a listing with a ``path``: ``kind`` and folder added."""
     suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     kind = F.when(suffix.isin(lx.IMAGE_SUFFIXES), "image").when(suffix.isin(lx.VIDEO_SUFFIXES), "video")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "modificationTime", "length", kind.alias("kind"))
-        .filter(F.col("kind").isNotNull())
-        .withColumn("label", F.regexp_extract("path", _FOLDER, 1))
+    return files.withColumns({"kind": kind, "label": F.regexp_extract("path", _FOLDER, 1)}).filter(
+        F.col("kind").isNotNull()
     )
 
 
+def attachments(spark: SparkSession, path: str) -> DataFrame:
+    """Image and video files below ``path``; only file metadata is read."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return media_files(listing.select("path", "modificationTime", "length"))
+
+
 def report_files(spark: SparkSession, path: str) -> DataFrame:
     """``report_id, raw_text, attachments`` from text files and report folders.
 

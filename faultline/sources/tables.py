@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
@@ -57,9 +57,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def repos_by_team(repos: DataFrame, team: str = "team", name: str = "name") -> DataFrame:
-    return repos.groupBy(team).agg(
-        F.array_sort(F.collect_set(name)).alias("repos"), F.count("*").alias("n_repos")
-    )
+    """Repositories numbered within their team, in order of name."""
+    order = Window.partitionBy(team).orderBy(name)
+    return repos.select(team, name).withColumn("place", F.row_number().over(order))
+
+
+def repos_for_team(repos: DataFrame, team: str) -> DataFrame:
+    return repos.filter(F.col("team") == team)
 
 
 # --- outputs -----------------------------------------------------------------
