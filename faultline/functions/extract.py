@@ -2,6 +2,9 @@
 
 Java flags used below: ``d`` makes only a line feed a line end, ``U`` makes
 classes such as ``\\w`` and ``\\s`` cover all of Unicode.
+
+Every function takes the lower-case text as ``low`` if the caller has it. A
+substring search in it rules out most rows before a pattern runs.
 """
 
 from __future__ import annotations
@@ -22,19 +25,27 @@ _STEPS_MENTION = r"(?i)steps?\s*(to\s*)?(reproduce|repro)"
 _NAME = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"
 
 
-def reporter_email(text: Column) -> Column:
+def _has(text: Column, low: Column | None, *phrases: str) -> Column:
+    return t.contains_any(F.lower(text) if low is None else low, phrases)
+
+
+def reporter_email(text: Column, low: Column | None = None) -> Column:
     """Address inside the first ``From:`` line."""
-    header = F.regexp_extract(text, r"(?imdU)^From:\s*(.+)$", 1)
+    header = F.when(_has(text, low, "from:"), F.regexp_extract(text, r"(?imdU)^From:\s*(.+)$", 1))
     return t.first_match(header, r"(?U)[\w.+\-]+@[\w.\-]+\.\w+", 0)
 
 
 def reporter_name(text: Column, email: Column | None = None) -> Column:
     """Display name, else a bare ``From:`` name, else a signature, else the address."""
     email = reporter_email(text) if email is None else email
-    display = t.first_match(text, r'(?mdU)^\s*From:\s*"?([^"<\n]+?)"?\s*<[^>]+>\s*$')
-    bare = t.first_match(text, r"(?mdU)^\s*From:\s*([^\n<]+?)\s*$")
-    signed = t.first_match(text, rf"(?mdU)(?:Regards|Thanks|Cheers|Best)[,\s]*\n\s*({_NAME})")
-    dashed = t.first_match(text, rf"(?mdU)^-\s*({_NAME})\s*$")
+    mail = F.when(text.contains("From:"), text)
+    display = t.first_match(mail, r'(?mdU)^\s*From:\s*"?([^"<\n]+?)"?\s*<[^>]+>\s*$')
+    bare = t.first_match(mail, r"(?mdU)^\s*From:\s*([^\n<]+?)\s*$")
+    closings = ["Regards", "Thanks", "Cheers", "Best"]
+    closed = F.when(t.contains_any(text, closings), text)
+    signed = t.first_match(closed, rf"(?mdU)(?:{'|'.join(closings)})[,\s]*\n\s*({_NAME})")
+    dash = F.when(text.startswith("-") | text.contains("\n-"), text)
+    dashed = t.first_match(dash, rf"(?mdU)^-\s*({_NAME})\s*$")
     parts = F.filter(F.split(F.split_part(email, F.lit("@"), F.lit(1)), "[._]"), lambda p: p != "")
     spelled = F.array_join(
         F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substr(p, F.lit(2))))),
@@ -61,9 +72,11 @@ def title(
     text: Column,
     rules: Sequence[tuple[str, Sequence[str]]] = lx.MODULE_RULES,
     product: str = "App",
+    low: Column | None = None,
 ) -> Column:
     """Subject without reply marks and tags, led by a module tag."""
     tag = f"[{product}]"
+    named = _has(text, low, "subject:") & text.rlike(r"(?imd)^Subject:")
     raw = F.regexp_extract(text, r"(?imd)^Subject:(.*)$", 1)
     subject = t.strip(F.regexp_replace(t.strip(raw), r"(?iU)^(Re|Fwd|FW):\s*", ""))
     subject = t.strip(
@@ -78,16 +91,16 @@ def title(
         F.try_element_at(body, F.lit(1)),
         lambda line: F.concat(module_prefix(line, rules, tag), F.lit(": "), F.left(t.strip(line), F.lit(80))),
     )
-    return F.when(text.rlike(r"(?imd)^Subject:"), tagged).otherwise(
+    return F.when(named, tagged).otherwise(
         F.coalesce(fallback, F.lit(f"{tag}: Bug report"))
     )
 
 
-def platform(text: Column) -> Column:
+def platform(text: Column, low: Column | None = None) -> Column:
     mentions = F.array_compact(
         F.array(
             *[
-                F.when(text.rlike(rf"(?iU)\b{name}\b"), F.lit(name))
+                F.when(_has(text, low, name.lower()) & text.rlike(rf"(?iU)\b{name}\b"), F.lit(name))
                 for name in ("Android", "iOS", "Web")
             ]
         )
@@ -102,17 +115,20 @@ def platform(text: Column) -> Column:
             .when(value.contains("web"), "Web")
         )
 
-    value = F.lower(F.regexp_extract(text, r"(?idU)Platform:\s*([\w,/ ]+)", 1))
+    value = F.when(
+        _has(text, low, "platform:"), F.lower(F.regexp_extract(text, r"(?idU)Platform:\s*([\w,/ ]+)", 1))
+    )
     return F.coalesce(
         t.let(value, labelled), t.blank_to_null(F.array_join(mentions, ", ")), F.lit("Unknown")
     )
 
 
-def version(text: Column) -> Column:
+def version(text: Column, low: Column | None = None) -> Column:
+    named = F.when(_has(text, low, "version"), text)
     return F.coalesce(
-        t.first_match(text, r"(?iU)(?:App\s*Version|Version):\s*v?(\d+\.\d+(?:\.\d+)?)"),
-        t.first_match(text, r"(?iU)\bv(\d+\.\d+\.\d+)\b"),
-        t.first_match(text, r"(?iU)\bversion\s+(\d+\.\d+(?:\.\d+)?)\b"),
+        t.first_match(named, r"(?iU)(?:App\s*Version|Version):\s*v?(\d+\.\d+(?:\.\d+)?)"),
+        t.first_match(text, r"(?U)\b[vV](\d+\.\d+\.\d+)\b"),
+        t.first_match(named, r"(?iU)\bversion\s+(\d+\.\d+(?:\.\d+)?)\b"),
     )
 
 
@@ -123,21 +139,25 @@ def _run_of_items(lines: Column, item: str) -> Column:
     return F.transform(kept, lambda x: t.strip(F.regexp_replace(x, item, "")))
 
 
-def steps(text: Column) -> Column:
+def steps(text: Column, low: Column | None = None) -> Column:
     """Numbered or bulleted steps below a steps label; else numbered lines after a mention."""
+    named = F.when(_has(text, low, "step"), text)
     block = F.regexp_extract(
-        text,
+        named,
         r"(?idU)(?:Steps to Reproduce|Steps|Reproduction Steps)[:\s]*\n([\s\S]+?)(?=\n\s*\n\s*[A-Z]|\z)",
         1,
     )
     labelled = _run_of_items(F.transform(t.lines(block), t.strip), _ITEM)
-    after = t.drop_until(t.lines(text), lambda x: x.rlike(_STEPS_MENTION))
+    after = t.drop_until(t.lines(named), lambda x: x.rlike(_STEPS_MENTION))
     after = F.filter(after, lambda x: ~x.rlike(_STEPS_MENTION))
     mentioned = _run_of_items(F.transform(after, t.strip), _NUMBERED)
-    return t.let(labelled, lambda found: F.when(F.size(found) > 0, found).otherwise(mentioned))
+    either = t.let(labelled, lambda found: F.when(F.size(found) > 0, found).otherwise(mentioned))
+    return F.coalesce(either, F.array().cast("array<string>"))
 
 
-def labelled_field(text: Column, labels: Sequence[str], default: str = lx.NOT_PROVIDED) -> Column:
+def labelled_field(
+    text: Column, labels: Sequence[str], default: str = lx.NOT_PROVIDED, low: Column | None = None
+) -> Column:
     """Value behind the first label that has one, up to a blank line or the next label."""
     padded = F.concat(text, F.lit("\n\n"))
     values = [
@@ -145,7 +165,7 @@ def labelled_field(text: Column, labels: Sequence[str], default: str = lx.NOT_PR
             t.strip(
                 F.regexp_replace(
                     F.regexp_extract(
-                        padded,
+                        F.when(_has(text, low, label.lower()), padded),
                         rf"(?idU)(?:^|\n)\**\s*{label}(?:\s+Result)?\s*[:\*]+\s*\**\n?"
                         r"([\s\S]+?)(?=\n\s*\n|\n\s*(?:Actual|Expected|Impact|Environment|Repro|Steps|Regards|Thanks|$))",
                         1,
@@ -166,6 +186,7 @@ def component(
     rules: Sequence[tuple[str, Sequence[str]]] = lx.COMPONENT_RULES,
     word_rules: Sequence[tuple[str, Sequence[str]]] = lx.COMPONENT_WORD_RULES,
     default: str = lx.CATCH_ALL,
+    low: Column | None = None,
 ) -> Column:
     """First rule with a phrase in the text or title; word rules match whole words."""
     words = {label: entries for label, entries in word_rules}
@@ -175,14 +196,15 @@ def component(
         for label, phrases in rules:
             hit = t.contains_any(corpus, phrases)
             for word in words.get(label, []):
-                hit = hit | corpus.rlike(rf"(?U)\b{word}\b")
+                hit = hit | t.found(corpus, rf"\b{word}\b")
             out = F.when(hit, label) if out is None else out.when(hit, label)
         return F.lit(default) if out is None else out.otherwise(default)
 
-    return t.let(F.lower(F.concat(text, F.lit(" "), title_)), ladder)
+    low = F.lower(text) if low is None else low
+    return t.let(F.concat(low, F.lit(" "), F.lower(title_)), ladder)
 
 
-def reproducibility(text: Column) -> Column:
+def reproducibility(text: Column, low: Column | None = None) -> Column:
     def labelled(value: Column) -> Column:
         percent = F.regexp_extract(value, r"(?U)~?(\d+)%", 1)
         return (
@@ -195,13 +217,15 @@ def reproducibility(text: Column) -> Column:
     def mentioned(low: Column) -> Column:
         sure = ["100% reproducible", "every single time", "100% consistent", "every time", "always"]
         return (
-            F.when(t.contains_any(low, sure) | low.rlike(r"(?U)\b100%\b"), "100%")
+            F.when(t.contains_any(low, sure) | t.found(low, r"\b100%\b"), "100%")
             .when(low.contains("intermittent"), "intermittent")
             .otherwise("unknown")
         )
 
-    value = F.lower(t.strip(F.regexp_extract(text, r"(?idU)Reproducibility[:\s]+(.+?)(?:\.|$|\n)", 1)))
-    return F.coalesce(t.let(value, labelled), t.let(F.lower(text), mentioned))
+    pattern = r"(?idU)Reproducibility[:\s]+(.+?)(?:\.|$|\n)"
+    value = F.when(_has(text, low, "reproducibility"), F.lower(t.strip(F.regexp_extract(text, pattern, 1))))
+    low = F.lower(text) if low is None else low
+    return F.coalesce(t.let(value, labelled), t.let(low, mentioned))
 
 
 def description(text: Column, skip_greeting: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -11,9 +12,16 @@ from pyspark.sql import functions as F
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
+# Every character that counts as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def lines(c: Column) -> Column:
@@ -54,10 +62,26 @@ def first_rule(c: Column, rules: Sequence[tuple[str, Sequence[str]]], default: s
     return let(c, ladder)
 
 
+def required_literal(pattern: str) -> str:
+    """The longest piece of plain text every match of ``pattern`` holds, or ''."""
+    plain = re.sub(r"\\[a-zA-Z]|\[[^\]]*\]|\([^)]*\)|.(?=[?*{])", "\0", pattern)
+    if "|" in plain or "(" in plain:
+        return ""
+    return max(re.split(r"[\0.^$*+?{}\\]+", plain), key=len)
+
+
+def found(c: Column, pattern: str) -> Column:
+    """``c`` matches ``pattern``; a plain substring search rules most rows out first."""
+    literal = required_literal(pattern)
+    matches = c.rlike(f"(?U){pattern}")
+    return c.contains(literal) & matches if literal else matches
+
+
 def hits(c: Column, patterns: Sequence[str], regex: bool = True) -> Column:
     """Patterns found in ``c``, in list order. Each pattern is a literal, compiled once."""
-    found = [F.when(c.rlike(f"(?U){p}") if regex else c.contains(p), F.lit(p)) for p in patterns]
-    return F.array_compact(F.array(*found))
+    return F.array_compact(
+        F.array(*[F.when(found(c, p) if regex else c.contains(p), F.lit(p)) for p in patterns])
+    )
 
 
 def drop_until(items: Column, test: Callable[[Column], Column]) -> Column:

@@ -22,23 +22,26 @@ def parse_reports(
     skip_greeting: bool = False,
 ) -> DataFrame:
     """``report_id, raw_text`` to one column per field of a report."""
-    body = F.col("_text")
-    staged = reports.withColumn("_text", t.strip(F.col("raw_text")))
+    body, low = F.col("_text"), F.col("_low")
+    staged = reports.withColumn("_text", t.strip(F.col("raw_text"))).withColumn("_low", F.lower("_text"))
     staged = staged.withColumns(
-        {"reporter_email": x.reporter_email(body), "title": x.title(body, module_rules, product)}
+        {
+            "reporter_email": x.reporter_email(body, low),
+            "title": x.title(body, module_rules, product, low),
+        }
     )
     return staged.select(
         "report_id",
         "title",
         x.description(body, skip_greeting).alias("description"),
-        x.steps(body).alias("steps_to_reproduce"),
-        x.labelled_field(body, ["Expected Result", "Expected"]).alias("expected_result"),
-        x.labelled_field(body, ["Actual Result", "Actual"]).alias("actual_result"),
-        x.labelled_field(body, ["Impact"]).alias("impact"),
-        x.platform(body).alias("platform"),
-        x.version(body).alias("app_version"),
-        x.component(body, F.col("title"), component_rules).alias("component_hint"),
-        x.reproducibility(body).alias("reproducibility"),
+        x.steps(body, low).alias("steps_to_reproduce"),
+        x.labelled_field(body, ["Expected Result", "Expected"], low=low).alias("expected_result"),
+        x.labelled_field(body, ["Actual Result", "Actual"], low=low).alias("actual_result"),
+        x.labelled_field(body, ["Impact"], low=low).alias("impact"),
+        x.platform(body, low).alias("platform"),
+        x.version(body, low).alias("app_version"),
+        x.component(body, F.col("title"), component_rules, low=low).alias("component_hint"),
+        x.reproducibility(body, low).alias("reproducibility"),
         "reporter_email",
         x.reporter_name(body, F.col("reporter_email")).alias("reporter_name"),
         "raw_text",

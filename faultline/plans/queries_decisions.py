@@ -11,6 +11,7 @@ from faultline.plans import standins as s
 from faultline.plans.queries_extraction import CORPUS, PARSED, hits_sql, parsed
 from faultline.plans.queries_retrieval import counts_sql, tfidf_ctes
 from faultline.plans.registry import q, query, sql_case, table
+from faultline.session import materialise
 
 _NN = s.PAIRS_CTE.format(k=5)
 _M = s.MATCHES_CTE.format(k=5)
@@ -284,7 +285,8 @@ def summarised_matches(spark, sf) -> DataFrame:
 
 
 def scored(spark, sf) -> DataFrame:
-    return priority.score_priority(parsed(spark, sf), summarised_matches(spark, sf))
+    reports = materialise(parsed(spark, sf), "parsed")  # read by two branches
+    return priority.score_priority(reports, summarised_matches(spark, sf))
 
 
 @query("score_priority", f"{_SCORED} SELECT report_id, priority, {sql_case('priority', lx.PRIORITY_ID)} AS priority_id, {sql_case('priority', lx.SEVERITY)} AS severity, scoring_path FROM sc1")

@@ -11,7 +11,7 @@ from faultline.plans import queries_decisions as dec
 from faultline.plans import standins as s
 from faultline.plans.queries_extraction import EMAIL, NAME, BASE, PLATFORM, parsed
 from faultline.plans.registry import q, query, sql_case, sql_list, sql_strip, table
-from faultline.session import fresh_path
+from faultline.session import fresh_path, materialise
 from faultline.sources import issues as src
 from faultline.sources import reports as rep
 from faultline.sources import tables
@@ -376,7 +376,8 @@ def reporter_display(spark, sf):
 
 def _drafts(spark, sf) -> DataFrame:
     p = parsed(spark, sf).withColumn("component_hint", F.concat(F.lit("NATION_"), (F.col("report_id") % 30).cast("string")))
-    m = dec.summarised_matches(spark, sf)
+    p = materialise(p, "parsed")
+    m = materialise(dec.summarised_matches(spark, sf), "matches")
     from faultline.operators.priority import score_priority
 
     dups = m.filter(F.col("rank") == 1).select(
