@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from faultline.session import materialise
 
 SLACK = 1e-6  # covers float32 storage when bounds are compared
+PIVOTS = 16
 DECIMALS = 6  # similarities are ranked after rounding, ties by key
 
 
@@ -52,6 +53,14 @@ def _sparse(idx: pd.Series, w: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+def _times(idx: pd.Series, w: pd.Series, matrix: np.ndarray) -> np.ndarray:
+    """Sparse rows times the rows of ``matrix``, without building dense rows."""
+    out = np.zeros((len(idx), len(matrix)))
+    for i, (cols, weights) in enumerate(zip(idx, w)):
+        out[i] = matrix[:, cols] @ weights
+    return out
+
+
 def _rows_of(column: pa.Array, i: int):
     """Flat values and row offsets of the i-th packed list of lists."""
     lists = column[i].values
@@ -118,6 +127,47 @@ def _multiply(
             )
 
 
+# --- copies -------------------------------------------------------------------
+
+
+def _many_copies(rows: DataFrame, features: list[str]) -> bool:
+    """Whether equal vectors are a noticeable part of the rows."""
+    n, distinct = rows.agg(
+        F.count("*"), F.approx_count_distinct(F.xxhash64(*features), 0.02)
+    ).first()
+    return distinct < 0.95 * n
+
+
+def _first_copies(corpus: DataFrame, features: list[str], keep: int) -> DataFrame:
+    """At most ``keep`` rows of equal vectors, lowest keys first.
+
+    Equal vectors tie for every query and ties go to the lower key, so the
+    others can never be among the best. The limit is applied before the
+    shuffle, so a vector that fills a third of the table is no hot group.
+    """
+    copies = Window.partitionBy("hash", *features).orderBy("key")
+    ranked = corpus.withColumn("hash", F.xxhash64(*features)).withColumn("copy", F.row_number().over(copies))
+    return ranked.filter(F.col("copy") <= keep).drop("hash", "copy")
+
+
+def _per_distinct_query(queries: DataFrame, features: list[str], join: Callable) -> DataFrame:
+    """``join`` for one query of each set of equal ones, its result given to all of them."""
+    hashed = queries.select("query_id", *features).withColumn("hash", F.xxhash64(*features))
+    speakers = materialise(
+        hashed.groupBy("hash", *features).agg(F.min("query_id").alias("speaker")), "speakers"
+    )
+    members = hashed.join(speakers, ["hash", *features]).select("query_id", "speaker")
+    found = join(speakers.select(F.col("speaker").alias("query_id"), *features))
+    return members.join(found.withColumnRenamed("query_id", "speaker"), "speaker").select(
+        "query_id", "key", "similarity"
+    )
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 # --- the join -----------------------------------------------------------------
 
 
@@ -180,16 +230,18 @@ def _join_blocks(
     arrow = pa.schema(
         [("query_id", _arrow_type(id_type)), ("key", _arrow_type(key_type)), ("similarity", pa.float64())]
     )
-    found = packed_queries.join(packed_corpus, "block").mapInArrow(
+    return packed_queries.join(packed_corpus, "block").mapInArrow(
         partial(_multiply, scorer=scorer, k=k, floor=floor, exclude_self=exclude_self, schema=arrow), out
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _pivots(corpus: DataFrame, n: int) -> pd.DataFrame:
-    """A fixed number of corpus rows, spread by a hash of the key."""
-    return corpus.orderBy(F.md5(F.col("key").cast("string")), "key").limit(n).toPandas()
+def sample_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """A fixed number of rows, the same on every run, spread by a hash of the key.
+
+    The keys are chosen from the key column alone; only the chosen rows are read.
+    """
+    chosen = rows.select(key).orderBy(F.md5(F.col(key).cast("string")), key).limit(n).collect()
+    return rows.filter(F.col(key).isin([r[key] for r in chosen])).orderBy(key).limit(n)
 
 
 def _empty(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -198,13 +250,23 @@ def _empty(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
+def _answer(queries: DataFrame, features: list[str], join: Callable, k: int, exclude_self: bool) -> DataFrame:
+    """Top k per query; equal queries are answered once."""
+    if not _many_copies(queries, features):
+        return _ranked(join(queries, k, exclude_self), k)
+    found = _per_distinct_query(
+        queries, features, lambda speakers: join(speakers, k + 1 if exclude_self else k, False)
+    )
+    return _ranked(found.filter(F.col("query_id") != F.col("key")) if exclude_self else found, k)
+
+
 def topk_dense(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
     min_similarity: float | None = None,
     exclude_self: bool = False,
-    pivots: int = 16,
+    pivots: int = PIVOTS,
     block_rows: int = 4096,
     chunk_rows: int = 1024,
 ) -> DataFrame:
@@ -214,7 +276,11 @@ def topk_dense(
     angles: no member of a cell is closer to the query than the angle to the
     pivot minus the cell's radius.
     """
-    picked = _pivots(corpus.select("key", "vec"), pivots)
+    wanted = k + 1 if exclude_self else k
+    corpus = corpus.select("key", "vec")
+    if _many_copies(corpus, ["vec"]):
+        corpus = _first_copies(corpus, ["vec"], wanted)
+    picked = sample_by_hash(corpus, "key", pivots).toPandas()
     if picked.empty:
         return _empty(queries, corpus)
     centre = _dense(picked["vec"])
@@ -227,9 +293,9 @@ def topk_dense(
     assigned = materialise(
         corpus.select("key", "vec", assign("vec").alias("a")).select("key", "vec", "a.cell", "a.near"), "cells"
     )
-    stats = {r["cell"]: r for r in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect()}
+    per_cell = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near"))
+    stats = {r["cell"]: r for r in per_cell.collect()}
     radius = np.array([np.arccos(np.clip(stats[c]["near"], -1, 1)) if c in stats else 0.0 for c in range(len(centre))])
-    wanted = k + 1 if exclude_self else k
 
     @F.pandas_udf("array<int>")
     def reach(vec: pd.Series) -> pd.Series:
@@ -237,11 +303,14 @@ def topk_dense(
         bounds = np.cos(np.clip(np.arccos(np.clip(sims, -1, 1)) - radius, 0, None))
         return pd.Series(_reachable(sims, bounds, wanted, min_similarity))
 
-    return _join_blocks(
-        queries.select("query_id", "vec", reach("vec").alias("cells")),
-        assigned, ["vec"], {c: r["n"] for c, r in stats.items()}, len(centre),
-        _dense_scores, k, min_similarity, exclude_self, block_rows, chunk_rows,
-    )
+    def join(asked: DataFrame, best: int, skip: bool) -> DataFrame:
+        return _join_blocks(
+            asked.select("query_id", "vec", reach("vec").alias("cells")),
+            assigned, ["vec"], {c: r["n"] for c, r in stats.items()}, len(centre),
+            _dense_scores, best, min_similarity, skip, block_rows, chunk_rows,
+        )
+
+    return _answer(queries, ["vec"], join, k, exclude_self)
 
 
 def topk_sparse(
@@ -251,46 +320,51 @@ def topk_sparse(
     width: int,
     min_similarity: float | None = None,
     exclude_self: bool = False,
-    pivots: int = 16,
+    pivots: int = PIVOTS,
     block_rows: int = 1024,
     chunk_rows: int = 256,
 ) -> DataFrame:
     """Top k for sparse unit vectors ``(id, idx array<int>, w array<double>)``.
 
     ``width`` bounds the vocabulary. Cells are pruned by the product of the
-    query with the largest weight of each term inside the cell.
+    query with the largest weight of each term inside the cell. Both sides are
+    read several times and should be written tables.
     """
-    corpus = materialise(corpus.select("key", "idx", "w"), "vectors")
-    picked = _pivots(corpus, pivots)
+    wanted = k + 1 if exclude_self else k
+    corpus = corpus.select("key", "idx", "w")
+    if _many_copies(corpus, ["idx", "w"]):
+        corpus = _first_copies(corpus, ["idx", "w"], wanted)
+    picked = sample_by_hash(corpus, "key", pivots).toPandas()
     if picked.empty:
         return _empty(queries, corpus)
     centre = _sparse(picked["idx"], picked["w"], width)
 
     @F.pandas_udf("int")
     def assign(idx: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series((_sparse(idx, w, width) @ centre.T).argmax(axis=1).astype(np.int32))
+        return pd.Series(_times(idx, w, centre).argmax(axis=1).astype(np.int32))
 
     assigned = corpus.withColumn("cell", assign("idx", "w"))
-    sizes = {r["cell"]: r["count"] for r in assigned.groupBy("cell").count().collect()}
     top = (
-        assigned.select("cell", F.explode(F.arrays_zip("idx", "w")).alias("e"))
+        assigned.select("cell", F.posexplode(F.arrays_zip("idx", "w")).alias("pos", "e"))
         .groupBy("cell", "e.idx")
-        .agg(F.max("e.w").alias("w"))
+        .agg(F.max("e.w").alias("w"), F.count_if(F.col("pos") == 0).alias("rows"))
         .toPandas()
     )
+    sizes = top.groupby("cell")["rows"].sum().to_dict()
     ceiling = np.zeros((len(centre), width))
     ceiling[top["cell"], top["idx"]] = top["w"]
     shared = queries.sparkSession.sparkContext.broadcast((centre, ceiling))
-    wanted = k + 1 if exclude_self else k
 
     @F.pandas_udf("array<int>")
     def reach(idx: pd.Series, w: pd.Series) -> pd.Series:
         near, most = shared.value
-        q = _sparse(idx, w, width)
-        return pd.Series(_reachable(q @ near.T, q @ most.T, wanted, min_similarity))
+        return pd.Series(_reachable(_times(idx, w, near), _times(idx, w, most), wanted, min_similarity))
 
-    return _join_blocks(
-        queries.select("query_id", "idx", "w", reach("idx", "w").alias("cells")),
-        assigned, ["idx", "w"], sizes, len(centre),
-        _sparse_scores, k, min_similarity, exclude_self, block_rows, chunk_rows,
-    )
+    def join(asked: DataFrame, best: int, skip: bool) -> DataFrame:
+        return _join_blocks(
+            asked.select("query_id", "idx", "w", reach("idx", "w").alias("cells")),
+            assigned, ["idx", "w"], sizes, len(centre),
+            _sparse_scores, best, min_similarity, skip, block_rows, chunk_rows,
+        )
+
+    return _answer(queries, ["idx", "w"], join, k, exclude_self)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
@@ -13,10 +13,8 @@ from faultline.operators.blockjoin import topk_sparse
 from faultline.session import materialise
 
 
-def term_counts(
-    docs: DataFrame, stop_words: Sequence[str] = lx.STOP_WORDS, bigrams: bool = True
-) -> DataFrame:
-    """``doc_id, text`` to ``doc_id, term, tf``.
+def _terms(docs: DataFrame, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
+    """One row per term occurrence.
 
     The texts are shuffled by document once; all later grouping by document
     reuses that partitioning instead of shuffling the far larger term rows.
@@ -27,7 +25,26 @@ def term_counts(
         .repartition("doc_id")
         .select("doc_id", t.words(F.col("text"), stop_words).alias("words"))
         .select("doc_id", F.explode(t.with_bigrams(words) if bigrams else words).alias("term"))
-        .groupBy("doc_id", "term")
+    )
+
+
+def term_counts(
+    docs: DataFrame, stop_words: Sequence[str] = lx.STOP_WORDS, bigrams: bool = True
+) -> DataFrame:
+    """``doc_id, text`` to ``doc_id, term, tf``."""
+    return _terms(docs, stop_words, bigrams).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def known_counts(docs: DataFrame, vocab: DataFrame, stop_words: Sequence[str] = lx.STOP_WORDS) -> DataFrame:
+    """Counts of vocabulary terms only: ``doc_id, term_id, idf, tf``.
+
+    Other terms, most of all rare pairs of words, drop out before anything is
+    grouped. The vocabulary has a fixed bound, so it may be broadcast.
+    """
+    return (
+        _terms(docs, stop_words)
+        .join(F.broadcast(vocab.select("term", "term_id", "idf")), "term")
+        .groupBy("doc_id", "term_id", "idf")
         .agg(F.count("*").alias("tf"))
     )
 
@@ -54,13 +71,16 @@ def vocabulary(counts: DataFrame, docs: DataFrame, max_features: int = lx.TFIDF_
     )
 
 
-def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def _raw_weight() -> Column:
+    return (1 + F.log("tf")) * F.col("idf")
+
+
+def weights(docs: DataFrame, vocab: DataFrame, stop_words: Sequence[str] = lx.STOP_WORDS) -> DataFrame:
     """``doc_id, term, term_id, weight`` with rows of unit length per document."""
-    raw = counts.join(F.broadcast(vocab), "term").select(
-        "doc_id", "term", "term_id", ((1 + F.log("tf")) * F.col("idf")).alias("raw")
-    )
+    raw = known_counts(docs, vocab, stop_words).select("doc_id", "term_id", _raw_weight().alias("raw"))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
-    return raw.withColumn("weight", F.col("raw") / length).drop("raw")
+    scaled = raw.withColumn("weight", F.col("raw") / length).drop("raw")
+    return scaled.join(F.broadcast(vocab.select("term_id", "term")), "term_id")
 
 
 def tfidf_fit(
@@ -69,27 +89,23 @@ def tfidf_fit(
     max_features: int = lx.TFIDF_MAX_FEATURES,
 ) -> tuple[DataFrame, DataFrame]:
     """Long-form weights and the vocabulary of a corpus."""
-    counts = term_counts(docs, stop_words)
-    vocab = vocabulary(counts, docs, max_features)
-    return weights(counts, vocab), vocab
+    vocab = materialise(vocabulary(term_counts(docs, stop_words), docs, max_features), "vocab")
+    return weights(docs, vocab, stop_words), vocab
 
 
 def vectors(docs: DataFrame, vocab: DataFrame, stop_words: Sequence[str] = lx.STOP_WORDS) -> DataFrame:
-    """``doc_id, idx, w``: one unit vector per document; empty without known terms."""
-    counts = term_counts(docs, stop_words).join(F.broadcast(vocab), "term")
-    raw = counts.select("doc_id", "term_id", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    return (
-        raw.groupBy("doc_id")
-        .agg(
-            F.collect_list(F.struct("term_id", "raw")).alias("e"),
-            F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"),
-        )
-        .select(
-            "doc_id",
-            F.col("e.term_id").alias("idx"),
-            F.transform("e", lambda e: e["raw"] / F.col("length")).alias("w"),
-        )
+    """``doc_id, idx, w``: one unit vector per document with known terms.
+
+    Entries are in order of term and summed in that order, so equal texts have
+    equal vectors to the last bit.
+    """
+    entry = F.struct("term_id", _raw_weight().alias("raw"))
+    packed = known_counts(docs, vocab, stop_words).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(entry)).alias("e")
     )
+    square = F.aggregate("e", F.lit(0.0), lambda acc, e: acc + e["raw"] * e["raw"])
+    scaled = t.let(F.sqrt(square), lambda n: F.transform("e", lambda e: e["raw"] / n))
+    return packed.select("doc_id", F.col("e.term_id").alias("idx"), scaled.alias("w"))
 
 
 def tfidf_matches(
@@ -113,7 +129,8 @@ def tfidf_matches(
     asked = vectors(queries.withColumnRenamed("query_id", "doc_id"), vocab, stop_words)
     ranked = topk_sparse(
         materialise(asked.withColumnRenamed("doc_id", "query_id"), "queries"),
-        corpus, k, max_features, exclude_self=exclude_self,
+        materialise(corpus, "corpus"),
+        k, max_features, exclude_self=exclude_self,
     ).filter(F.col("similarity") > 0)
     ranked = materialise(ranked, "ranked")
     matches = ranked.filter(F.col("similarity") >= similar).withColumn(

@@ -38,6 +38,13 @@ def test_dense_is_exact(spark, floor, skip):
     assert result(got) == brute(ids, vectors, ids, vectors, 4, floor, skip)
 
 
+def test_copies_are_detected_and_collapsed(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, float(i)]) for i in range(300)], "key BIGINT, vec ARRAY<DOUBLE>")
+    assert blockjoin._many_copies(df, ["vec"])
+    kept = blockjoin._first_copies(df, ["vec"], 4)
+    assert kept.count() == 100 + 4 and kept.filter("vec[0] = 1").agg(F.max("key")).first()[0] == 5
+
+
 def test_dense_prunes_cells():
     near = np.array([[0.99, 0.1]])
     assert [c.tolist() for c in blockjoin._reachable(near, np.array([[1.0, 0.2]]), 1, None)] == [[0]]
