@@ -141,7 +141,7 @@ def predict_component_lr(spark, sf):
     return _rounded(_lr(spark, sf)).select("query_id", "component", "confidence", "method", "fell_back")
 
 
-@query("embed_text")
+@query("embed_text", "SELECT doc_id, 1.0::DOUBLE AS norm FROM documents")
 def embed_text(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     vec = classify.embed_text(docs, classify.fit_encoder(docs, 1024))
@@ -268,7 +268,7 @@ _STEPS = [
     ("vague", "'P3'", "'L1-vague'"),
     ("len(p3) > 0", "'P3'", "'L1-keyword: ' || p3[1]"),
 ]
-_SCORED = f"""{PARSED}{CORPUS}, {_TEMPLATE}, {_FACTS}, {_M}, {_VOTE},
+SCORED = f"""{PARSED}{CORPUS}, {_TEMPLATE}, {_FACTS}, {_M}, {_VOTE},
  joined AS (SELECT p.report_id, impact, reproducibility, length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) < 350 AND len(steps) = 0 AS vague, f.* EXCLUDE (report_id),
    template_tier, template_score, vote, coalesce(m.similarity >= 0.80, false) AS dup, m.priority AS tp, CAST(m.key AS VARCHAR) AS tkey
    FROM parsed p JOIN facts f USING (report_id) JOIN tpl USING (report_id) LEFT JOIN vote ON vote.query_id = p.report_id LEFT JOIN (SELECT * FROM matches WHERE rank = 1) m ON m.query_id = p.report_id),
@@ -289,7 +289,7 @@ def scored(spark, sf) -> DataFrame:
     return priority.score_priority(reports, summarised_matches(spark, sf))
 
 
-@query("score_priority", f"{_SCORED} SELECT report_id, priority, {sql_case('priority', lx.PRIORITY_ID)} AS priority_id, {sql_case('priority', lx.SEVERITY)} AS severity, scoring_path FROM sc1")
+@query("score_priority", f"{SCORED} SELECT report_id, priority, {sql_case('priority', lx.PRIORITY_ID)} AS priority_id, {sql_case('priority', lx.SEVERITY)} AS severity, scoring_path FROM sc1")
 def score_priority(spark, sf):
     return scored(spark, sf).drop("justification")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline import lexicons as lx
 from faultline.operators import extraction, mining
 from faultline.plans import standins as s
+from faultline.plans.queries_extraction import PARSED
 from faultline.plans.registry import q, query, sql_case, sql_list, table
 from faultline.session import fresh_path
 from faultline.streaming import streams
@@ -128,12 +129,28 @@ def recent_n(spark, sf):
     return mining.recent_n(commits).select("repo", "id", "place")
 
 
-@query("repo_summary")
+@query("repo_summary", f"""WITH {_SYMBOLS}, sym AS (SELECT repo, top_dir, kind, name FROM java UNION ALL SELECT repo, top_dir, kind, name FROM py),
+ routes AS (SELECT DISTINCT repo, upper(regexp_extract(line, '{_SPRING}', 1)) AS verb, trim(regexp_extract(line, '{_SPRING}', 2)) AS route, 1 AS side FROM lines WHERE ends_with(path, '.java') AND regexp_matches(line, '{_SPRING}')
+   UNION ALL SELECT DISTINCT repo, CASE WHEN regexp_extract(line, '{_PYROUTE}', 1) = 'route' THEN 'ANY' ELSE upper(regexp_extract(line, '{_PYROUTE}', 1)) END, trim(regexp_extract(line, '{_PYROUTE}', 2)), 2 FROM lines WHERE ends_with(path, '.py') AND regexp_matches(line, '{_PYROUTE}'))
+ SELECT source AS repo, min(lang) AS team, (SELECT count(*) FROM vis v WHERE v.repo = source AND {_SOURCE}) AS n_source_files,
+   (SELECT count(*) FROM files f WHERE f.repo = source AND path IN ({sql_list(list(lx.BUILD_FILES))}))::INT AS n_build_files,
+   (SELECT least(8, count(DISTINCT suffix)) FROM vis v WHERE v.repo = source AND {_SOURCE})::INT AS n_languages,
+   (SELECT least(15, count(DISTINCT top_dir)) FROM vis v WHERE v.repo = source AND top_dir IS NOT NULL)::INT AS n_modules,
+   (SELECT count(*) FROM (SELECT DISTINCT repo, top_dir, kind, repo || (name IN (SELECT name FROM java)) FROM java UNION ALL SELECT DISTINCT repo, top_dir, kind, 'py' FROM py) k WHERE k.repo = source)::INT AS n_symbol_groups,
+   (SELECT least(40, count(*)) FROM routes r WHERE r.repo = source)::INT AS n_routes
+ FROM documents GROUP BY source""")
 def repo_summary(spark, sf):
     files = s.repo_files(spark, sf).select("repo", "path", "content")
     manifest = table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.min("lang").alias("team"))
     out = mining.repo_summary(files, manifest)
-    return out.select("repo", "team", "n_source_files", F.to_json(F.struct("stack_files", "languages", "modules", "symbols", "routes", "config_files")).alias("summary"))
+
+    def length(name):
+        return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+
+    return out.select(
+        "repo", "team", F.coalesce("n_source_files", F.lit(0)).alias("n_source_files"), length("stack_files").alias("n_build_files"),
+        length("languages").alias("n_languages"), length("modules").alias("n_modules"), length("symbols").alias("n_symbol_groups"), length("routes").alias("n_routes"),
+    )
 
 
 # --- streams: the same results as in batch ---------------------------------------------------
@@ -170,7 +187,7 @@ def stream_status_transitions(spark, sf):
         F.count("*").alias("n"), F.min(F.col("valid").cast("int")).alias("valid"))
 
 
-@query("stream_triage")
+@query("stream_triage", f"{PARSED} SELECT report_id, title, component_hint, reproducibility FROM parsed")
 def stream_triage(spark, sf):
     out, source = fresh_path(spark, "triage"), fresh_path(spark, "mails")
     s.reports(spark, sf).write.parquet(source)

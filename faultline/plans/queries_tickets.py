@@ -9,7 +9,7 @@ from faultline import lexicons as lx
 from faultline.operators import classify, drafts, quality, routing, tickets
 from faultline.plans import queries_decisions as dec
 from faultline.plans import standins as s
-from faultline.plans.queries_extraction import EMAIL, NAME, BASE, PLATFORM, parsed
+from faultline.plans.queries_extraction import BASE, EMAIL, NAME, PARSED, PLATFORM, parsed
 from faultline.plans.registry import q, query, sql_case, sql_list, sql_strip, table
 from faultline.session import fresh_path, materialise
 from faultline.sources import issues as src
@@ -289,7 +289,7 @@ def add_missing_column(spark, sf):
     return tickets.add_missing_column(s.tickets(spark, sf), "reporter", "string").select("key", "reporter")
 
 
-@query("backfill_missing")
+@query("backfill_missing", "SELECT doc_id AS key, 64 AS dim FROM documents")
 def backfill_missing(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("summary"), F.col("text").alias("description"))
     vec = s.index(spark, sf).select("key", F.col("vec"))
@@ -386,20 +386,43 @@ def _drafts(spark, sf) -> DataFrame:
     return drafts.build_drafts(p, score_priority(p, m), m, owners, dups, _dim(spark, sf))
 
 
-@query("build_drafts")
+_DRAFTED = f"""{dec.SCORED}, own AS (SELECT query_id, assignee, count(*) AS n, min(rank) AS fr FROM matches WHERE coalesce(assignee, '') <> '' GROUP BY 1, 2),
+ owner AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, fr) AS p FROM own) WHERE p = 1),
+ cnt AS (SELECT query_id, count(*) AS n_similar, string_agg(CAST(key AS VARCHAR), ',' ORDER BY rank) AS similar_keys FROM matches GROUP BY query_id),
+ drafted AS (SELECT p.report_id, p.title, sc1.priority, sc1.scoring_path, d.component, coalesce(d.team, 'bugs') AS team, o.assignee AS owner, CASE WHEN m.similarity >= 0.38 THEN CAST(m.key AS VARCHAR) END AS duplicate_of,
+   coalesce(c.n_similar, 0) AS n_similar, c.similar_keys, p.platform, p.steps, p.reporter_name, p.reporter_email, p.description
+   FROM parsed p JOIN sc1 USING (report_id) LEFT JOIN ({_DIM}) d ON d.component = 'NATION_' || (p.report_id % 30) LEFT JOIN owner o ON o.query_id = p.report_id
+   LEFT JOIN cnt c ON c.query_id = p.report_id LEFT JOIN (SELECT * FROM matches WHERE rank = 1) m ON m.query_id = p.report_id)"""
+
+
+@query("build_drafts", f"""{_DRAFTED} SELECT report_id, title AS summary, {sql_case('priority', lx.PRIORITY_ID)} AS priority_id, scoring_path, component, team, owner, duplicate_of, similar_keys,
+  array_to_string(list_filter(['triage', CASE WHEN team <> 'bugs' THEN replace(lower(team), '_', '-') END, CASE WHEN contains(lower(platform), 'android') THEN 'android' END,
+    CASE WHEN contains(lower(platform), 'ios') THEN 'ios' END], lambda l: l IS NOT NULL), ',') AS labels FROM drafted""")
 def build_drafts(spark, sf):
     d = _drafts(spark, sf)
-    return d.select("report_id", "display_summary", F.to_json("fields").alias("fields"), F.to_json("triage_notes").alias("triage_notes"))
+    keys = F.transform("triage_notes.similar_bugs", lambda m: m["key"])
+    return d.select(
+        "report_id", "fields.summary", F.col("fields.priority.id").alias("priority_id"),
+        F.col("triage_notes.priority_scoring_path").alias("scoring_path"), F.get("fields.components", F.lit(0))["name"].alias("component"),
+        "triage_notes.team", F.col("fields.suggested_assignee").alias("owner"), F.col("fields.duplicate_candidate").alias("duplicate_of"),
+        F.array_join(keys, ",").alias("similar_keys"), F.array_join("fields.labels", ",").alias("labels"),
+    )
 
 
-@query("draft_document")
+@query("draft_document", f"""{_DRAFTED} SELECT report_id, 'doc' AS type, 14 + CASE WHEN n_similar > 0 THEN 2 + (duplicate_of IS NOT NULL)::INT ELSE 0 END
+    + CASE WHEN reporter_name IS NOT NULL OR reporter_email IS NOT NULL THEN 2 ELSE 0 END AS sections, description, greatest(1, len(steps))::INT AS n_steps FROM drafted""")
 def draft_document(spark, sf):
     d = _drafts(spark, sf).select("report_id", F.col("fields.description").alias("doc"))
     return d.select(
-        "report_id", F.get_json_object("doc", "$.type").alias("type"), F.json_array_length(F.get_json_object("doc", "$.content")).alias("sections"))
+        "report_id",
+        F.get_json_object("doc", "$.type").alias("type"),
+        F.json_array_length(F.get_json_object("doc", "$.content")).alias("sections"),
+        F.get_json_object("doc", "$.content[2].content[0].text").alias("description"),
+        F.json_array_length(F.get_json_object("doc", "$.content[6].content")).alias("n_steps"),
+    )
 
 
-@query("sink_drafts")
+@query("sink_drafts", f"{PARSED} SELECT report_id, title AS display_summary FROM parsed")
 def sink_drafts(spark, sf):
     path = fresh_path(spark, "drafts")
     tables.write_drafts(_drafts(spark, sf), path, _now())
