@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
@@ -26,20 +26,30 @@ from pyspark.sql import types as T
 from faultline.session import materialise
 
 SLACK = 1e-6  # covers float32 storage when bounds are compared
-PIVOTS = 16
 DECIMALS = 6  # similarities are ranked after rounding, ties by key
 
 
 # --- inside tasks -------------------------------------------------------------
 
 
-def _reachable(to_pivots: np.ndarray, bounds: np.ndarray, k: int, floor: float | None) -> list:
-    """Cells per query whose bound reaches the k-th best similarity known so far."""
+def _reachable(
+    to_pivots: np.ndarray, bounds: np.ndarray, k: int, floor: float | None, probes: int | None = None
+) -> list:
+    """Cells per query whose bound reaches the k-th best similarity known so far.
+
+    With ``probes`` only the most promising of them, which is no longer exact.
+    """
     n = to_pivots.shape[1]
     known = np.partition(to_pivots, n - k, axis=1)[:, n - k] if n >= k else np.full(len(to_pivots), -np.inf)
     if floor is not None:
         known = np.maximum(known, floor)
-    return [np.flatnonzero(row >= low - SLACK).astype(np.int32) for row, low in zip(bounds, known)]
+    out = []
+    for row, near, low in zip(bounds, to_pivots, known):
+        cells = np.flatnonzero(row >= low - SLACK)
+        if probes is not None and len(cells) > probes:
+            cells = np.sort(cells[np.argsort(-near[cells], kind="stable")[:probes]])
+        out.append(cells.astype(np.int32))
+    return out
 
 
 def _dense(values) -> np.ndarray:
@@ -130,12 +140,17 @@ def _multiply(
 # --- copies -------------------------------------------------------------------
 
 
-def _many_copies(rows: DataFrame, features: list[str]) -> bool:
-    """Whether equal vectors are a noticeable part of the rows."""
+def _size_and_copies(rows: DataFrame, features: list[str]) -> tuple[int, bool]:
+    """Number of rows, and whether equal vectors are a noticeable part of them."""
     n, distinct = rows.agg(
         F.count("*"), F.approx_count_distinct(F.xxhash64(*features), 0.02)
     ).first()
-    return distinct < 0.95 * n
+    return n, distinct < 0.95 * n
+
+
+def _cells_for(n: int, most: int) -> int:
+    """More cells for larger tables, never more than ``most``."""
+    return min(most, max(16, isqrt(n) // 8))
 
 
 def _first_copies(corpus: DataFrame, features: list[str], keep: int) -> DataFrame:
@@ -191,7 +206,9 @@ def _join_blocks(
     """``queries(query_id, cells, features)`` with ``corpus(key, cell, features)``."""
     split = [ceil(sizes.get(c, 0) / block_rows) for c in range(cells)]
     first = np.concatenate([[0], np.cumsum(split)]).tolist()
-    chunks = max(1, ceil(queries.count() / chunk_rows))
+    asked = queries.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
+    per_cell = {r["cell"]: r["count"] for r in asked}
+    chunks = F.array(*[F.lit(max(1, ceil(per_cell.get(c, 0) / chunk_rows))) for c in range(cells)])
     n_split = F.array(*[F.lit(n) for n in split])
     n_first = F.array(*[F.lit(n) for n in first])
 
@@ -207,15 +224,12 @@ def _join_blocks(
         .agg(F.collect_list(F.struct("key", *features)).alias("c"))
         .select("block", F.col("c.key").alias("c_id"), *[F.col(f"c.{f}").alias(f"c_{f}") for f in features])
     )
-    blocks = F.flatten(
-        F.transform(
-            F.filter("cells", lambda c: F.get(n_split, c) > 0),
-            lambda c: F.sequence(F.get(n_first, c), F.get(n_first, c) + F.get(n_split, c) - 1),
-        )
-    )
+    cell = F.col("cell")
+    sent = queries.select("query_id", *features, F.explode("cells").alias("cell")).filter(F.get(n_split, cell) > 0)
+    blocks = F.sequence(F.get(n_first, cell), F.get(n_first, cell) + F.get(n_split, cell) - 1)
     packed_queries = (
-        queries.select("query_id", *features, F.explode(blocks).alias("block"))
-        .groupBy("block", spread("query_id", F.lit(chunks)).alias("chunk"))
+        sent.select("query_id", *features, "cell", F.explode(blocks).alias("block"))
+        .groupBy("block", spread("query_id", F.get(chunks, cell)).alias("chunk"))
         .agg(F.collect_list(F.struct("query_id", *features)).alias("q"))
         .select("block", F.col("q.query_id").alias("q_id"), *[F.col(f"q.{f}").alias(f"q_{f}") for f in features])
     )
@@ -252,7 +266,7 @@ def _empty(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def _answer(queries: DataFrame, features: list[str], join: Callable, k: int, exclude_self: bool) -> DataFrame:
     """Top k per query; equal queries are answered once."""
-    if not _many_copies(queries, features):
+    if not _size_and_copies(queries, features)[1]:
         return _ranked(join(queries, k, exclude_self), k)
     found = _per_distinct_query(
         queries, features, lambda speakers: join(speakers, k + 1 if exclude_self else k, False)
@@ -266,21 +280,24 @@ def topk_dense(
     k: int,
     min_similarity: float | None = None,
     exclude_self: bool = False,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = 4096,
     chunk_rows: int = 1024,
+    probes: int | None = None,
 ) -> DataFrame:
     """Top k of ``corpus(key, vec)`` for each row of ``queries(query_id, vec)``.
 
     Vectors have length one. Cells are pruned by the triangle inequality on
     angles: no member of a cell is closer to the query than the angle to the
-    pivot minus the cell's radius.
+    pivot minus the cell's radius. ``probes`` limits the cells a query visits
+    and makes the join approximate.
     """
     wanted = k + 1 if exclude_self else k
     corpus = corpus.select("key", "vec")
-    if _many_copies(corpus, ["vec"]):
+    size, copied = _size_and_copies(corpus, ["vec"])
+    if copied:
         corpus = _first_copies(corpus, ["vec"], wanted)
-    picked = sample_by_hash(corpus, "key", pivots).toPandas()
+    picked = sample_by_hash(corpus, "key", pivots or _cells_for(size, 1024)).toPandas()
     if picked.empty:
         return _empty(queries, corpus)
     centre = _dense(picked["vec"])
@@ -301,7 +318,7 @@ def topk_dense(
     def reach(vec: pd.Series) -> pd.Series:
         sims = _dense(vec) @ centre.T
         bounds = np.cos(np.clip(np.arccos(np.clip(sims, -1, 1)) - radius, 0, None))
-        return pd.Series(_reachable(sims, bounds, wanted, min_similarity))
+        return pd.Series(_reachable(sims, bounds, wanted, min_similarity, probes))
 
     def join(asked: DataFrame, best: int, skip: bool) -> DataFrame:
         return _join_blocks(
@@ -320,7 +337,7 @@ def topk_sparse(
     width: int,
     min_similarity: float | None = None,
     exclude_self: bool = False,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     block_rows: int = 1024,
     chunk_rows: int = 256,
 ) -> DataFrame:
@@ -332,9 +349,10 @@ def topk_sparse(
     """
     wanted = k + 1 if exclude_self else k
     corpus = corpus.select("key", "idx", "w")
-    if _many_copies(corpus, ["idx", "w"]):
+    size, copied = _size_and_copies(corpus, ["idx", "w"])
+    if copied:
         corpus = _first_copies(corpus, ["idx", "w"], wanted)
-    picked = sample_by_hash(corpus, "key", pivots).toPandas()
+    picked = sample_by_hash(corpus, "key", pivots or _cells_for(size, 256)).toPandas()
     if picked.empty:
         return _empty(queries, corpus)
     centre = _sparse(picked["idx"], picked["w"], width)

@@ -151,29 +151,17 @@ def top_match(matches: DataFrame) -> DataFrame:
     )
 
 
-def lsh_join(
-    queries: DataFrame, index: DataFrame, min_similarity: float, bucket: float = 1.0, tables: int = 6, seed: int = 7
+def approximate_join(
+    queries: DataFrame, index: DataFrame, k: int = lx.RECALL_K, probes: int = 4, min_similarity: float | None = None
 ) -> DataFrame:
-    """Approximate join of unit vectors above ``min_similarity`` by random projections.
+    """Top k among the ``probes`` nearest cells of a query.
 
-    For unit vectors the squared distance is ``2 - 2 cos``, so the similarity
-    threshold becomes a distance threshold.
+    Locality hashing by nearest pivot. Work per query does not grow with the
+    number of cells, and a crowded cell is split into blocks instead of being
+    paired with itself. Every similarity reported is exact; matches in cells
+    not visited are missed.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    left = queries.select("query_id", array_to_vector("vec").alias("features"))
-    right = index.select("key", array_to_vector("vec").alias("features"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(right)
-    reach = (2 - 2 * min_similarity) ** 0.5
-    near = lsh.approxSimilarityJoin(left, right, reach, distCol="distance")
-    return near.select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.key").alias("key"),
-        (1 - F.col("distance") * F.col("distance") / 2).alias("similarity"),
-    )
+    return topk_dense(queries, index, k, min_similarity=min_similarity, probes=probes)
 
 
 def cached_matches(matches: DataFrame) -> DataFrame:

@@ -214,8 +214,8 @@ def dup_candidate_flag(spark, sf):
 
 @query("lsh_sim_join")
 def lsh_sim_join(spark, sf):
-    found = retrieval.lsh_join(_queries(spark, sf), s.index(spark, sf), 0.4)
-    return found.filter(F.col("query_id") != F.col("key")).select("query_id", "key", F.round("similarity", 6).alias("similarity"))
+    found = retrieval.approximate_join(_queries(spark, sf), s.index(spark, sf), k=30, probes=6, min_similarity=0.3)
+    return found.select("query_id", "key", "similarity")
 
 
 # --- duplicates ---------------------------------------------------------------------------

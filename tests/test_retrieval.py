@@ -40,7 +40,7 @@ def test_dense_is_exact(spark, floor, skip):
 
 def test_copies_are_detected_and_collapsed(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, float(i)]) for i in range(300)], "key BIGINT, vec ARRAY<DOUBLE>")
-    assert blockjoin._many_copies(df, ["vec"])
+    assert blockjoin._size_and_copies(df, ["vec"]) == (300, True)
     kept = blockjoin._first_copies(df, ["vec"], 4)
     assert kept.count() == 100 + 4 and kept.filter("vec[0] = 1").agg(F.max("key")).first()[0] == 5
 
@@ -48,6 +48,8 @@ def test_copies_are_detected_and_collapsed(spark):
 def test_dense_prunes_cells():
     near = np.array([[0.99, 0.1]])
     assert [c.tolist() for c in blockjoin._reachable(near, np.array([[1.0, 0.2]]), 1, None)] == [[0]]
+    assert [c.tolist() for c in blockjoin._reachable(near, np.array([[1.0, 1.0]]), 1, None)] == [[0, 1]]
+    assert [c.tolist() for c in blockjoin._reachable(near, np.array([[1.0, 1.0]]), 1, None, probes=1)] == [[0]]
 
 
 def test_sparse_is_exact(spark):
@@ -110,9 +112,11 @@ def test_relevance_keeps_queries_without_matches(spark):
     assert got == {1: (1, 2, 0.10, False), 2: (0, 0, 0.0, True)}
 
 
-def test_lsh_subset_of_exact(spark, sf):
+def test_approximate_is_a_subset_of_exact(spark, sf):
     idx = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
     q = idx.withColumnRenamed("key", "query_id")
-    near = {(r[0], r[1]) for r in retrieval.lsh_join(q, idx, 0.4).select("query_id", "key").collect()}
-    exact = blockjoin.topk_dense(q, idx, 500, min_similarity=0.39)
-    assert near and near <= {(r[0], r[1]) for r in exact.select("query_id", "key").collect()}
+    pairs = lambda df: {(r[0], r[1]) for r in df.select("query_id", "key").collect()}
+    near = pairs(retrieval.approximate_join(q, idx, k=10, probes=6, min_similarity=0.3))
+    exact = pairs(blockjoin.topk_dense(q, idx, 500, min_similarity=0.3))
+    assert near <= exact and len(near) > 0.5 * len(exact)
+    assert pairs(retrieval.approximate_join(q, idx, k=500, probes=16, min_similarity=0.3)) == exact
