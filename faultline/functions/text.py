@@ -157,18 +157,24 @@ def json_from_text(c: Column) -> Column:
     inner = F.regexp_extract(body, r"(?s)^\s*```(?:json|JSON)?\s*\n?(.*?)\n?```\s*$", 1)
     body = F.when(inner != "", strip(inner)).otherwise(body)
     tail = F.regexp_extract(body, r"(?s)\{.*", 0)
-    # Marks: a whole string literal, one brace, or a run of anything else.
-    marks = F.regexp_extract_all(
-        tail, F.lit(r'"(?:[^"\\]|\\[\s\S])*+"|[{}]|[^"{}]++|"'), F.lit(0)
+    # Marks: an escaped character, one quote or brace, or a run of anything else.
+    marks = F.regexp_extract_all(tail, F.lit(r'\\[\s\S]|["{}]|[^"{}\\]++|\\'), F.lit(0))
+    opened = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("len"), F.lit(0).alias("end")
     )
-    opened = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("len"), F.lit(0).alias("end"))
 
     def step(state: Column, mark: Column) -> Column:
-        depth = state["depth"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        quoted = state["quoted"]
+        sign = F.when(mark.startswith("\\"), F.when(quoted, "").otherwise(F.right(mark, F.lit(1)))).otherwise(mark)
+        change = F.when(quoted, 0).when(sign == "{", 1).when(sign == "}", -1).otherwise(0)
+        depth = state["depth"] + change
         length = state["len"] + F.length(mark)
-        end = F.when(state["end"] > 0, state["end"]).when(depth == 0, length).otherwise(0)
+        closed = (change == -1) & (depth == 0)
         return F.struct(
-            depth.cast("int").alias("depth"), length.alias("len"), end.alias("end")
+            depth.cast("int").alias("depth"),
+            F.when(sign == '"', ~quoted).otherwise(quoted).alias("quoted"),
+            length.alias("len"),
+            F.when(state["end"] > 0, state["end"]).when(closed, length).otherwise(0).alias("end"),
         )
 
     end = F.aggregate(marks, opened, step, lambda state: state["end"])

@@ -215,7 +215,7 @@ def embed_text(docs: DataFrame, encoder: Transformer) -> DataFrame:
 
 
 def train_component_lr(
-    index: DataFrame, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-6
+    index: DataFrame, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-6, max_classes: int = 1000
 ) -> tuple[LogisticRegressionModel, list]:
     """Balanced multinomial regression on the vectors, and its labels by class number.
 
@@ -223,7 +223,9 @@ def train_component_lr(
     ``1 / (c * rows)``. The label list has one entry per class.
     """
     weights = class_weights(index)
-    classes = sorted(r["label"] for r in weights.select("label").collect())
+    classes = sorted(r["label"] for r in weights.select("label").limit(max_classes + 1).collect())
+    if len(classes) > max_classes:
+        raise ValueError(f"more than {max_classes} classes")
     number = F.array_position(F.array(*[F.lit(x) for x in classes]), F.col("label")) - 1
     rows = index.join(F.broadcast(weights.select("label", "weight")), "label").select(
         array_to_vector(F.col("vec").cast("array<double>")).alias("features"),

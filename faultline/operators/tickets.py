@@ -95,11 +95,11 @@ def update_status(
     """
     from faultline.operators.quality import status_domain_check
 
-    judged = status_domain_check(changes, tickets, statuses)
-    valid = judged.filter(F.col("reject_reason").isNull()).select("key", "to")
-    rejects = judged.filter(F.col("reject_reason").isNotNull())
+    rejects = status_domain_check(changes, tickets, statuses).filter(F.col("reject_reason").isNotNull())
     stamp = now.cast("timestamp_ntz")
-    joined = tickets.join(valid, "key", "left")
+    # Changes of unknown keys find no ticket, so this one join applies exactly the valid ones.
+    allowed = changes.filter(F.col("to").isin(list(statuses))).select("key", "to")
+    joined = tickets.join(allowed, "key", "left")
     updated = joined.withColumns(
         {
             "updated": F.when(F.col("to").isNotNull(), stamp).otherwise(F.col("updated")),

@@ -186,3 +186,19 @@ def test_labels(spark):
     loose = [r[0] for r in df.select(drafts.draft_labels(F.col("p"), F.col("t"))).collect()]
     strict = [r[0] for r in df.select(drafts.draft_labels(F.col("p"), F.col("t"), strict=True)).collect()]
     assert loose == [["triage", "be-core", "android", "ios"], ["triage", "ios"]] and strict == [["triage"], ["triage", "ios"]]
+
+
+def test_logistic_regression_is_the_balanced_optimum(spark, sf):
+    import numpy as np
+
+    index = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"), "label")
+    model, classes = classify.train_component_lr(index, tol=1e-9)
+    rows = index.collect()
+    x = np.array([r["vec"] for r in rows], dtype=float)
+    y = np.array([classes.index(r["label"]) for r in rows])
+    w = len(y) / (len(classes) * np.bincount(y))
+    logits = x @ model.coefficientMatrix.toArray().T + model.interceptVector.toArray()
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    gradient = ((p - np.eye(len(classes))[y]) * w[y][:, None]).T @ x + model.coefficientMatrix.toArray()
+    assert np.abs(gradient).max() < 1e-3

@@ -191,4 +191,6 @@ def test_json_from_text(spark):
     assert get('{"a": 1}') == '{"a": 1}'
     assert get('```json\n{"a": 1}\n```') == '{"a": 1}'
     assert get('so: {"a": "}{", "b": {"c": "\\""}} done {') == '{"a": "}{", "b": {"c": "\\""}}'
+    long = '{"a": "' + "\\\\n{" * 20000 + '"}'
+    assert get("see " + long + " and {") == long
     assert get("nothing") is None and get("{broken") is None
