@@ -206,7 +206,8 @@ def _join_blocks(
     """``queries(query_id, cells, features)`` with ``corpus(key, cell, features)``."""
     split = [ceil(sizes.get(c, 0) / block_rows) for c in range(cells)]
     first = np.concatenate([[0], np.cumsum(split)]).tolist()
-    asked = queries.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
+    # explode_outer: a plain explode would add a filter that runs the cell function again.
+    asked = queries.select(F.explode_outer("cells").alias("cell")).groupBy("cell").count().collect()
     per_cell = {r["cell"]: r["count"] for r in asked}
     chunks = F.array(*[F.lit(max(1, ceil(per_cell.get(c, 0) / chunk_rows))) for c in range(cells)])
     n_split = F.array(*[F.lit(n) for n in split])
@@ -225,7 +226,7 @@ def _join_blocks(
         .select("block", F.col("c.key").alias("c_id"), *[F.col(f"c.{f}").alias(f"c_{f}") for f in features])
     )
     cell = F.col("cell")
-    sent = queries.select("query_id", *features, F.explode("cells").alias("cell")).filter(F.get(n_split, cell) > 0)
+    sent = queries.select("query_id", *features, F.explode_outer("cells").alias("cell")).filter(F.get(n_split, cell) > 0)
     blocks = F.sequence(F.get(n_first, cell), F.get(n_first, cell) + F.get(n_split, cell) - 1)
     packed_queries = (
         sent.select("query_id", *features, "cell", F.explode(blocks).alias("block"))

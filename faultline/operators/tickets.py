@@ -40,7 +40,7 @@ def number_rows(rows: DataFrame, by: str) -> DataFrame:
     ``by``. Each of the 4096 even buckets is numbered on its own and shifted by
     the rows of the buckets before it.
     """
-    bucket = F.substring(F.md5(F.col(by).cast("string")), 1, 3)
+    bucket = F.substring(F.md5(F.coalesce(F.col(by).cast("string"), F.lit(""))), 1, 3)
     spread = rows.withColumn("_b", bucket)
     counts = spread.groupBy("_b").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
@@ -180,7 +180,9 @@ def event_order_state(
     links = edges.select(
         key, "_c", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")
     )
-    return local.join(links, [key, "_c"]).select(
+    links = links.withColumnsRenamed({key: "_key", "_c": "_stretch"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_c").eqNullSafe(F.col("_stretch"))
+    return local.join(links, same).select(
         *events.columns,
         F.coalesce("_prev", "_before").alias("previous_status"),
         (F.unix_micros(F.coalesce("_next", "_after").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))).alias("micros_in_status"),
