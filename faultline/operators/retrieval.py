@@ -66,10 +66,15 @@ def two_source_recall(
 
 def overlap_score(query: Column, candidate: Column) -> Column:
     """Default pair scorer: shared words over all words, spread around zero."""
-    a, b = F.array_distinct(t.tokens(query)), F.array_distinct(t.tokens(candidate))
-    either = F.size(F.array_union(a, b))
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(either > 0, shared / either * 8 - 2).otherwise(-2.0)
+    words = F.array(F.array_distinct(t.tokens(query)), F.array_distinct(t.tokens(candidate)))
+
+    def share(w: Column) -> Column:
+        sizes = F.struct(
+            F.size(F.array_intersect(w[0], w[1])).alias("shared"), F.size(F.array_union(w[0], w[1])).alias("either")
+        )
+        return t.let(sizes, lambda n: F.when(n["either"] > 0, n["shared"] / n["either"] * 8 - 2).otherwise(-2.0))
+
+    return t.let(words, share)
 
 
 def rerank_two_stage(
