@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact, packing
-from faultline.session import fresh_path
+from faultline.llm import decontaminate, exact, packing, warc
+from faultline.session import fresh_path, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,48 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
+@query("op8_warc", OP8_SQL)
+def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages as WARC records, read back and assembled: one row per capture."""
+    path = fresh_path(spark, "warc")
+    warc.write_warc(table(spark, sf, "pages"), path)
+    records = materialise(warc.read_warc(spark, path, blocks=False), "warc-records")
+    captures = warc.assemble_captures(records)
+    flat = materialise(
+        captures.select(
+            F.regexp_extract(F.col("metadata.block").cast("string"), "^id: (.*)\r\n", 1)
+            .cast("long")
+            .alias("page_id"),
+            "response.payload_bytes",
+            F.regexp_replace("response.payload_digest", "^sha256:", "").alias("payload_digest"),
+            F.col("response.type").alias("record_type"),
+            F.col("response.refers_to").alias("refers_to_record"),
+            "capture_id",
+        ),
+        "warc-captures",
+    )
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    first = flat.select(
+        F.col("capture_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")
+    )
+    revisits = flat.where(F.col("record_type") == "revisit").join(
+        first, "refers_to_record", "left"
+    )
+    others = flat.where(F.col("record_type") != "revisit")
+    return others.select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(
+        revisits.select(*columns, "refers_to")
+    )
