@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact, packing, warc
+from faultline.llm import decontaminate, exact, language, packing, quality, warc
 from faultline.session import fresh_path, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,31 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality score of every document; labels learned from three quarters of the ids."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = quality.fit(docs, table(spark, sf, "labels").where(~held_out))
+    found = quality.score(docs, model)
+    return found.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    """Language of every document; learned from two thirds of them."""
+    docs = table(spark, sf, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = language.fit(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
