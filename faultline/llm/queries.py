@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact, language, packing, quality, warc
+from faultline.llm import decontaminate, exact, jaccard, language, packing, quality, warc
 from faultline.session import fresh_path, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,12 @@ def op5_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_jaccard")
+def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents that share three quarters of their runs of five words."""
+    return jaccard.link_documents(table(spark, sf, "documents"))
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
