@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact, jaccard, language, packing, quality, warc
+from faultline.llm import decontaminate, exact, jaccard, language, lines, packing, quality, warc
 from faultline.session import fresh_path, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,43 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+OP9_SQL = """
+WITH raw AS (
+  SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p,
+    len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w
+  FROM raw WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+docs AS (SELECT doc_id, list(line ORDER BY p) AS ls, list(w ORDER BY p) AS ws FROM lines GROUP BY 1),
+wins AS (
+  SELECT doc_id, size, k - 1 AS p, ls[k:k + size - 1] AS win, list_sum(ws[k:k + size - 1]) AS w
+  FROM (SELECT *, unnest(range(1, len(ls) - size + 2)) AS k
+        FROM docs, (SELECT unnest([1, 2, 4, 8]) AS size) WHERE len(ls) >= size)),
+later AS (
+  SELECT *, row_number() OVER (PARTITION BY size, win ORDER BY doc_id, p) AS nth FROM wins),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS p FROM later WHERE nth > 1 AND w >= 5),
+cleaned AS (
+  SELECT raw.doc_id, coalesce(string_agg(raw.line, chr(10) ORDER BY raw.i)
+      FILTER (WHERE gone.p IS NULL), '') AS text,
+    count(lines.p) AS n_lines, count(gone.p) AS n_deleted
+  FROM raw LEFT JOIN lines USING (doc_id, i) LEFT JOIN gone
+    ON gone.doc_id = raw.doc_id AND gone.p = lines.p
+  GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines,
+  CAST(coalesce(n_deleted, 0) AS INTEGER) AS n_deleted, cleaned.text
+FROM documents d LEFT JOIN cleaned USING (doc_id)
+"""
+
+
+@query("op9_line_dedup", OP9_SQL)
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without runs of lines that occurred before."""
+    found = lines.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted", "text")
+
+
 OP10_SQL = """
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
