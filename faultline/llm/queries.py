@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact, jaccard, language, lines, packing, quality, warc
+from faultline.llm import decontaminate, exact, jaccard, language, licenses, lines, packing, quality, warc
 from faultline.session import fresh_path, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +182,18 @@ def op5_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op6_licenses")
+def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """License notices in every document."""
+    found = licenses.scan_licenses(table(spark, sf, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_sort(F.array_distinct("matches.license")).alias("licenses"),
+        "matches",
+    )
+
+
 @query("op7_jaccard")
 def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of documents that share three quarters of their runs of five words."""
