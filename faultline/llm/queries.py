@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact, jaccard, language, licenses, lines, packing, quality, warc
+from faultline.llm import decontaminate, exact, jaccard, language, licenses, lines, packing, passages, quality, warc
 from faultline.session import fresh_path, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,6 +157,12 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("op3_passages")
+def op3_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages of fifty words or more that an earlier document has too."""
+    return passages.near_duplicate_passages(table(spark, sf, "documents"))
+
+
 @query("op4_quality")
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality score of every document; labels learned from three quarters of the ids."""
