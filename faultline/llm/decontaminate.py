@@ -172,13 +172,15 @@ def find_windows(
     item_text_col: str = "text",
     size: int = 10,
     block_windows: int = 200_000,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Per document: words, words hit, the hit spans, and the items with windows in it.
 
-    Columns: doc_id, text, n_words, n_hit, spans (word positions, end not in), item_ids
-    (strings in order). Null and empty texts have no words and no hits; items without
-    words find nothing; repeated rows are answered one by one; other columns are left
-    out. Empty tables give no rows, or rows without hits.
+    Columns: doc_id, text, those in ``keep``, n_words, n_hit, spans (word positions, end
+    not in), item_ids (strings in order). Null and empty texts have no words and no hits;
+    items without words find nothing; repeated rows are answered one by one; other columns
+    are left out, and one named in ``keep`` must not be named like a new one. Empty tables
+    give no rows, or rows without hits.
 
     Windows are taken in blocks of at most ``block_windows``, each broadcast
     after its rows were bounded by a hash; a block's shingles are counted over all
@@ -190,17 +192,34 @@ def find_windows(
     found = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
+        *keep,
         F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"),
         F.lit(None).cast("array<string>").alias("item_ids"),
     )
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
+    carried = found.select("doc_id", "text", *keep).schema
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)
     for b in range(blocks):
         rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).toArrow()
         if rows.num_rows or not b:
             if b:
                 found = materialise(found, "windows-found")
             found = _match_block(found, WindowBlock(rows) if rows.num_rows else None, kind)
-    return found.select("doc_id", "text", "n_words", "n_hit", "spans", "item_ids")
+    return found.select("doc_id", "text", *keep, "n_words", "n_hit", "spans", "item_ids")
+
+
+def without_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options):
+    """The rows of ``docs`` in which no window of an item occurs, with their columns."""
+    text_col = options.get("text_col", "text")
+    keep = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    new = {"doc_id", "text", "n_words", "n_hit", "spans", "item_ids"}
+    aside = {c: f"kept_{c}" for c in keep if c in new}
+    found = find_windows(
+        docs.withColumnsRenamed(aside), items, id_col, keep=tuple(aside.get(c, c) for c in keep), **options
+    ).where(F.col("n_hit") == 0)
+    back = {"doc_id": id_col, "text": text_col} | {new: old for old, new in aside.items()}
+    return found.select(
+        *[F.col({v: k for k, v in back.items()}.get(c, c)).alias(c) for c in docs.columns]
+    )
 
 
 def _match_block(found: DataFrame, block: WindowBlock | None, kind: str) -> DataFrame:
@@ -218,17 +237,18 @@ def _match_block(found: DataFrame, block: WindowBlock | None, kind: str) -> Data
                 yield _answer(part, block, mask, words, first)
 
     schema = (
-        f"doc_id {kind}, text string, n_words long, n_hit long, "
+        f"{kind}, n_words long, n_hit long, "
         "spans array<struct<start:int,end:int>>, item_ids array<string>"
     )
-    return found.select("doc_id", "text", "spans", "item_ids").mapInArrow(match, schema)
+    before = [c for c in found.columns if c not in ("n_words", "n_hit")]
+    return found.select(*before).mapInArrow(match, schema)
 
 
 def _answer(part: pa.RecordBatch, block, mask, words: np.ndarray, first: np.ndarray):
     n = part.num_rows
     steps = np.zeros(len(words) + 1, np.int64)
-    pairs: list[set] = [set(x or ()) for x in part.column(3).to_pylist()]
-    for d, spans in enumerate(part.column(2).to_pylist()):
+    pairs: list[set] = [set(x or ()) for x in part.column("item_ids").to_pylist()]
+    for d, spans in enumerate(part.column("spans").to_pylist()):
         for span in spans or ():
             steps[first[d] + span["start"]] += 1
             steps[first[d] + span["end"]] -= 1
@@ -251,14 +271,14 @@ def _answer(part: pa.RecordBatch, block, mask, words: np.ndarray, first: np.ndar
             for a, b in zip(np.flatnonzero(own == 1), np.flatnonzero(own == -1), strict=True)
         ]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    carried = [c for c in part.schema.names if c not in ("spans", "item_ids")]
     return pa.RecordBatch.from_arrays(
         [
-            part.column(0),
-            part.column(1),
+            *[part.column(c) for c in carried],
             pa.array(np.diff(first), pa.int64()),
             pa.array(hit, pa.int64()),
             pa.array(spans, span),
             pa.array([sorted(x) for x in pairs], pa.list_(pa.string())),
         ],
-        ["doc_id", "text", "n_words", "n_hit", "spans", "item_ids"],
+        [*carried, "n_words", "n_hit", "spans", "item_ids"],
     )

@@ -81,3 +81,13 @@ def test_empty_tables(spark):
     assert [r[2:] for r in rows(decontaminate.find_windows(docs, items))] == [(0, [])] * 2
     docs, items = frames(spark, [], ITEMS)
     assert rows(decontaminate.find_windows(docs, items)) == []
+
+
+def test_filter_keeps_columns(spark):
+    docs, items = frames(spark, DOCS[:9], ITEMS)
+    docs = docs.withColumnRenamed("doc_id", "spans").select("n_hit", "text", "spans")
+    found = decontaminate.without_windows(docs, items, "spans")
+    assert found.columns == docs.columns
+    clean = {d for d, _, hit, _ in brute(DOCS[:9], ITEMS) if not hit}
+    assert {r.spans for r in found.collect()} == clean
+    assert all(r.n_hit == "q" for r in found.collect())
