@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import text as tx
@@ -27,8 +27,10 @@ KEY_BYTES = 5
 TILE_SCHEMA = "block int, ids binary, counts binary, sizes binary, keys binary, freq binary"
 TILE_NAMES = ["block", "ids", "counts", "sizes", "keys", "freq"]
 TILE_KINDS = [pa.int32()] + [pa.binary()] * 5
-ROW_SCHEMA = "id long, n int, keys binary, prefix array<struct<key:long,rest:int>>"
+ROW_SCHEMA = "id long, n int, lack int, keys binary, prefix array<struct<key:long,rest:int>>"
 PERCENT = 75
+PIVOTS = 4
+FEW = 128  # pairs left for each entry at which all of them are compared
 
 
 def shingle_facts(docs: DataFrame, size: int) -> DataFrame:
@@ -173,24 +175,25 @@ def bounded_rows(tiles: DataFrame, percent: int) -> DataFrame:
         ids, sizes, keys = ids[new], sizes[new], keys[new]
         at, counts = _runs(ids)
         needed = -(-percent * sizes[at].astype(np.int64) // 100)
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for a, c, need in zip(at.tolist(), counts.tolist(), needed.tolist(), strict=True):
             if c >= need:
                 own = keys[a : a + c]
                 out[0].append(int(ids[a]))
                 out[1].append(int(sizes[a]))
-                out[2].append(np.sort(own).tobytes())
-                out[3].append(
+                out[2].append(int(sizes[a]) - c)
+                out[3].append(np.sort(own).tobytes())
+                out[4].append(
                     [
                         {"key": k, "rest": c - 1 - i}
                         for i, k in enumerate(own[: c - need + 1].astype(np.int64).tolist())
                     ]
                 )
         prefix = pa.list_(pa.struct([("key", pa.int64()), ("rest", pa.int32())]))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), prefix]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), prefix]
         return pa.table(
             [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
-            ["id", "n", "keys", "prefix"],
+            ["id", "n", "lack", "keys", "prefix"],
         )
 
     return tiles.groupBy("block").applyInArrow(keep, ROW_SCHEMA)
@@ -235,64 +238,102 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _members(own: DataFrame, side: str) -> DataFrame:
+    columns = [F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "rest", "component")]
+    return own.select("key", *columns)
+
+
+def _pivots(own: DataFrame, step: int) -> DataFrame:
+    """``PIVOTS`` members of each column with more than one component, by global orders.
+
+    Half of them are those that lack the fewest of their shingles among the shared ones:
+    the text that others are copies of is such a one.
+    """
+    member = F.struct("id", "n", "rest", "component").alias("m")
+    firsts = []
+    for q in range(PIVOTS):
+        chance = F.xxhash64("id", F.lit(step * PIVOTS + q)).alias("h")
+        order = [F.col("lack"), chance] if q % 2 else [chance]
+        firsts.append(F.min(F.struct(*order, member)))
+    columns = own.groupBy("key").agg(
+        F.min("component").alias("low"),
+        F.max("component").alias("high"),
+        *[first.alias(f"p{q}") for q, first in enumerate(firsts)],
+    )
+    chosen = F.array_distinct(F.array(*[F.col(f"p{q}.m") for q in range(PIVOTS)]))
+    return columns.where("low <> high").select("key", F.explode(chosen).alias("m")).select(
+        "key", *[F.col(f"m.{c}").alias(f"y_{c}") for c in ("id", "n", "rest", "component")]
+    )
+
+
+def _bin(n: Column) -> Column:
+    return F.floor(F.log(n) * 16).cast("int")
+
+
+def _size_bins(x: DataFrame, percent: int) -> DataFrame:
+    """Members once for each size bin in which a partner by this column can lie."""
+    low = F.col("x_n") * percent / 100 - 1e-6  # no partner is lost to rounding
+    most = (F.col("x_rest") + 1) * (100 + percent) / percent - F.col("x_n")
+    high = F.least(F.col("x_n") * 100 / percent, most)
+    x = x.where(high >= low)
+    return x.withColumn("bin", F.explode(F.sequence(_bin(F.ceil(low)), _bin(F.floor(high) + 1))))
+
+
 def similar_rows(rows: DataFrame, percent: int = PERCENT, rounds: int = 6) -> DataFrame:
     """(node, component) of all rows that reach another through similar pairs.
 
-    In each round every column names one of its rows, and the others are compared
-    with it; groups that hold together fall into one component and need no more
+    In each round every column names a few of its rows, and the others are compared
+    with them; groups that hold together fall into one component and need no more
     comparison. When the pairs left, those of different components in one column,
-    are no more than the entries, or after ``rounds``, all of them are compared. So
-    every pair that could connect two components has been compared in the end.
+    are few to an entry or no longer halve, all of them are compared: rows outside the
+    largest component of a column with the others. So every pair that could
+    connect two components has been compared in the end.
     """
     spark = rows.sparkSession
     entries = materialise(
-        rows.select("id", "n", F.explode("prefix").alias("p")).select("id", "n", "p.key", "p.rest"),
+        rows.select("id", "n", "lack", F.explode("prefix").alias("p")).select(
+            "id", "n", "lack", "p.key", "p.rest"
+        ),
         "prefix",
     )
     total = entries.count()
     labels = spark.createDataFrame([], "node long, component long")
     tried = spark.createDataFrame([], "a long, b long")
+    before = None
     for step in range(rounds + 1):
-        own = entries
         if step:
-            own = own.join(labels.withColumnRenamed("node", "id"), "id", "left")
+            own = entries.join(labels.withColumnRenamed("node", "id"), "id", "left")
             own = own.withColumn("component", F.coalesce("component", "id"))
+            parts = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+            columns = parts.groupBy("key").agg(
+                F.sum("c").alias("all"),
+                F.sum(F.col("c") * F.col("c")).alias("same"),
+                F.max(F.struct("c", "component")).alias("most"),
+            )
+            columns = materialise(
+                columns.select(
+                    "key",
+                    (F.col("all") * F.col("all") - F.col("same")).alias("apart"),
+                    F.col("most.component").alias("major"),
+                ).where("apart > 0"),
+                "columns",
+            )
+            left = columns.agg(F.sum("apart")).first()[0] or 0
+            if not left:
+                break
+            last = step == rounds or left <= FEW * total or (before and 2 * left > before)
+            before = left
         else:
-            own = own.withColumn("component", F.col("id"))
-        parts = own.groupBy("key", "component").agg(
-            F.count(F.lit(1)).alias("c"),
-            F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id", "n", "rest")).alias("one"),
-        )
-        columns = parts.groupBy("key").agg(
-            F.sum("c").alias("all"),
-            F.sum(F.col("c") * F.col("c")).alias("same"),
-            F.max(F.struct("c", "one", "component")).alias("most"),
-        )
-        columns = materialise(columns.where(F.col("all") * F.col("all") > F.col("same")), "columns")
-        left = columns.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0]
-        if not left:
-            break
-        last = step == rounds or (step and left <= 2 * total)
-        x = own.select(
-            "key",
-            *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "rest", "component")],
-        )
+            own, last = entries.withColumn("component", F.col("id")), False
+        x, on = _members(own, "x"), ["key"]
         if last:
-            minor = x.join(columns.select("key", F.col("most.component").alias("major")), "key")
-            minor = minor.where("x_component <> major").drop("major")
-            y = own.select(
-                "key", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "rest", "component")]
-            )
+            x = x.join(columns.select("key", "major"), "key").where("x_component <> major")
+            x = _size_bins(x, percent)
+            y = _members(own, "y").withColumn("bin", _bin(F.col("y_n")))
+            on.append("bin")
         else:
-            minor = x
-            y = columns.select(
-                "key",
-                F.col("most.one.id").alias("y_id"),
-                F.col("most.one.n").alias("y_n"),
-                F.col("most.one.rest").alias("y_rest"),
-                F.col("most.component").alias("y_component"),
-            )
-        near = _bounded(minor.join(y, "key").where("x_component <> y_component"), percent)
+            y = _pivots(own, step)
+        near = _bounded(x.join(y, on).where("x_component <> y_component"), percent)
         pairs = near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
         pairs = materialise(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         links = verified(pairs, rows, percent).select("a", "b")
@@ -310,7 +351,7 @@ def link_documents(
     text_col: str = "text",
     size: int = 5,
     percent: int = PERCENT,
-    block_entries: int = 2_000_000,
+    block_entries: int = 1_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
