@@ -202,7 +202,7 @@ def fit(
         return model
     sample = train.orderBy(F.xxhash64("text"), "lang").limit(max_documents)
     # a stretch of each sampled text, so that what reaches the driver is bounded
-    span = max_words * 24
+    span = max_words * 8
     place = F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(F.length("text") - span, F.lit(1)))
     stretch = F.substring("text", place.cast("int") + 1, F.lit(span)).alias("text")
     rows = sample.select(stretch, "lang").collect()
