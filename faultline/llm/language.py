@@ -174,9 +174,9 @@ def fit(
 ) -> Model:
     """Learns the languages of ``lang_col``.
 
-    The lexicon counts the words of all rows. Weights are fitted on a bounded sample:
-    the ``max_documents`` rows with the smallest text hashes, ``max_words`` words of
-    each from a random place, a third of them spliced with words of another row so
+    The lexicon counts the words of all rows. Weights are fitted on a bounded sample of
+    about ``max_documents`` texts by their hashes, ``max_words`` words of each from a random
+    place, a third of them spliced with words of another row so
     that the transitions learn switches. Rows with a null text or language are left
     out. Without any labelled row the model knows no language.
     """
@@ -200,12 +200,21 @@ def fit(
     )
     if not names:
         return model
-    sample = train.orderBy(F.xxhash64("text"), "lang").limit(max_documents)
-    # a stretch of each sampled text, so that what reaches the driver is bounded
+    # a stretch of each sampled text, one row per text, so that what is sent is bounded
     span = max_words * 8
     place = F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(F.length("text") - span, F.lit(1)))
-    stretch = F.substring("text", place.cast("int") + 1, F.lit(span)).alias("text")
-    rows = sample.select(stretch, "lang").collect()
+    share = min(1.0, max_documents / max(train.count(), 1))
+    sample = (
+        train.select(
+            F.xxhash64("text").alias("h"),
+            F.substring("text", place.cast("int") + 1, F.lit(span)).alias("text"),
+            "lang",
+        )
+        .where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+        .groupBy("h")
+        .agg(F.min(F.struct("text", "lang")).alias("row"))
+    )
+    rows = sample.orderBy("h").limit(max_documents).select("row.text", "row.lang").collect()
     _train(model, [(r.text, number[r.lang]) for r in rows], max_words, epochs, seed)
     return model
 
