@@ -173,14 +173,16 @@ def fit(
 ) -> Model:
     """Word vectors from all of ``docs``, a network from a bounded sample of ``labels``.
 
-    The sample is the ``max_rows`` labelled ids with the smallest hashes; ids or labels
+    The sample are at most ``max_rows`` labelled ids by their hashes; ids or labels
     that are null are left out, of several labels of an id the highest counts. A tenth
     of the sample sets the temperature. Without labels every score is 0.5.
     """
     vectors = word_vectors(docs, text_col)
+    pairs = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
+    share = min(1.0, 1.1 * max_rows / max(pairs.count(), 1))
     sample = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label"))
-        .dropna()
+        pairs.dropna()
+        .where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
         .groupBy("id")
         .agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("id"), "id")
