@@ -222,11 +222,11 @@ def priority_three_tier(spark, sf):
 
 
 _VOTE = f"""vsum AS (SELECT query_id, sum(CASE WHEN similarity >= 0.20 THEN similarity * ({sql_case('priority', lx.PRIORITY_NUMBER)}) END) AS sm,
-   coalesce(sum(CASE WHEN similarity >= 0.20 THEN similarity END), 0) AS w FROM matches GROUP BY query_id),
- vote AS (SELECT query_id, round(w, 6) AS weight, CASE WHEN round(w, 9) >= 0.25 THEN 'P' || CAST(CAST(least(3, greatest(0, round_even(sm / w, 0))) AS INT) AS VARCHAR) END AS vote FROM vsum)"""
+   coalesce(sum(CASE WHEN similarity >= 0.20 THEN similarity END), 0) AS w, count_if(similarity >= 0.20) AS n_voters FROM matches GROUP BY query_id),
+ vote AS (SELECT query_id, round(w, 6) AS weight, n_voters, CASE WHEN round(w, 9) >= 0.25 THEN 'P' || CAST(CAST(least(3, greatest(0, round_even(sm / w, 0))) AS INT) AS VARCHAR) END AS vote FROM vsum)"""
 
 
-@query("vote_priority", f"WITH {_M}, {_VOTE} SELECT * FROM vote")
+@query("vote_priority", f"WITH {_M}, {_VOTE} SELECT * EXCLUDE (n_voters) FROM vote")
 def vote_priority(spark, sf):
     return priority.vote_priority(s.vector_matches(spark, sf, 5))
 
@@ -270,7 +270,7 @@ _STEPS = [
 ]
 SCORED = f"""{PARSED}{CORPUS}, {_TEMPLATE}, {_FACTS}, {_M}, {_VOTE},
  joined AS (SELECT p.report_id, impact, reproducibility, length(regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) < 350 AND len(steps) = 0 AS vague, f.* EXCLUDE (report_id),
-   template_tier, template_score, vote, coalesce(m.similarity >= 0.80, false) AS dup, m.priority AS tp, CAST(m.key AS VARCHAR) AS tkey
+   template_tier, template_score, vote, n_voters, m.similarity AS tsim, coalesce(m.similarity >= 0.80, false) AS dup, m.priority AS tp, CAST(m.key AS VARCHAR) AS tkey
    FROM parsed p JOIN facts f USING (report_id) JOIN tpl USING (report_id) LEFT JOIN vote ON vote.query_id = p.report_id LEFT JOIN (SELECT * FROM matches WHERE rank = 1) m ON m.query_id = p.report_id),
  sc1 AS (SELECT report_id, CASE {" ".join(f"WHEN {c} THEN {p}" for c, p, _ in _STEPS)} ELSE {_IMPACT} END AS priority,
    CASE {" ".join(f"WHEN {c} THEN {path}" for c, _, path in _STEPS)} ELSE 'L4-impact-fallback' END AS scoring_path FROM joined)"""
@@ -294,7 +294,9 @@ def score_priority(spark, sf):
     return scored(spark, sf).drop("justification")
 
 
-@query("priority_justification")
+@query("priority_justification", f"""{SCORED} SELECT report_id, s.priority, concat_ws(' ', s.priority || ' decided by ' || scoring_path || '.', CASE WHEN vague THEN 'The report is vague.' END,
+  CASE WHEN tkey IS NOT NULL THEN 'Nearest ticket: ' || tkey || ' (' || coalesce(tp, 'no priority') || ', similarity ' || CAST(floor(tsim * 100) AS BIGINT) || ' %).' END,
+  CASE WHEN vote IS NOT NULL THEN n_voters || ' similar tickets vote for ' || vote || '.' END) AS justification FROM sc1 s JOIN joined USING (report_id)""")
 def priority_justification(spark, sf):
     return scored(spark, sf).select("report_id", "priority", "justification")
 
