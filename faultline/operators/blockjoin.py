@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from faultline.session import materialise
 
+ENTRIES = 4_000_000  # numbers of an intermediate product held at a time
 SLACK = 1e-6  # covers float32 storage when bounds are compared
 DECIMALS = 6  # similarities are ranked after rounding, ties by key
 
@@ -56,18 +57,35 @@ def _dense(values) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(np.float64)
 
 
+def _flat(idx: pd.Series, w: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns and weights of all rows one after the other, and the rows' offsets."""
+    offsets = np.concatenate([[0], np.cumsum(idx.str.len().to_numpy(np.int64))])
+    if not offsets[-1]:
+        return np.empty(0, np.int64), np.empty(0), offsets
+    return np.concatenate(idx.to_numpy()).astype(np.int64), np.concatenate(w.to_numpy()), offsets
+
+
 def _sparse(idx: pd.Series, w: pd.Series, width: int) -> np.ndarray:
+    cols, weights, offsets = _flat(idx, w)
     out = np.zeros((len(idx), width))
-    for i, (cols, weights) in enumerate(zip(idx, w)):
-        out[i, cols] = weights
+    out[np.repeat(np.arange(len(idx)), np.diff(offsets)), cols] = weights
     return out
 
 
-def _times(idx: pd.Series, w: pd.Series, matrix: np.ndarray) -> np.ndarray:
-    """Sparse rows times the rows of ``matrix``, without building dense rows."""
-    out = np.zeros((len(idx), len(matrix)))
-    for i, (cols, weights) in enumerate(zip(idx, w)):
-        out[i] = matrix[:, cols] @ weights
+def _times(idx: pd.Series, w: pd.Series, by_term: np.ndarray) -> np.ndarray:
+    """Sparse rows times a matrix of one row per term, some entries at a time."""
+    cols, weights, offsets = _flat(idx, w)
+    out = np.zeros((len(idx), by_term.shape[1]))
+    some = np.flatnonzero(np.diff(offsets))
+    step = max(1, ENTRIES // max(1, by_term.shape[1]))
+    at = 0
+    while at < len(some):
+        end = max(at + 1, int(np.searchsorted(offsets[some], offsets[some[at]] + step)))
+        rows = some[at:end]
+        part = slice(offsets[rows[0]], offsets[rows[-1] + 1])
+        products = by_term[cols[part]] * weights[part, None]
+        out[rows] = np.add.reduceat(products, offsets[rows] - offsets[rows[0]], axis=0)
+        at = end
     return out
 
 
@@ -86,6 +104,12 @@ def _dense_scores(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return matrix("q_vec") @ matrix("c_vec").T
 
 
+def _directions(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length one (zero stays zero), and their lengths."""
+    sizes = np.linalg.norm(rows, axis=1)
+    return rows / np.maximum(sizes, 1e-300)[:, None], sizes
+
+
 def _sparse_scores(batch: pa.RecordBatch, i: int) -> np.ndarray:
     q_idx, q_off = _rows_of(batch.column("q_idx"), i)
     q_w, _ = _rows_of(batch.column("q_w"), i)
@@ -148,9 +172,9 @@ def _size_and_copies(rows: DataFrame, features: list[str]) -> tuple[int, bool]:
     return n, distinct < 0.95 * n
 
 
-def _cells_for(n: int, most: int) -> int:
-    """More cells for larger tables, never more than ``most``."""
-    return min(most, max(16, isqrt(n) // 8))
+def _cells_for(n: int) -> int:
+    """Cells grow with the root of the table, and so does what the driver holds of them."""
+    return max(16, isqrt(n) // 8)
 
 
 def _first_copies(corpus: DataFrame, features: list[str], keep: int) -> DataFrame:
@@ -203,10 +227,13 @@ def _join_blocks(
     block_rows: int,
     chunk_rows: int,
 ) -> DataFrame:
-    """``queries(query_id, cells, features)`` with ``corpus(key, cell, features)``."""
+    """``queries(query_id, cells, features)`` with ``corpus(key, cell, features)``.
+
+    Both are written once, so that the cells of a row are worked out once.
+    """
+    queries = materialise(queries, "routed")
     split = [ceil(sizes.get(c, 0) / block_rows) for c in range(cells)]
     first = np.concatenate([[0], np.cumsum(split)]).tolist()
-    # explode_outer: a plain explode would add a filter that runs the cell function again.
     asked = queries.select(F.explode_outer("cells").alias("cell")).groupBy("cell").count().collect()
     per_cell = {r["cell"]: r["count"] for r in asked}
     chunks = F.array(*[F.lit(max(1, ceil(per_cell.get(c, 0) / chunk_rows))) for c in range(cells)])
@@ -288,38 +315,46 @@ def topk_dense(
 ) -> DataFrame:
     """Top k of ``corpus(key, vec)`` for each row of ``queries(query_id, vec)``.
 
-    Vectors have length one. Cells are pruned by the triangle inequality on
-    angles: no member of a cell is closer to the query than the angle to the
-    pivot minus the cell's radius. ``probes`` limits the cells a query visits
-    and makes the join approximate.
+    Similarities are inner products, for vectors of any length. Cells are pruned by
+    the triangle inequality on angles: no member of a cell is closer to the query
+    than the angle to the pivot minus the cell's radius, and none is longer than the
+    cell's longest. ``probes`` limits the cells a query visits and makes the join
+    approximate. A query without a vector has no result, a row of the corpus
+    without one is never found.
     """
     wanted = k + 1 if exclude_self else k
-    corpus = corpus.select("key", "vec")
+    corpus = corpus.filter(F.col("vec").isNotNull()).select("key", "vec")
+    queries = queries.filter(F.col("vec").isNotNull())
     size, copied = _size_and_copies(corpus, ["vec"])
     if copied:
         corpus = _first_copies(corpus, ["vec"], wanted)
-    picked = sample_by_hash(corpus, "key", pivots or _cells_for(size, 1024)).toPandas()
+    picked = sample_by_hash(corpus, "key", pivots or _cells_for(size)).toPandas()
     if picked.empty:
         return _empty(queries, corpus)
-    centre = _dense(picked["vec"])
+    chosen = _dense(picked["vec"])
+    centre = _directions(chosen)[0]
 
-    @F.pandas_udf("cell int, near double")
+    @F.pandas_udf("cell int, near double, size double")
     def assign(vec: pd.Series) -> pd.DataFrame:
-        sims = _dense(vec) @ centre.T
-        return pd.DataFrame({"cell": sims.argmax(axis=1).astype(np.int32), "near": sims.max(axis=1)})
+        directions, sizes = _directions(_dense(vec))
+        sims = directions @ centre.T
+        return pd.DataFrame({"cell": sims.argmax(axis=1).astype(np.int32), "near": sims.max(axis=1), "size": sizes})
 
     assigned = materialise(
-        corpus.select("key", "vec", assign("vec").alias("a")).select("key", "vec", "a.cell", "a.near"), "cells"
+        corpus.select("key", "vec", assign("vec").alias("a")).select("key", "vec", "a.cell", "a.near", "a.size"), "cells"
     )
-    per_cell = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near"))
+    per_cell = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near"), F.max("size").alias("size"))
     stats = {r["cell"]: r for r in per_cell.collect()}
     radius = np.array([np.arccos(np.clip(stats[c]["near"], -1, 1)) if c in stats else 0.0 for c in range(len(centre))])
+    longest = np.array([stats[c]["size"] if c in stats else 0.0 for c in range(len(centre))])
 
     @F.pandas_udf("array<int>")
     def reach(vec: pd.Series) -> pd.Series:
-        sims = _dense(vec) @ centre.T
-        bounds = np.cos(np.clip(np.arccos(np.clip(sims, -1, 1)) - radius, 0, None))
-        return pd.Series(_reachable(sims, bounds, wanted, min_similarity, probes))
+        rows = _dense(vec)
+        directions, sizes = _directions(rows)
+        best = np.cos(np.clip(np.arccos(np.clip(directions @ centre.T, -1, 1)) - radius, 0, None))
+        bounds = sizes[:, None] * np.maximum(best * longest, 0)  # a shorter member may do better below 0
+        return pd.Series(_reachable(rows @ chosen.T, bounds, wanted, min_similarity, probes))
 
     def join(asked: DataFrame, best: int, skip: bool) -> DataFrame:
         return _join_blocks(
@@ -353,16 +388,16 @@ def topk_sparse(
     size, copied = _size_and_copies(corpus, ["idx", "w"])
     if copied:
         corpus = _first_copies(corpus, ["idx", "w"], wanted)
-    picked = sample_by_hash(corpus, "key", pivots or _cells_for(size, 256)).toPandas()
+    picked = sample_by_hash(corpus, "key", pivots or _cells_for(size)).toPandas()
     if picked.empty:
         return _empty(queries, corpus)
-    centre = _sparse(picked["idx"], picked["w"], width)
+    centre = _sparse(picked["idx"], picked["w"], width).T.astype(np.float32)
 
     @F.pandas_udf("int")
     def assign(idx: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series(_times(idx, w, centre).argmax(axis=1).astype(np.int32))
 
-    assigned = corpus.withColumn("cell", assign("idx", "w"))
+    assigned = materialise(corpus.withColumn("cell", assign("idx", "w")), "cells")
     top = (
         assigned.select("cell", F.posexplode(F.arrays_zip("idx", "w")).alias("pos", "e"))
         .groupBy("cell", "e.idx")
@@ -370,8 +405,8 @@ def topk_sparse(
         .toPandas()
     )
     sizes = top.groupby("cell")["rows"].sum().to_dict()
-    ceiling = np.zeros((len(centre), width))
-    ceiling[top["cell"], top["idx"]] = top["w"]
+    ceiling = np.zeros((width, centre.shape[1]), np.float32)
+    ceiling[top["idx"], top["cell"]] = top["w"]
     shared = queries.sparkSession.sparkContext.broadcast((centre, ceiling))
 
     @F.pandas_udf("array<int>")
@@ -382,7 +417,7 @@ def topk_sparse(
     def join(asked: DataFrame, best: int, skip: bool) -> DataFrame:
         return _join_blocks(
             asked.select("query_id", "idx", "w", reach("idx", "w").alias("cells")),
-            assigned, ["idx", "w"], sizes, len(centre),
+            assigned, ["idx", "w"], sizes, centre.shape[1],
             _sparse_scores, best, min_similarity, skip, block_rows, chunk_rows,
         )
 

@@ -11,6 +11,11 @@ from faultline import lexicons as lx
 from faultline.functions import extract as x
 from faultline.functions import text as t
 
+_FIELDS = [
+    "report_id", "title", "description", "steps_to_reproduce", "expected_result", "actual_result",
+    "impact", "platform", "app_version", "component_hint", "reproducibility", "reporter_email",
+    "reporter_name", "raw_text",
+]
 Rules = Sequence[tuple[str, Sequence[str]]]
 
 
@@ -21,7 +26,7 @@ def parse_reports(
     product: str = "App",
     skip_greeting: bool = False,
 ) -> DataFrame:
-    """``report_id, raw_text`` to one column per field of a report."""
+    """``report_id, raw_text`` to one column per field of a report; other columns stay."""
     body, low = F.col("_text"), F.col("_low")
     staged = reports.withColumn("_text", t.strip(F.col("raw_text"))).withColumn("_low", F.lower("_text"))
     staged = staged.withColumns(
@@ -45,6 +50,7 @@ def parse_reports(
         "reporter_email",
         x.reporter_name(body, F.col("reporter_email")).alias("reporter_name"),
         "raw_text",
+        *[c for c in reports.columns if c not in _FIELDS],
     )
 
 

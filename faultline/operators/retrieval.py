@@ -42,8 +42,12 @@ def dense_matches(
 
 
 def with_attributes(matches: DataFrame, index: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Attributes joined back onto the few rows that survived top-k."""
-    return matches.join(index.select("key", *columns), "key", "left")
+    """Attributes joined back onto the few rows that survived top-k.
+
+    Where both sides carry a ``source``, keys are looked up within it.
+    """
+    on = ["source", "key"] if "source" in matches.columns and "source" in index.columns else ["key"]
+    return matches.join(index.select(*on, *columns), on, "left")
 
 
 def union_candidates(first: DataFrame, second: DataFrame, names: tuple[str, str] = ("index", "tickets")) -> DataFrame:

@@ -9,6 +9,17 @@ from faultline import lexicons as lx
 from faultline import schemas
 from faultline.functions import text as t
 
+#: Order of events of one instant and sequence number.
+_EVENT_RANK = {"INSERT": 0, "STATUS_UPDATE": 1, "DELETE": 2}
+
+
+def next_seq(log: DataFrame | None) -> Column:
+    """First unused sequence number of an event log; 0 without one."""
+    if log is None:
+        return F.lit(0).cast("bigint")
+    return log.agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).cast("bigint").alias("n")).scalar()
+
+
 _PAYLOAD = [
     "key", "summary", "description", "status", "component", "priority", "assignee", "reporter",
     "duplicate_of", "media_paths", "created", "updated",
@@ -55,11 +66,17 @@ def number_rows(rows: DataFrame, by: str) -> DataFrame:
 
 
 def insert_tickets(
-    drafts: DataFrame, tickets: DataFrame, now: Column, by: str = "report_id", prefix: str = "TKT-"
+    drafts: DataFrame,
+    tickets: DataFrame,
+    now: Column,
+    by: str = "report_id",
+    prefix: str = "TKT-",
+    log: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New ticket rows with minted keys, and their INSERT events.
 
-    Single writer: keys continue after the largest existing one.
+    Single writer: keys continue after the largest existing one, sequence numbers
+    after the last one of ``log``. The events of one call share theirs.
     """
     numbered = number_rows(drafts, by)
     opt = {c: t.blank_to_null(F.col(c)) for c in ("component", "priority", "assignee", "reporter", "duplicate_of")}
@@ -74,7 +91,7 @@ def insert_tickets(
         now.cast("timestamp_ntz").alias("created"),
         now.cast("timestamp_ntz").alias("updated"),
     )
-    return new, insert_events(new)
+    return new, insert_events(new, next_seq(log))
 
 
 def insert_events(tickets: DataFrame, seq: Column | None = None) -> DataFrame:
@@ -87,18 +104,30 @@ def insert_events(tickets: DataFrame, seq: Column | None = None) -> DataFrame:
 
 
 def update_status(
-    tickets: DataFrame, changes: DataFrame, now: Column, statuses: list[str] = lx.STATUSES
+    tickets: DataFrame,
+    changes: DataFrame,
+    now: Column,
+    statuses: list[str] = lx.STATUSES,
+    log: DataFrame | None = None,
+    order: str | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Valid changes applied: the new table, STATUS_UPDATE events, rejected rows.
 
-    ``changes(key, to)`` has one row per key.
+    Of several valid ``changes(key, to)`` of a key the one with the highest ``order``
+    column counts, or without one the status that comes last in ``statuses``.
     """
     from faultline.operators.quality import status_domain_check
 
     rejects = status_domain_check(changes, tickets, statuses).filter(F.col("reject_reason").isNotNull())
     stamp = now.cast("timestamp_ntz")
     # Changes of unknown keys find no ticket, so this one join applies exactly the valid ones.
-    allowed = changes.filter(F.col("to").isin(list(statuses))).select("key", "to")
+    place = F.array_position(F.array(*[F.lit(x) for x in statuses]), F.col("to"))
+    latest = [F.col(order)] if order else []
+    allowed = (
+        changes.filter(F.col("to").isin(list(statuses)))
+        .groupBy("key")
+        .agg(F.max_by("to", F.struct(*latest, place)).alias("to"))
+    )
     joined = tickets.join(allowed, "key", "left")
     updated = joined.withColumns(
         {
@@ -107,17 +136,19 @@ def update_status(
         }
     ).select(*tickets.columns)
     events = joined.filter(F.col("to").isNotNull()).select(
-        stamp.alias("timestamp"), F.lit(0).cast("bigint").alias("seq"), F.lit("STATUS_UPDATE").alias("event"), "key",
+        stamp.alias("timestamp"), next_seq(log).alias("seq"), F.lit("STATUS_UPDATE").alias("event"), "key",
         F.to_json(F.struct(F.col("status").alias("from"), F.col("to"))).alias("payload"),
     )
     return updated, events, rejects
 
 
-def delete_tickets(tickets: DataFrame, keys: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def delete_tickets(
+    tickets: DataFrame, keys: DataFrame, now: Column, log: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Remaining tickets, and DELETE events so that a replay is complete."""
     gone = keys.select("key").distinct()
     events = tickets.join(gone, "key", "left_semi").select(
-        now.cast("timestamp_ntz").alias("timestamp"), F.lit(0).cast("bigint").alias("seq"),
+        now.cast("timestamp_ntz").alias("timestamp"), next_seq(log).alias("seq"),
         F.lit("DELETE").alias("event"), "key", F.lit("{}").alias("payload"),
     )
     return tickets.join(gone, "key", "left_anti"), events
@@ -127,9 +158,11 @@ def replay_state(events: DataFrame) -> DataFrame:
     """Current tickets from the log alone: one grouped pass, combined map-side.
 
     Per key: the payload of the last INSERT, the status of the last event, and
-    whether a DELETE came last.
+    whether a DELETE came last. Events of one instant and sequence number are taken
+    as INSERT, STATUS_UPDATE, DELETE.
     """
-    order = F.struct("timestamp", "seq")
+    ranks = F.create_map(*[F.lit(x) for pair in _EVENT_RANK.items() for x in pair])
+    order = F.struct("timestamp", "seq", F.element_at(ranks, F.col("event")).alias("rank"))
     inserted = F.col("event") == "INSERT"
     status = F.when(inserted, F.get_json_object("payload", "$.status")).when(
         F.col("event") == "STATUS_UPDATE", F.get_json_object("payload", "$.to")

@@ -180,8 +180,9 @@ def stream_event_dedup(spark, sf):
   (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, event_type AS to_status, event_type IN ('view', 'click', 'purchase') AS valid FROM events) GROUP BY 1, 2, 3""")
 def stream_status_transitions(spark, sf):
     out = fresh_path(spark, "transitions")
-    moves = streams.status_transitions(_event_stream(spark, sf), "user_id", "event_type", "ts", ["view", "click", "purchase"])
-    streams.append_stream(moves, out).awaitTermination()
+    streams.stream_status_transitions(
+        _event_stream(spark, sf), out, "user_id", "event_type", ["ts", "event_id"], ["view", "click", "purchase"], "hour"
+    ).awaitTermination()
     rows = spark.read.parquet(f"{out}/data")
     return rows.groupBy("key", F.coalesce("from_status", F.lit("-")).alias("from_status"), "to_status").agg(
         F.count("*").alias("n"), F.min(F.col("valid").cast("int")).alias("valid"))

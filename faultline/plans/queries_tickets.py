@@ -483,7 +483,7 @@ def apply_overrides(spark, sf):
 # --- media findings: turns of a conversation stand for attachments --------------------------
 
 _FINDINGS = """SELECT conv_id AS report_id, turn AS seq, CASE role WHEN 'user' THEN 'image' ELSE 'video' END AS kind, concat('/m/', CAST(conv_id AS STRING), '/', role, CAST(turn % 3 AS STRING), '.mp4') AS path,
-  split_part(text, '.', 1) AS one_line_summary, concat('s', CAST(turn % 2 AS STRING)) AS screen, CASE WHEN turn % 3 = 0 THEN '' ELSE concat('not ', role, CAST(turn AS STRING)) END AS contradiction,
+  text AS one_line_summary, concat('s', CAST(turn % 2 AS STRING)) AS screen, CASE WHEN turn % 3 = 0 THEN '' ELSE concat('not ', role, CAST(turn AS STRING)) END AS contradiction,
   length(text) / 10.0 AS duration_seconds, turn % 4 AS frame_count FROM conversations"""
 
 

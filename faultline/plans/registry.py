@@ -24,16 +24,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the input has fewer files than cores.
-
-    One small file is one task however slow its rows are. With enough files
-    nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
-
-
 # --- SQL text helpers -------------------------------------------------------------
 
 

@@ -76,7 +76,7 @@ def triage_by_vectors(
     routed = materialise(routed, "routed")
     found = retrieval.rerank_two_stage(queries, index, tickets)
     facts = ["summary", "assignee", "priority", "component"]
-    both = index.select("key", *facts).unionByName(tickets.select("key", *facts))
+    both = retrieval.union_candidates(index.select("key", *facts), tickets.select("key", *facts))
     matches = materialise(retrieval.with_attributes(found, both, facts), "matches")
     signal = retrieval.gate_relevance(matches)
     ids = queries.select("query_id")

@@ -120,3 +120,17 @@ def test_approximate_is_a_subset_of_exact(spark, sf):
     exact = pairs(blockjoin.topk_dense(q, idx, 500, min_similarity=0.3))
     assert near <= exact and len(near) > 0.5 * len(exact)
     assert pairs(retrieval.approximate_join(q, idx, k=500, probes=16, min_similarity=0.3)) == exact
+
+
+@pytest.mark.parametrize("k,floor", [(1, None), (4, None), (6, 2.0)])
+def test_dense_takes_any_length_and_nulls(spark, k, floor):
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(400, 6)) * rng.uniform(0.1, 10, size=(400, 1))
+    vectors[::50] = 0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame([*rows, (900, None)], "key BIGINT, vec ARRAY<DOUBLE>")
+    got = blockjoin.topk_dense(
+        df.withColumnRenamed("key", "query_id"), df, k, min_similarity=floor, pivots=9, block_rows=32, chunk_rows=64
+    )
+    ids = list(range(400))
+    assert result(got) == brute(ids, vectors, ids, vectors, k, floor)
