@@ -136,14 +136,15 @@ def evaluation(predictions: DataFrame) -> DataFrame:
     )
 
 
-def loo_proba(neighbours: DataFrame, queries: DataFrame, classes: Sequence) -> DataFrame:
+def loo_proba(neighbours: DataFrame, queries: DataFrame, labels: DataFrame) -> DataFrame:
     """Vote share of every class per query; uniform where nothing votes.
 
-    ``classes`` is the closed list of labels; the rows per query are exploded
-    from it, and labels outside it do not vote.
+    The classes are the distinct labels of ``labels(label)``, which the neighbours
+    come from; the rows per query are exploded from that list.
     """
+    classes = sorted(r["label"] for r in labels.select("label").distinct().collect())
     names = F.array(*[F.lit(c) for c in classes])
-    known = _shares(neighbours.filter(F.col("label").isin(list(classes))))
+    known = _shares(neighbours)
     grid = queries.select("query_id", F.explode(names).alias("label"))
     totals = known.groupBy("query_id").agg(F.max("total").alias("t"))
     return (
@@ -215,17 +216,17 @@ def embed_text(docs: DataFrame, encoder: Transformer) -> DataFrame:
 
 
 def train_component_lr(
-    index: DataFrame, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-6, max_classes: int = 1000
+    index: DataFrame, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-6
 ) -> tuple[LogisticRegressionModel, list]:
     """Balanced multinomial regression on the vectors, and its labels by class number.
 
     Balanced weights sum to the number of rows, so the penalty per row is
-    ``1 / (c * rows)``. The label list has one entry per class.
+    ``1 / (c * rows)``. The label list has one entry per class; the model has a row of
+    coefficients for each. Rows without a vector are left out.
     """
+    index = index.filter(F.col("vec").isNotNull())
     weights = class_weights(index)
-    classes = sorted(r["label"] for r in weights.select("label").limit(max_classes + 1).collect())
-    if len(classes) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
+    classes = sorted(r["label"] for r in weights.select("label").collect())
     number = F.array_position(F.array(*[F.lit(x) for x in classes]), F.col("label")) - 1
     rows = index.join(F.broadcast(weights.select("label", "weight")), "label").select(
         array_to_vector(F.col("vec").cast("array<double>")).alias("features"),
@@ -247,14 +248,26 @@ def predict_component_lr(
     confident: float = lx.KNN_CONFIDENT,
     catch_all: str = lx.CATCH_ALL,
 ) -> DataFrame:
-    """Probabilities and the winner; below ``confident`` the catch-all."""
+    """Probabilities and the winner; below ``confident`` the catch-all.
+
+    A query without a vector goes to the catch-all with confidence 0.
+    """
+    with_vector = queries.filter(F.col("vec").isNotNull())
     scored = model.transform(
-        queries.select("query_id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+        with_vector.select("query_id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
     ).select("query_id", vector_to_array("probability").alias("p"))
     names = F.array(*[F.lit(str(c)) for c in classes])
     confidence = F.array_max("p")
     winner = F.element_at(names, F.array_position("p", confidence).cast("int"))
     weak = confidence < confident
+    without = queries.filter(F.col("vec").isNull()).select(
+        "query_id",
+        F.lit(catch_all).alias("component"),
+        F.lit(0.0).alias("confidence"),
+        F.lit("no-vector").alias("method"),
+        F.lit(True).alias("fell_back"),
+        F.create_map().cast("map<string,double>").alias("probabilities"),
+    )
     return scored.select(
         "query_id",
         F.when(weak, catch_all).otherwise(winner).alias("component"),
@@ -262,7 +275,7 @@ def predict_component_lr(
         F.when(weak, "logreg-low-conf").otherwise("logreg").alias("method"),
         weak.alias("fell_back"),
         F.map_from_arrays(names, "p").alias("probabilities"),
-    )
+    ).unionByName(without)
 
 
 # --- from probabilities -------------------------------------------------------------
@@ -302,9 +315,9 @@ def candidate_team_context(
 ) -> DataFrame:
     """Documents of the most probable teams per query, team document first.
 
-    ``team_docs(team, text)`` and ``repo_docs(team, repo, text)`` are joined by
-    team onto at most ``n`` candidates per query, so a query gathers only the
-    documents of those teams.
+    ``team_docs(team, text)`` and ``repo_docs(team, repo, text)`` become one text per
+    team first; at most ``n`` of those are then joined onto each query. A query whose
+    teams have no document has no row.
     """
     top = top_classes(scores, n).select("query_id", "rank", F.col("label").cast("string").alias("team"))
     top = top.filter(F.col("team") != catch_all)
@@ -314,9 +327,13 @@ def candidate_team_context(
     block = F.when(F.col("repo") == "", F.concat(F.lit("team "), "team", F.lit("\n"), "text")).otherwise(
         F.concat(F.lit("repo "), "team", F.lit(" / "), "repo", F.lit("\n"), "text")
     )
+    entries = F.array_sort(F.collect_list(F.struct("repo", "text", block.alias("block"))))
+    per_team = docs.groupBy("team").agg(
+        F.array_join(F.transform(entries, lambda x: x["block"]), "\n\n").alias("text")
+    )
     return (
-        top.join(docs, "team")
+        top.join(per_team, "team")
         .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "repo", block.alias("text")))).alias("b"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("b"))
         .select("query_id", F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("context"))
     )

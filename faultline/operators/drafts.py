@@ -154,9 +154,13 @@ def similar_bugs(matches: DataFrame) -> DataFrame:
 
 def build_drafts(
     parsed: DataFrame, scored: DataFrame, matches: DataFrame, owners: DataFrame, duplicates: DataFrame, dim: DataFrame,
-    base_labels: Sequence[str] = ("triage",),
+    base_labels: Sequence[str] = ("triage",), issues: DataFrame | None = None, media: DataFrame | None = None,
 ) -> DataFrame:
-    """Everything decided about a report as one nested row."""
+    """Everything decided about a report as one nested row.
+
+    The notes carry the kinds of quality ``issues(report_id, type)`` and the
+    ``media(report_id, combined_summary)``, where given.
+    """
     joined = (
         component_dim(parsed, dim)
         .join(scored, "report_id")
@@ -171,6 +175,18 @@ def build_drafts(
             "report_id", "left",
         )
     )
+    none = F.lit(None).cast("string")
+    if issues is None:
+        joined = joined.withColumn("issue_kinds", F.array().cast("array<string>"))
+    else:
+        kinds = issues.groupBy("report_id").agg(F.array_sort(F.collect_set("type")).alias("issue_kinds"))
+        joined = joined.join(kinds, "report_id", "left").withColumn(
+            "issue_kinds", F.coalesce("issue_kinds", F.array().cast("array<string>"))
+        )
+    if media is None:
+        joined = joined.withColumn("combined_summary", none)
+    else:
+        joined = joined.join(media.select("report_id", "combined_summary"), "report_id", "left")
     fields = F.struct(
         F.col("title").alias("summary"),
         F.struct(F.col("priority_id").alias("id")).alias("priority"),
@@ -192,6 +208,8 @@ def build_drafts(
         "duplicate_of",
         "duplicate_confidence",
         "similar_bugs",
+        F.col("issue_kinds").alias("quality_issues"),
+        F.col("combined_summary").alias("media_summary"),
     )
     return joined.select(
         "report_id", fields.alias("fields"), F.col("title").alias("display_summary"), notes.alias("triage_notes")
@@ -294,4 +312,5 @@ def with_media_summary(reports: DataFrame, summaries: DataFrame) -> DataFrame:
     return reports.join(summaries, "report_id", "left").select(
         "report_id",
         F.when(F.coalesce("combined_summary", F.lit("")) != "", both).otherwise(body).alias("raw_text"),
+        *[c for c in reports.columns if c not in ("report_id", "raw_text")],
     )

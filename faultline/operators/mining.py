@@ -10,16 +10,27 @@ from pyspark.sql import functions as F
 from faultline import lexicons as lx
 
 
-def read_repo_files(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root/<repo>/``, one row per file, text whole."""
+def read_repo_files(spark: SparkSession, root: str, max_bytes: int = 2_000_000) -> DataFrame:
+    """All files below ``root/<repo>/``, one row per file.
+
+    Only files that the operators read have their content, whole: source suffixes,
+    build files, configuration and READMEs of up to ``max_bytes``; names and length are
+    checked by the scan, before a byte is read. Bytes that are no UTF-8 become
+    replacement characters. The other files have a null content.
+    """
     base = root.rstrip("/")
     rel = F.regexp_extract("path", r"\Q" + base.lstrip("/") + r"\E/(.*)$", 1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    return files.select(
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    names = [*lx.BUILD_FILES, *lx.ENTRY_FILES, *lx.README_NAMES, "*.yml", "*.yaml", "*.properties"]
+    wanted = "{" + ",".join(dict.fromkeys([f"*{x}" for x in lx.SOURCE_SUFFIXES] + names)) + "}"
+    texts = scan.option("pathGlobFilter", wanted).load(base).filter(F.col("length") <= max_bytes)
+    texts = texts.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    return every.select("path", "length").join(texts, "path", "left").select(
         F.split_part(rel, F.lit("/"), F.lit(1)).alias("repo"),
         F.regexp_extract(rel, r"^[^/]+/(.*)$", 1).alias("path"),
         "length",
-        F.decode("content", "UTF-8").alias("content"),
+        "content",
     )
 
 
@@ -218,8 +229,16 @@ def readme(files: DataFrame, chars: int = 3500) -> DataFrame:
     )
 
 
-def repo_summary(files: DataFrame, manifest: DataFrame, limit: int = lx.SYMBOL_LIMIT, dirs: int = 15, routes: int = 40, configs: int = 15) -> DataFrame:
-    """One nested row per repository of the manifest; every list is capped before it is collected."""
+def repo_summary(
+    files: DataFrame, manifest: DataFrame, commits: DataFrame | None = None, limit: int = lx.SYMBOL_LIMIT,
+    dirs: int = 15, routes: int = 40, configs: int = 15, recent: int = 15,
+) -> DataFrame:
+    """One nested row per repository of the manifest.
+
+    Every list is capped before it is collected and has its total beside it; routes
+    are listed by kind, symbols for the folders listed. ``commits(repo, id, date,
+    summary)`` adds the newest ones.
+    """
 
     def capped(rows: DataFrame, order: list, n: int, entry: Column, name: str) -> DataFrame:
         w = Window.partitionBy("repo").orderBy(*order)
@@ -229,17 +248,35 @@ def repo_summary(files: DataFrame, manifest: DataFrame, limit: int = lx.SYMBOL_L
 
     symbols = mine_java_symbols(files, limit).unionByName(mine_python_classes(files, limit))
     symbol = F.struct("top_dir", "kind", "total", "names")
-    all_routes = mine_spring_routes(files).unionByName(mine_python_routes(files))
+    modules = files_per_top_dir(files)
+    busiest = Window.partitionBy("repo").orderBy(F.desc("n_files"), "top_dir")
+    listed = modules.withColumn("_i", F.row_number().over(busiest)).filter(F.col("_i") <= dirs)
+    symbols = symbols.join(listed.select("repo", "top_dir"), ["repo", "top_dir"])
+    contracts = java_contracts(files).join(listed.select("repo", "top_dir"), ["repo", "top_dir"])
+
+    def routed(rows: DataFrame, kind: str) -> list[DataFrame]:
+        count = rows.groupBy("repo").agg(F.count("*").alias(f"n_{kind}_routes"))
+        first = capped(rows, ["route", "verb"], routes, F.struct("verb", "route"), f"{kind}_routes")
+        return [count, first]
+
     parts = [
+        *routed(mine_spring_routes(files), "spring"),
+        *routed(mine_python_routes(files), "python"),
+        modules.groupBy("repo").agg(F.count("*").alias("n_modules")),
+        contracts.groupBy("repo").agg(
+            F.array_sort(F.collect_list(F.struct("top_dir", "dto_count"))).alias("contracts")
+        ),
         files_per_suffix(files).groupBy("repo").agg(F.sum("n_files").alias("n_source_files")),
         capped(mine_stack(files), ["build_file"], len(lx.BUILD_FILES), F.struct("build_file", "stack"), "stack_files"),
         capped(language_breakdown(files).drop("place"), [F.desc("n_files"), "suffix"], 8, F.struct("suffix", "n_files"), "languages"),
         capped(files_per_top_dir(files), [F.desc("n_files"), "top_dir"], dirs, F.struct("top_dir", "n_files"), "modules"),
-        capped(symbols, ["top_dir", "kind"], dirs * 6, symbol, "symbols"),
-        capped(all_routes, ["route", "verb"], routes, F.struct("verb", "route"), "routes"),
+        capped(symbols, ["top_dir", "kind"], dirs * 6, symbol, "symbols"),  # six kinds at most
         capped(mine_config_files(files), ["path"], configs, F.col("path"), "config_files"),
         readme(files),
     ]
+    if commits is not None:
+        entry = F.struct("id", "date", "summary")
+        parts.append(capped(recent_n(commits, recent), ["place"], recent, entry, "commits"))
     out = manifest.withColumnRenamed("name", "repo")
     for part in parts:
         out = out.join(part, "repo", "left")

@@ -3,6 +3,7 @@
 from faultline.plans import (  # noqa: F401
     queries_decisions,
     queries_extraction,
+    queries_flows,
     queries_mining,
     queries_retrieval,
     queries_tickets,

@@ -15,7 +15,6 @@ from faultline.session import materialise
 
 _NN = s.PAIRS_CTE.format(k=5)
 _M = s.MATCHES_CTE.format(k=5)
-_LABELS = list(range(10))
 
 # --- neighbour vote -----------------------------------------------------------------------
 
@@ -83,7 +82,7 @@ def loo_evaluate(spark, sf):
  FROM embeddings e CROSS JOIN (SELECT DISTINCT label FROM embeddings) c LEFT JOIN v ON v.query_id = e.vec_id AND v.label = c.label LEFT JOIN t ON t.query_id = e.vec_id""")
 def loo_proba(spark, sf):
     idx = s.index(spark, sf)
-    out = classify.loo_proba(s.neighbours(spark, sf, 5), idx.withColumnRenamed("key", "query_id"), _LABELS)
+    out = classify.loo_proba(s.neighbours(spark, sf, 5), idx.withColumnRenamed("key", "query_id"), idx)
     return out.withColumn("probability", F.round("probability", 6))
 
 
@@ -99,7 +98,8 @@ def _eligible(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     comp = F.when(F.col("quality").isNotNull(), F.when(F.col("lang") == "es", "unmapped").otherwise(F.col("source")))
     rows = d.select("doc_id", comp.alias("component"), F.when(F.col("toxic") == 1, "  ").otherwise(F.col("text")).alias("text"))
-    return classify.training_eligibility(rows, [f"src{i}" for i in range(20)])
+    sources = [r["source"] for r in table(spark, sf, "documents").select("source").distinct().collect()]
+    return classify.training_eligibility(rows, sources)
 
 
 @query("training_eligibility", f"WITH {_ELIGIBLE} SELECT doc_id, component, reason FROM el")
@@ -157,7 +157,7 @@ _SHARES = f"""{_NN}, v AS (SELECT query_id, label, sum(pow(greatest(similarity,
 
 def _scores(spark, sf) -> DataFrame:
     idx = s.index(spark, sf)
-    full = classify.loo_proba(s.neighbours(spark, sf, 5), idx.withColumnRenamed("key", "query_id"), _LABELS)
+    full = classify.loo_proba(s.neighbours(spark, sf, 5), idx.withColumnRenamed("key", "query_id"), idx)
     return full.filter(F.col("probability") > 0).withColumn("probability", F.round("probability", 6))
 
 
@@ -189,15 +189,15 @@ def gate_low_confidence(spark, sf):
 
 
 _CONTEXT = f"""{_SHARES}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY probability DESC, label) AS p FROM sc) WHERE p <= 3),
- docs AS (SELECT CAST(n_nationkey % 10 AS VARCHAR) AS team, '' AS repo, 'guide ' || n_name AS text FROM nation WHERE n_nationkey < 10
+ docs AS (SELECT CAST(n_nationkey % 10 AS VARCHAR) AS team, '' AS repo, 'guide ' || n_name AS text FROM nation
    UNION ALL SELECT CAST(s_nationkey % 10 AS VARCHAR), s_name, 'notes ' || s_name FROM supplier)"""
 
 
 @query("candidate_team_context", f"""WITH {_CONTEXT} SELECT query_id, string_agg(CASE WHEN repo = '' THEN 'team ' || team || chr(10) || text ELSE 'repo ' || team || ' / ' || repo || chr(10) || text END,
-  chr(10) || chr(10) ORDER BY p, repo) AS context FROM top JOIN docs ON team = CAST(label AS VARCHAR) GROUP BY query_id""")
+  chr(10) || chr(10) ORDER BY p, repo, text) AS context FROM top JOIN docs ON team = CAST(label AS VARCHAR) GROUP BY query_id""")
 def candidate_team_context(spark, sf):
     nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")
-    teams = nation.filter(F.col("n_nationkey") < 10).select(
+    teams = nation.select(
         (F.col("n_nationkey") % 10).cast("string").alias("team"), F.concat(F.lit("guide "), "n_name").alias("text"))
     repos = supplier.select(
         (F.col("s_nationkey") % 10).cast("string").alias("team"), F.col("s_name").alias("repo"), F.concat(F.lit("notes "), "s_name").alias("text"))

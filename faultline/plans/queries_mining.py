@@ -129,27 +129,43 @@ def recent_n(spark, sf):
     return mining.recent_n(commits).select("repo", "id", "place")
 
 
-@query("repo_summary", f"""WITH {_SYMBOLS}, sym AS (SELECT repo, top_dir, kind, name FROM java UNION ALL SELECT repo, top_dir, kind, name FROM py),
- routes AS (SELECT DISTINCT repo, upper(regexp_extract(line, '{_SPRING}', 1)) AS verb, trim(regexp_extract(line, '{_SPRING}', 2)) AS route, 1 AS side FROM lines WHERE ends_with(path, '.java') AND regexp_matches(line, '{_SPRING}')
-   UNION ALL SELECT DISTINCT repo, CASE WHEN regexp_extract(line, '{_PYROUTE}', 1) = 'route' THEN 'ANY' ELSE upper(regexp_extract(line, '{_PYROUTE}', 1)) END, trim(regexp_extract(line, '{_PYROUTE}', 2)), 2 FROM lines WHERE ends_with(path, '.py') AND regexp_matches(line, '{_PYROUTE}'))
- SELECT source AS repo, min(lang) AS team, (SELECT count(*) FROM vis v WHERE v.repo = source AND {_SOURCE}) AS n_source_files,
-   (SELECT count(*) FROM files f WHERE f.repo = source AND path IN ({sql_list(list(lx.BUILD_FILES))}))::INT AS n_build_files,
-   (SELECT least(8, count(DISTINCT suffix)) FROM vis v WHERE v.repo = source AND {_SOURCE})::INT AS n_languages,
-   (SELECT least(15, count(DISTINCT top_dir)) FROM vis v WHERE v.repo = source AND top_dir IS NOT NULL)::INT AS n_modules,
-   (SELECT count(*) FROM (SELECT DISTINCT repo, top_dir, kind, repo || (name IN (SELECT name FROM java)) FROM java UNION ALL SELECT DISTINCT repo, top_dir, kind, 'py' FROM py) k WHERE k.repo = source)::INT AS n_symbol_groups,
-   (SELECT least(40, count(*)) FROM routes r WHERE r.repo = source)::INT AS n_routes
- FROM documents GROUP BY source""")
+@query("repo_summary", f"""WITH {_SYMBOLS}, sym AS (SELECT DISTINCT repo, top_dir, kind, name FROM java UNION SELECT repo, top_dir, kind, name FROM py),
+ spring AS (SELECT DISTINCT repo, upper(regexp_extract(line, '{_SPRING}', 1)) AS verb, trim(regexp_extract(line, '{_SPRING}', 2)) AS route FROM lines WHERE ends_with(path, '.java') AND regexp_matches(line, '{_SPRING}')),
+ python AS (SELECT DISTINCT repo, CASE WHEN regexp_extract(line, '{_PYROUTE}', 1) = 'route' THEN 'ANY' ELSE upper(regexp_extract(line, '{_PYROUTE}', 1)) END AS verb, trim(regexp_extract(line, '{_PYROUTE}', 2)) AS route FROM lines WHERE ends_with(path, '.py') AND regexp_matches(line, '{_PYROUTE}')),
+ sl AS (SELECT repo, count(*) AS n, string_agg(verb || ' ' || route, ',' ORDER BY route, verb) FILTER (p <= 40) AS l FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY route, verb) AS p FROM spring) GROUP BY repo),
+ pl AS (SELECT repo, count(*) AS n, string_agg(verb || ' ' || route, ',' ORDER BY route, verb) FILTER (p <= 40) AS l FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY route, verb) AS p FROM python) GROUP BY repo),
+ md AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, top_dir) AS p FROM (SELECT repo, top_dir, count_if({_SOURCE}) AS n FROM vis WHERE top_dir IS NOT NULL GROUP BY 1, 2)),
+ ml AS (SELECT repo, string_agg(top_dir || '=' || n, ',' ORDER BY p) AS l FROM md WHERE p <= 15 GROUP BY repo),
+ sy AS (SELECT repo, string_agg(top_dir || '/' || kind || '=' || n, ',' ORDER BY top_dir, kind) AS l FROM (SELECT repo, top_dir, kind, count(*) AS n FROM sym JOIN (SELECT repo, top_dir FROM md WHERE p <= 15) USING (repo, top_dir) GROUP BY 1, 2, 3) GROUP BY repo),
+ ct AS (SELECT repo, string_agg(top_dir || '=' || n, ',' ORDER BY top_dir) AS l FROM (SELECT repo, top_dir, count(*) AS n FROM vis WHERE top_dir IS NOT NULL AND regexp_matches(path, '(Dto|DTO|Request|Response)\\.java$') GROUP BY 1, 2) JOIN (SELECT repo, top_dir FROM md WHERE p <= 15) USING (repo, top_dir) GROUP BY repo),
+ cm AS (SELECT repo, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY p) AS l FROM (SELECT source AS repo, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS p FROM documents) WHERE p <= 15 GROUP BY repo),
+ base AS (SELECT source AS repo, min(lang) AS team FROM documents GROUP BY source)
+ SELECT b.repo, team, (SELECT count(*) FROM vis v WHERE v.repo = b.repo AND {_SOURCE}) AS n_source_files, ml.l AS modules, sy.l AS symbols, ct.l AS contracts,
+   sl.n AS n_spring_routes, sl.l AS spring_routes, pl.n AS n_python_routes, pl.l AS python_routes, cm.l AS commits
+ FROM base b LEFT JOIN ml USING (repo) LEFT JOIN sy USING (repo) LEFT JOIN ct USING (repo) LEFT JOIN sl USING (repo) LEFT JOIN pl USING (repo) LEFT JOIN cm USING (repo)""")
 def repo_summary(spark, sf):
     files = s.repo_files(spark, sf).select("repo", "path", "content")
-    manifest = table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.min("lang").alias("team"))
-    out = mining.repo_summary(files, manifest)
+    docs = table(spark, sf, "documents")
+    manifest = docs.groupBy(F.col("source").alias("name")).agg(F.min("lang").alias("team"))
+    commits = docs.select(
+        F.col("source").alias("repo"), F.col("doc_id").alias("id"), F.col("n_chars").alias("date"),
+        F.left("text", F.lit(72)).alias("summary"),
+    )
+    out = mining.repo_summary(files, manifest, commits)
+
+    def joined(name, entry):
+        return F.array_join(F.transform(name, entry), ",").alias(name)
 
-    def length(name):
-        return F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+    def route(x):
+        return F.concat(x["verb"], F.lit(" "), x["route"])
 
     return out.select(
-        "repo", "team", F.coalesce("n_source_files", F.lit(0)).alias("n_source_files"), length("stack_files").alias("n_build_files"),
-        length("languages").alias("n_languages"), length("modules").alias("n_modules"), length("symbols").alias("n_symbol_groups"), length("routes").alias("n_routes"),
+        "repo", "team", F.coalesce("n_source_files", F.lit(0)).alias("n_source_files"),
+        joined("modules", lambda x: F.concat(x["top_dir"], F.lit("="), x["n_files"].cast("string"))),
+        joined("symbols", lambda x: F.concat(x["top_dir"], F.lit("/"), x["kind"], F.lit("="), x["total"].cast("string"))),
+        joined("contracts", lambda x: F.concat(x["top_dir"], F.lit("="), x["dto_count"].cast("string"))),
+        "n_spring_routes", joined("spring_routes", route), "n_python_routes", joined("python_routes", route),
+        joined("commits", lambda x: x["id"].cast("string")),
     )
 
 

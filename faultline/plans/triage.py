@@ -45,7 +45,7 @@ def triage_by_rules(reports: DataFrame, history: DataFrame, dim: DataFrame, prod
     scored = priority.score_priority(parsed, matches)
     owners = routing.owner_frequency(matches, queries)
     issues = quality.gate_vague_report(parsed)
-    built = drafts.build_drafts(parsed, scored, matches, owners, duplicates, dim)
+    built = drafts.build_drafts(parsed, scored, matches, owners, duplicates, dim, issues=issues)
     return Triage(parsed, matches, scored, owners, duplicates, issues, built)
 
 
@@ -62,13 +62,21 @@ def triage_by_vectors(
     verdicts: DataFrame,
     dim: DataFrame,
     product: str = "App",
+    findings: DataFrame | None = None,
 ) -> Triage:
     """Vector recall from index and tickets, rerank, classifier, routed owners.
 
     ``index`` and ``tickets`` carry ``key, text, vec, summary, assignee,
     priority, component``; ``encode`` adds ``vec`` to ``(query_id, text)``;
-    ``verdicts(query_id, key, confidence)`` may be empty.
+    ``verdicts(query_id, key, confidence)`` may be empty. Reports with ``from_form`` are
+    forms: they need no sections, but their fields must agree. ``findings(report_id,
+    seq, kind, path, one_line_summary, screen, contradiction)`` of media go ahead of
+    the text, into the notes, and are held against the text.
     """
+    media = None
+    if findings is not None:
+        media = materialise(drafts.findings_rollup(findings), "media")
+        reports = drafts.with_media_summary(reports, media)
     parsed = materialise(extraction.parse_reports(reports, product=product), "parsed")
     queries = parsed.select(F.col("report_id").alias("query_id"), _query_text().alias("text"))
     queries = materialise(encode(queries), "queries")
@@ -86,6 +94,11 @@ def triage_by_vectors(
     scored = priority.priority_three_tier(priority.score_priority(parsed, flagged))
     component = routed.withColumnsRenamed({"query_id": "report_id", "component": "component_hint"})
     routed_reports = parsed.drop("component_hint").join(component, "report_id")
-    issues = quality.gate_vague_report(parsed)
-    built = drafts.build_drafts(routed_reports, scored, matches, owners, duplicates, dim)
+    gates = [quality.gate_vague_report(parsed)]
+    if "from_form" in parsed.columns:
+        gates.append(quality.gate_field_consistency(parsed.filter(F.coalesce("from_form", F.lit(False)))))
+    if findings is not None:
+        gates.append(quality.gate_media_contradiction(findings))
+    issues = materialise(quality.quality_issues(*gates), "issues")
+    built = drafts.build_drafts(routed_reports, scored, matches, owners, duplicates, dim, issues=issues, media=media)
     return Triage(parsed, matches, scored, owners, duplicates, issues, quality.releasable(built, issues))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline import schemas
 from faultline.functions import text as t
@@ -70,31 +73,29 @@ def html_text(html: Column) -> Column:
     return t.strip(F.regexp_replace(html, "<[^>]+>", " "))
 
 
-def _node_type(depth: int) -> str:
-    content = "STRING" if depth == 0 else f"ARRAY<{_node_type(depth - 1)}>"
-    return f"STRUCT<type: STRING, text: STRING, content: {content}>"
+def _tree_text(tree: str | None) -> str:
+    try:
+        stack, found = [json.loads(tree or "null")], []
+    except ValueError:
+        return ""
+    while stack:
+        node = stack.pop()
+        if not isinstance(node, dict):
+            continue
+        if node.get("type") == "text":
+            found.append(node.get("text") or "")
+        elif isinstance(node.get("content"), list):
+            stack.extend(reversed(node["content"]))
+    return " ".join(x for x in found if x)
 
 
-def doc_tree_text(tree_json: Column, max_depth: int = 12) -> Column:
-    """Text nodes of a document tree, depth first, joined by a space.
+@F.pandas_udf(T.StringType())
+def doc_tree_text(tree_json: pd.Series) -> pd.Series:
+    """Text nodes of a document tree of any depth, depth first, joined by a space.
 
-    The tree is read with a schema ``max_depth`` levels deep and folded inside
-    the row. A deeper tree is an error, never silently cut.
+    A tree that is null or no JSON has the empty text.
     """
-
-    def text_of(node: Column, depth: int) -> Column:
-        if depth == 0:
-            children = F.when(
-                node["content"].isNotNull() & (node["content"] != "[]"),
-                F.raise_error(F.lit(f"document tree deeper than {max_depth} levels")).cast("string"),
-            ).otherwise("")
-        else:
-            parts = F.transform(node["content"], lambda child: text_of(child, depth - 1))
-            children = F.array_join(F.filter(parts, lambda p: p != ""), " ")
-        own = F.coalesce(node["text"], F.lit(""))
-        return F.coalesce(F.when(node["type"] == "text", own).otherwise(children), F.lit(""))
-
-    return text_of(F.from_json(tree_json, _node_type(max_depth)), max_depth)
+    return tree_json.map(_tree_text)
 
 
 def issue_text(summary: Column, html: Column, tree_json: Column | None = None) -> Column:

@@ -26,7 +26,7 @@ def test_vote_knn_ladder(spark):
 def test_loo_proba_sums_to_one(spark):
     rows = [(1, 1, 10, "a", 0.5), (1, 2, 11, "b", 0.25), (2, 1, 10, "a", -0.3)]
     q = spark.createDataFrame([(1,), (2,), (3,)], "query_id BIGINT")
-    got = classify.loo_proba(neighbours(spark, rows), q, ["a", "b", "c"]).collect()
+    got = classify.loo_proba(neighbours(spark, rows), q, spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "label STRING")).collect()
     for i in (1, 2, 3):
         assert sum(r["probability"] for r in got if r["query_id"] == i) == pytest.approx(1)
     assert {r["probability"] for r in got if r["query_id"] == 2} == {1 / 3}

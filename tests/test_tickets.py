@@ -102,17 +102,76 @@ def test_issues_with_trees(spark, tmp_path):
     assert (flat["assignee"], flat["priority"], flat["component"]) == ("a@b.c", "Unknown", "UI")
 
 
-def test_deep_tree_is_an_error(spark):
+def test_tree_of_any_depth(spark):
     tree = {"type": "text", "text": "x"}
-    for _ in range(6):
-        tree = {"type": "p", "content": [tree]}
-    df = spark.createDataFrame([(json.dumps(tree),)], "j STRING")
-    assert df.select(src.doc_tree_text(F.col("j"), 8)).first()[0] == "x"
+    for _ in range(40):
+        tree = {"type": "p", "content": [{"type": "text", "text": ""}, tree, {"type": "text", "text": "y"}]}
+    rows = [(json.dumps(tree),), (None,), ("{broken",), ("[]",), ('{"type": "text", "content": [1]}',)]
+    df = spark.createDataFrame(rows, "j STRING")
+    got = [r[0] for r in df.select(src.doc_tree_text(F.col("j"))).collect()]
+    assert got == [" ".join(["x"] + ["y"] * 40), "", "", "", ""]
+
+
+def test_log_of_one_instant(spark):
+    """Insert, update and delete at one time replay to the table."""
+    now = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    drafts = spark.createDataFrame([(k, f"s{k}") for k in range(6)], "report_id BIGINT, summary STRING")
+    for c in ("description", "component", "priority", "assignee", "reporter", "duplicate_of"):
+        drafts = drafts.withColumn(c, F.lit("x"))
+    drafts = drafts.withColumn("media_paths", F.lit(None).cast("array<string>"))
+    empty = spark.createDataFrame([], "key STRING")
+    table, log = tickets.insert_tickets(drafts, empty, now)
+    table = table.drop("report_id")
+    keys = sorted(r.key for r in table.collect())
+    changes = [(keys[0], "Closed", 1), (keys[0], "In Progress", 2), (keys[1], "Closed", 1), (keys[2], "nope", 1)]
+    changes = spark.createDataFrame(changes, "key STRING, to STRING, n INT")
+    table, events, rejects = tickets.update_status(table, changes, now, log=log, order="n")
+    assert rejects.count() == 1 and {r.seq for r in events.collect()} == {1}
+    log = log.unionByName(events)
+    gone = spark.createDataFrame([(keys[1],), (keys[3],)], "key STRING")
+    table, events = tickets.delete_tickets(table, gone, now, log=log)
+    flat = log.unionByName(events).withColumn("seq", F.lit(0).cast("bigint"))
+    for every in (log.unionByName(events), flat):
+        back = tickets.replay_state(every)
+        assert sorted(map(tuple, back.select("key", "status").collect())) == sorted(
+            map(tuple, table.select("key", "status").collect())
+        )
+    assert sorted(r.key for r in table.collect()) == sorted(set(keys) - {keys[1], keys[3]})
+    assert {r.key: r.status for r in table.collect()}[keys[0]] == "In Progress"
+
+
+def test_transitions_over_several_batches(spark, tmp_path):
+    """Busy keys, equal times, small Arrow batches and one file per micro-batch."""
+    import random
+
+    from faultline.streaming import streams
+
+    rng, rows = random.Random(8), []
+    for n in range(600):
+        rows.append((n, rng.choice("aab"), rng.choice(["Open", "Closed", "odd"]), n // 7))
+    schema = "seq BIGINT, key STRING, status STRING, second BIGINT"
+    for part in range(4):
+        own = spark.createDataFrame(rows[part * 150 : part * 150 + 150], schema)
+        own = own.withColumn("ts", F.timestamp_seconds("second")).drop("second")
+        own.coalesce(1).write.parquet(str(tmp_path / f"in{part}"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
     try:
-        df.select(src.doc_tree_text(F.col("j"), 4)).collect()
-        raise AssertionError("cut silently")
-    except Exception as e:
-        assert "deeper than 4" in str(e)
+        schema = "seq BIGINT, key STRING, status STRING, ts TIMESTAMP"
+        out = f"{tmp_path}/out"
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False)
+        events = stream.parquet(f"{tmp_path}/in*")
+        streams.stream_status_transitions(events, out, "key", "status", ["ts", "seq"]).awaitTermination()
+        got = sorted(
+            (r.key, r.seconds, r.from_status or "-", r.to_status, r.valid)
+            for r in spark.read.parquet(f"{out}/data").withColumn("seconds", F.unix_seconds("moment")).collect()
+        )
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last, want = {}, []
+    for _, key, status, second in rows:
+        want.append((key, second, last.get(key, "-"), status, status in ("Open", "Closed")))
+        last[key] = status
+    assert got == sorted(want)
 
 
 def test_paged_search_walks_all(spark):
@@ -157,8 +216,11 @@ def test_mining_tree(spark, tmp_path):
         f = tmp_path / path
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text(content)
+    (tmp_path / "shop/logo.png").write_bytes(b"\x89PNG\xff\xfe")
+    (tmp_path / "shop/py/latin.txt").write_bytes(b"caf\xe9")
+    (tmp_path / "shop/README.rst").write_bytes(b"caf\xe9")
     df = mining.read_repo_files(spark, str(tmp_path))
-    listed = {p.split("/", 1)[1] for p in files} - {".git/config"}  # file listings skip hidden names
+    listed = {p.split("/", 1)[1] for p in files} - {".git/config"} | {"logo.png", "py/latin.txt", "README.rst"}  # file listings skip hidden names
     assert {r["path"] for r in df.collect()} == listed
     assert {(r["build_file"]) for r in mining.mine_stack(df).collect()} == {"pom.xml"}
     assert {(r["suffix"], r["n_files"]) for r in mining.language_breakdown(df).collect()} == {(".java", 2), (".py", 1)}
@@ -172,7 +234,10 @@ def test_mining_tree(spark, tmp_path):
     assert [(r["path"], r["line_no"]) for r in mining.mine_grep(df, "ENUM").collect()] == [("src/PayService.java", 1)]
     manifest = spark.createDataFrame([("shop", "x")], "name STRING, team STRING")
     row = mining.repo_summary(df, manifest).first()
-    assert row["readme_excerpt"] == "read me" and row["n_source_files"] == 3 and len(row["routes"]) == 4
+    assert row["readme_excerpt"] == "read me" and row["n_source_files"] == 3 and row["n_modules"] == 2
+    assert (row["n_spring_routes"], row["n_python_routes"]) == (2, 2) and len(row["spring_routes"]) == 2
+    assert [(r["top_dir"], r["dto_count"]) for r in row["contracts"]] == [("src", 1)]
+    assert not any(r["content"] for r in df.filter("path = 'logo.png'").collect())
 
 
 def test_stream_state_equals_batch(spark, sf):
