@@ -57,15 +57,19 @@ def shingle_facts(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(facts, "id long, n long, digest binary")
 
 
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers with all first bytes first, then all second ones: small or sorted ones compress."""
+    size = np.dtype(kind).itemsize
+    return values.astype(kind).view(np.uint8).reshape(-1, size).T.tobytes()
+
+
+def from_planes(data, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _pack(block: int, ids, counts, sizes, keys: bytes, freq: bytes = b"") -> tuple:
-    return (
-        block,
-        ids.astype("<i8").tobytes(),
-        counts.astype("<u4").tobytes(),
-        sizes.astype("<u4").tobytes(),
-        keys,
-        freq,
-    )
+    return (block, planes(ids, "<i8"), planes(counts, "<u4"), planes(sizes, "<u4"), keys, freq)
 
 
 def _tiles(rows: list[tuple]) -> pa.RecordBatch:
@@ -77,11 +81,14 @@ def _tiles(rows: list[tuple]) -> pa.RecordBatch:
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]:
     """Entry by entry: document, size of its set; packed keys; frequencies."""
-    join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+    def join(name: str, kind: str) -> np.ndarray:
+        return np.concatenate([from_planes(x, kind) for x in table[name].to_pylist()])
+
     counts = join("counts", "<u4")
     ids = np.repeat(join("ids", "<i8"), counts)
     sizes = np.repeat(join("sizes", "<u4"), counts)
-    return ids, sizes, counts, b"".join(table["keys"].to_pylist()), join("freq", np.uint8)
+    return ids, sizes, counts, table["keys"].to_pylist(), join("freq", "u1")
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +136,7 @@ def shared_tiles(tiles: DataFrame, blocks: int) -> DataFrame:
         block = table["block"][0].as_py()
         ids, sizes, _, raw, _ = _unpack(table)
         keys = np.zeros((len(ids), 8), np.uint8)
-        keys[:, :KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+        keys[:, :KEY_BYTES] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, KEY_BYTES)
         keys = keys.view("<u8").ravel()
         order = np.argsort(keys, kind="stable")
         at, counts = _runs(keys[order])
@@ -148,7 +155,7 @@ def shared_tiles(tiles: DataFrame, blocks: int) -> DataFrame:
         for b in np.flatnonzero(np.diff(edges)):
             part = slice(edges[b], edges[b + 1])
             at, counts = _runs(ids[part])
-            own = keys[part].astype("<u8").tobytes()
+            own = planes(keys[part], "<u8")
             rows.append(
                 _pack(int(b), ids[part][at], counts, sizes[part][at], own, freq[part].tobytes())
             )
@@ -167,7 +174,7 @@ def bounded_rows(tiles: DataFrame, percent: int) -> DataFrame:
 
     def keep(table: pa.Table) -> pa.Table:
         ids, sizes, _, raw, freq = _unpack(table)
-        keys = np.frombuffer(raw, "<u8")
+        keys = np.concatenate([from_planes(x, "<u8") for x in raw])
         order = np.lexsort((keys, freq, ids))
         ids, sizes, keys, freq = ids[order], sizes[order], keys[order], freq[order]
         new = np.ones(len(ids), bool)  # a document that occurs twice has its columns once
@@ -182,7 +189,7 @@ def bounded_rows(tiles: DataFrame, percent: int) -> DataFrame:
                 out[0].append(int(ids[a]))
                 out[1].append(int(sizes[a]))
                 out[2].append(int(sizes[a]) - c)
-                out[3].append(np.sort(own).tobytes())
+                out[3].append(planes(np.sort(own), "<u8"))
                 out[4].append(
                     [
                         {"key": k, "rest": c - 1 - i}
@@ -210,13 +217,16 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose exact overlap reaches the similarity, with both similarity terms."""
+    """Pairs (a, b) whose exact overlap reaches the similarity, with both similarity terms.
+
+    Sort-merge joins at every size of the table of pairs, which grows with the input.
+    """
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common = np.empty(batch.num_rows, np.int64)
             for k, (x, y) in enumerate(zip(batch.column("ka"), batch.column("kb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = from_planes(x.as_buffer(), "<u8"), from_planes(y.as_buffer(), "<u8")
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 common[k] = np.count_nonzero(y[at] == x)
             union = np.asarray(batch.column("na")) + np.asarray(batch.column("nb")) - common
@@ -232,8 +242,8 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     )
     return (
         pairs.select("a", "b")
-        .join(side("a"), "a")
-        .join(side("b"), "b")
+        .join(side("a").hint("merge"), "a")
+        .join(side("b").hint("merge"), "b")
         .mapInArrow(overlap, "a long, b long, common long, total long")
     )
 
@@ -351,7 +361,7 @@ def link_documents(
     text_col: str = "text",
     size: int = 5,
     percent: int = PERCENT,
-    block_entries: int = 1_000_000,
+    block_entries: int = 2_000_000,
 ) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
