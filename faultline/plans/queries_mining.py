@@ -192,6 +192,18 @@ def stream_event_dedup(spark, sf):
     return spark.read.parquet(f"{out}/data").select("event_id", "user_id", "event_type")
 
 
+@query("stream_late_events", "SELECT count(DISTINCT event_id) AS n_events, 0::BIGINT AS lost FROM events")
+def stream_late_events(spark, sf):
+    """Unique events and late ones together are all events."""
+    out = fresh_path(spark, "unique")
+    streams.stream_event_dedup(_event_stream(spark, sf), out, "event_id", "ts").awaitTermination()
+    late = streams.late_events(table(spark, sf, "events"), out, "event_id").select("event_id")
+    both = spark.read.parquet(f"{out}/data").select("event_id").unionByName(late)
+    ids = table(spark, sf, "events").select("event_id")
+    lost = ids.join(both, "event_id", "left_anti").agg(F.count("*").alias("lost"))
+    return both.agg(F.count("*").alias("n_events")).join(lost, F.lit(True))
+
+
 @query("stream_status_transitions", """SELECT user_id AS key, coalesce(from_status, '-') AS from_status, to_status, count(*) AS n, min(valid::INT)::INT AS valid FROM
   (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, event_type AS to_status, event_type IN ('view', 'click', 'purchase') AS valid FROM events) GROUP BY 1, 2, 3""")
 def stream_status_transitions(spark, sf):
@@ -204,13 +216,20 @@ def stream_status_transitions(spark, sf):
         F.count("*").alias("n"), F.min(F.col("valid").cast("int")).alias("valid"))
 
 
-@query("stream_triage", f"{PARSED} SELECT report_id, title, component_hint, reproducibility FROM parsed")
+@query("stream_triage", f"{PARSED} SELECT report_id, title, component_hint, reproducibility, 0 AS rejected FROM parsed UNION ALL SELECT -1 - doc_id, NULL, NULL, NULL, 1 FROM documents WHERE doc_id % 50 = 0")
 def stream_triage(spark, sf):
+    """All reports, and an empty one beside every fiftieth, which must not stop the others."""
     out, source = fresh_path(spark, "triage"), fresh_path(spark, "mails")
-    s.reports(spark, sf).write.parquet(source)
+    mails = s.reports(spark, sf)
+    blank = mails.filter(F.col("report_id") % 50 == 0).select((-1 - F.col("report_id")).alias("report_id"), F.lit(" \n").alias("raw_text"))
+    mails.unionByName(blank).write.parquet(source)
     reports = streams.file_stream(spark, "report_id BIGINT, raw_text STRING", source, "*.parquet")
     streams.stream_triage(reports, lambda batch: extraction.parse_reports(batch), out).awaitTermination()
-    return spark.read.parquet(f"{out}/data").select("report_id", "title", "component_hint", "reproducibility")
+    nothing = F.lit(None).cast("string")
+    rejected = spark.read.parquet(f"{out}/rejects").select(
+        "report_id", nothing.alias("title"), nothing.alias("component_hint"), nothing.alias("reproducibility"), F.lit(1).alias("rejected"))
+    done = spark.read.parquet(f"{out}/data").select("report_id", "title", "component_hint", "reproducibility", F.lit(0).alias("rejected"))
+    return done.unionByName(rejected)
 
 
 @query("stream_corrections", """SELECT substr(md5(text), 1, 12) AS bug_hash, lang AS corrected_component FROM documents""")

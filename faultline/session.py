@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +31,14 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; a temporary folder is
-    used only where that is unset and the master is local (tests).
+    used only where that is unset and the master is local (tests), and removed at the end.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         named = tempfile.mkdtemp(prefix="faultline-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)  # made here, gone with the session
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
