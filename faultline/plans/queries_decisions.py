@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
+from faultline.functions import text as t
 from faultline.operators import classify, extraction, priority, quality, routing
 from faultline.plans import standins as s
 from faultline.plans.queries_extraction import CORPUS, PARSED, hits_sql, parsed
@@ -141,12 +142,21 @@ def predict_component_lr(spark, sf):
     return _rounded(_lr(spark, sf)).select("query_id", "component", "confidence", "method", "fell_back")
 
 
-@query("embed_text", "SELECT doc_id, 1.0::DOUBLE AS norm FROM documents")
+@query("embed_text", """SELECT doc_id, 1.0::DOUBLE AS norm, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))) AS n_tokens, true AS entries_fit, true AS copies_agree FROM documents""")
 def embed_text(spark, sf):
+    """Length one; no more entries than tokens; equal texts have equal vectors."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     vec = classify.embed_text(docs, classify.fit_encoder(docs, 1024))
     length = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return vec.select("doc_id", F.round(F.sqrt(length), 4).alias("norm"))
+    entries = F.size(F.filter("vec", lambda x: x != 0))
+    rows = vec.select(
+        "doc_id", F.md5("text").alias("copy"), F.round(F.sqrt(length), 4).alias("norm"),
+        F.size(F.array_distinct(t.tokens(F.col("text")))).cast("bigint").alias("n_tokens"), entries.alias("entries"),
+        F.xxhash64("vec").alias("hash"),
+    )
+    copies = rows.groupBy("copy").agg((F.min("hash") == F.max("hash")).alias("copies_agree"))
+    fit = (F.col("entries") > 0) & (F.col("entries") <= F.col("n_tokens"))
+    return rows.join(copies, "copy").select("doc_id", "norm", "n_tokens", fit.alias("entries_fit"), "copies_agree")
 
 
 # --- from probabilities: vote shares stand in for model scores ----------------------------------

@@ -289,13 +289,20 @@ def add_missing_column(spark, sf):
     return tickets.add_missing_column(s.tickets(spark, sf), "reporter", "string").select("key", "reporter")
 
 
-@query("backfill_missing", "SELECT doc_id AS key, 64 AS dim FROM documents")
+@query("backfill_missing", """SELECT doc_id AS key, 64 AS dim, vec_id IS NULL AS filled, round(coalesce(embedding[1]::DOUBLE, 0.0), 6) AS first_kept, 1.0::DOUBLE AS norm
+  FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
 def backfill_missing(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("summary"), F.col("text").alias("description"))
     vec = s.index(spark, sf).select("key", F.col("vec"))
     encoder = classify.fit_encoder(docs.select(F.col("description").alias("text")), 64)
     rows = tickets.backfill_missing(docs.join(vec, "key", "left"), lambda d: classify.embed_text(d, encoder))
-    return rows.select("key", F.size("vec").alias("dim"))
+    known = vec.select("key", F.lit(False).alias("filled"))
+    length = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    filled = F.coalesce("filled", F.lit(True))
+    first = F.when(filled, 0.0).otherwise(F.round(F.col("vec")[0].cast("double"), 6))
+    return rows.join(known, "key", "left").select(
+        "key", F.size("vec").alias("dim"), filled.alias("filled"), first.alias("first_kept"), F.round(F.sqrt(length), 4).alias("norm")
+    )
 
 
 # --- sinks --------------------------------------------------------------------------------
@@ -422,12 +429,20 @@ def draft_document(spark, sf):
     )
 
 
-@query("sink_drafts", f"{PARSED} SELECT report_id, title AS display_summary FROM parsed")
+@query("sink_drafts", f"""{_DRAFTED} SELECT report_id, title AS display_summary, {sql_case('priority', lx.PRIORITY_ID)} AS priority_id, scoring_path, team, coalesce(component, 'unclassified (needs manual routing)') AS component,
+  owner, duplicate_of, similar_keys FROM drafted""")
 def sink_drafts(spark, sf):
     path = fresh_path(spark, "drafts")
     tables.write_drafts(_drafts(spark, sf), path, _now())
-    back = spark.read.schema("report_id BIGINT, display_summary STRING, run_date DATE").json(path)
-    return back.select("report_id", "display_summary")
+    schema = """report_id BIGINT, display_summary STRING, fields STRUCT<priority: STRUCT<id: STRING>>, triage_notes STRUCT<priority_scoring_path: STRING,
+      team: STRING, component: STRING, owner_suggestion: STRING, duplicate_of: STRING, similar_bugs: ARRAY<STRUCT<key: STRING>>>, run_date DATE"""
+    back = spark.read.schema(schema).json(path)
+    n = "triage_notes"
+    return back.select(
+        "report_id", "display_summary", F.col("fields.priority.id").alias("priority_id"), F.col(f"{n}.priority_scoring_path").alias("scoring_path"),
+        f"{n}.team", f"{n}.component", F.col(f"{n}.owner_suggestion").alias("owner"), f"{n}.duplicate_of",
+        F.array_join(F.transform(f"{n}.similar_bugs", lambda m: m["key"]), ",").alias("similar_keys"),
+    )
 
 
 @query("similar_report_rows", f"""WITH {s.PAIRS_CTE.format(k=5)} SELECT query_id, CAST(rank AS INT) AS rank, key, CASE WHEN starts_with(key, 'TKT-') THEN 'local' ELSE 'external' END AS origin,
