@@ -68,17 +68,22 @@ def two_source_recall(
     )
 
 
+def word_set(text: Column) -> Column:
+    return F.array_distinct(t.tokens(text))
+
+
 def overlap_score(query: Column, candidate: Column) -> Column:
-    """Default pair scorer: shared words over all words, spread around zero."""
-    words = F.array(F.array_distinct(t.tokens(query)), F.array_distinct(t.tokens(candidate)))
+    """Default pair scorer, of two word sets: shared over all words, spread around zero."""
+    shared = F.size(F.array_intersect(query, candidate))
+
+    def share(n: Column) -> Column:
+        either = F.size(query) + F.size(candidate) - n
+        return F.when(either > 0, n / either * 8 - 2).otherwise(-2.0)
+
+    return t.let(shared, share)
 
-    def share(w: Column) -> Column:
-        sizes = F.struct(
-            F.size(F.array_intersect(w[0], w[1])).alias("shared"), F.size(F.array_union(w[0], w[1])).alias("either")
-        )
-        return t.let(sizes, lambda n: F.when(n["either"] > 0, n["shared"] / n["either"] * 8 - 2).otherwise(-2.0))
 
-    return t.let(words, share)
+overlap_score.prepare = word_set  # worked out once per text, not per pair
 
 
 def rerank_two_stage(
@@ -94,14 +99,18 @@ def rerank_two_stage(
 
     Inputs carry ``text`` besides the vector. Queries with at most ``top_k``
     candidates keep the cosine order and are not rescored. The duplicate flag
-    always looks at the cosine.
+    always looks at the cosine. A scorer with a ``prepare`` function gets what that
+    makes of each text, once per text.
     """
+    prepare = getattr(pair_scorer, "prepare", lambda text: text)
     pool = two_source_recall(queries, index, tickets, recall_k).withColumnRenamed("similarity", "cosine")
     pool = pool.withColumn("pool", F.count("*").over(Window.partitionBy("query_id")))
-    texts = union_candidates(index.select("key", "text"), tickets.select("key", "text"))
-    pairs = pool.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(
-        texts, ["source", "key"]
+    texts = union_candidates(
+        index.select("key", prepare(F.col("text")).alias("text")),
+        tickets.select("key", prepare(F.col("text")).alias("text")),
     )
+    asked = queries.select("query_id", prepare(F.col("text")).alias("query_text"))
+    pairs = pool.join(asked, "query_id").join(texts, ["source", "key"])
     squashed = v.sigmoid(pair_scorer(F.col("query_text"), F.col("text")))
     scored = pairs.withColumn(
         "similarity",

@@ -20,12 +20,18 @@ def _terms(docs: DataFrame, stop_words: Sequence[str], bigrams: bool = True) ->
     reuses that partitioning instead of shuffling the far larger term rows.
     """
     words = F.col("words")
-    return (
-        docs.select("doc_id", "text")
-        .repartition("doc_id")
-        .select("doc_id", t.words(F.col("text"), stop_words).alias("words"))
-        .select("doc_id", F.explode(t.with_bigrams(words) if bigrams else words).alias("term"))
-    )
+    if "words" in docs.columns:
+        split = docs.select("doc_id", "words").repartition("doc_id")
+    else:
+        split = docs.select("doc_id", "text").repartition("doc_id")
+        split = split.select("doc_id", t.words(F.col("text"), stop_words).alias("words"))
+    return split.select("doc_id", F.explode(t.with_bigrams(words) if bigrams else words).alias("term"))
+
+
+def tokenised(docs: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """``doc_id, words``, written once for the passes that count and weigh them."""
+    words = t.words(F.col("text"), stop_words).alias("words")
+    return materialise(docs.select("doc_id", words), "words")
 
 
 def term_counts(
@@ -89,6 +95,7 @@ def tfidf_fit(
     max_features: int = lx.TFIDF_MAX_FEATURES,
 ) -> tuple[DataFrame, DataFrame]:
     """Long-form weights and the vocabulary of a corpus."""
+    docs = tokenised(docs, stop_words)
     vocab = materialise(vocabulary(term_counts(docs, stop_words), docs, max_features), "vocab")
     return weights(docs, vocab, stop_words), vocab
 
@@ -124,6 +131,7 @@ def tfidf_matches(
     or above ``similar`` and one summary row per query with the duplicate
     decision; its confidence is the best score even below ``similar``.
     """
+    docs = tokenised(docs, stop_words)
     vocab = materialise(vocabulary(term_counts(docs, stop_words), docs, max_features), "vocab")
     corpus = vectors(docs, vocab, stop_words).withColumnRenamed("doc_id", "key")
     asked = vectors(queries.withColumnRenamed("query_id", "doc_id"), vocab, stop_words)
