@@ -95,7 +95,7 @@ def draft_document() -> Column:
         lambda m: F.format_string("%s (%s, sim=%.2f): %s", m["key"], m["priority"], m["similarity"], m["summary"]),
     )
     duplicate = F.format_string(
-        "Possible duplicate of %s (confidence: %.0f%%). Engineer should verify before filing.",
+        "May repeat %s (%.0f%% sure); compare the two before filing.",
         F.col("duplicate_of"), F.col("duplicate_confidence") * 100,
     )
     reporter = F.trim(F.concat(
@@ -112,10 +112,10 @@ def draft_document() -> Column:
     )
     sections = [
         _paragraph(
-            _text(F.lit("Auto-drafted report. "), bold=True),
-            _text(F.lit("Review before filing. Human must create the actual ticket.")),
+            _text(F.lit("Draft. "), bold=True),
+            _text(F.lit("To be checked and filed by a person.")),
         ),
-        _heading("Bug Description"),
+        _heading("Description"),
         _paragraph(_text(F.col("description"))),
         _heading("Impact"),
         _paragraph(_text(F.col("impact"))),
@@ -123,14 +123,14 @@ def draft_document() -> Column:
         F.when(F.size("steps_to_reproduce") > 0, _list("orderedList", F.col("steps_to_reproduce"))).otherwise(
             _paragraph(_text(F.lit(lx.NOT_PROVIDED)))
         ),
-        _heading("Expected vs Actual"),
+        _heading("Expected and actual"),
         _paragraph(_text(F.lit("Expected: "), bold=True), _text(F.col("expected_result"))),
         _paragraph(_text(F.lit("Actual: "), bold=True), _text(F.col("actual_result"))),
         _heading("Environment"),
         _list("bulletList", environment),
-        _heading("Triage Assessment"),
+        _heading("Assessment"),
         _paragraph(_text(assessment, bold=True), _text(F.col("justification"))),
-        F.when(found, _heading("Similar Past Bugs")),
+        F.when(found, _heading("Similar issues")),
         F.when(found & F.col("duplicate_of").isNotNull(), _paragraph(_text(duplicate, bold=True))),
         F.when(found, _list("bulletList", lines)),
         F.when(known, _heading("Reporter")),
@@ -306,8 +306,8 @@ def with_media_summary(reports: DataFrame, summaries: DataFrame) -> DataFrame:
     """The media summary ahead of the report text."""
     body = t.strip(F.col("raw_text"))
     both = F.concat(
-        F.lit("[Media findings from attached images]\n"), t.strip(F.col("combined_summary")),
-        F.lit("\n\n[Email body]\n"), body,
+        F.lit("[From attached media]\n"), t.strip(F.col("combined_summary")),
+        F.lit("\n\n[Text]\n"), body,
     )
     return reports.join(summaries, "report_id", "left").select(
         "report_id",

@@ -15,13 +15,13 @@ def owner_frequency(matches: DataFrame, queries: DataFrame, similar: float = lx.
     best = F.max_by(F.struct("assignee", "n"), F.struct("n", -F.col("first_rank")))
     per = counts.groupBy("query_id").agg(best.alias("b"), F.sum("n").alias("total"))
     reason = F.format_string(
-        f"Assigned to %s on %d/%d most-similar past bugs (similarity ≥ {similar}).",
+        f"%s had %d of %d similar issues (similarity {similar} or more).",
         F.col("b.assignee"), F.col("b.n"), F.col("total"),
     )
     return queries.select("query_id").join(per, "query_id", "left").select(
         "query_id",
         F.col("b.assignee").alias("suggested_owner"),
-        F.coalesce(F.when(F.col("b").isNotNull(), reason), F.lit("No assignee data in similar bugs.")).alias("owner_reason"),
+        F.coalesce(F.when(F.col("b").isNotNull(), reason), F.lit("No similar issue names anyone.")).alias("owner_reason"),
     )
 
 
@@ -102,16 +102,15 @@ def owner_routed(
     examples = F.array_join(F.transform(F.slice(F.col("e.keys"), 1, 3), lambda k: k["key"].cast("string")), ", ")
     reason = (
         F.when(engineer, F.format_string(
-            "Highest similar-bug match count on %s (%d of %d candidate hits); e.g. %s.",
+            "Most matches on %s: %d of %d, such as %s.",
             F.col("component"), F.col("e.n"), F.col("total"), examples))
         .when(closest, F.format_string(
-            "No engineer has been assigned a similar bug on this component. The closest similar bug "
-            "(%s, sim %.2f) was owned by manager %s.",
+            "Only a manager has had something similar here: %s (similarity %.2f), %s.",
             F.col("m.key").cast("string"), F.col("m.similarity"), F.col("m.manager")))
         .when(team, F.format_string(
-            "No similar bugs exist for %s — escalating to team manager (%s).", F.col("component"), F.col("manager")))
+            "Nothing similar on %s; its manager is %s.", F.col("component"), F.col("manager")))
         .otherwise(F.format_string(
-            "No similar bugs on %s and no team manager mapped — manual triage required.", F.col("component")))
+            "Nothing similar on %s and no manager is known.", F.col("component")))
     )
     return joined.select(
         "query_id",

@@ -183,12 +183,12 @@ def parse_reports(spark, sf):
 
 _LOW = f"lower({sql_strip('raw_text')})"
 MISSING = "list_filter([" + ", ".join(
-    [f"CASE WHEN length({sql_strip('raw_text')}) < 300 THEN 'the report body is under ~300 characters' END"]
-    + [f"CASE WHEN NOT {sql_any(_LOW, ps)} THEN {q(f'''no '{label}' section in the email''')} END" for label, ps in lx.REQUIRED_SECTIONS]
-    + [f"CASE WHEN len(steps) = 0 AND {sql_any(_LOW, lx.REQUIRED_SECTIONS[0][1])} THEN 'no reproduction steps could be extracted' END"]
+    [f"CASE WHEN length({sql_strip('raw_text')}) < 300 THEN 'fewer than 300 characters' END"]
+    + [f"CASE WHEN NOT {sql_any(_LOW, ps)} THEN {q(f'''section '{label}' is missing''')} END" for label, ps in lx.REQUIRED_SECTIONS]
+    + [f"CASE WHEN len(steps) = 0 AND {sql_any(_LOW, lx.REQUIRED_SECTIONS[0][1])} THEN 'steps are announced but cannot be read' END"]
 ).replace("\nsteps:", "' || chr(10) || 'steps:") + "], lambda m: m IS NOT NULL)"
 VAGUE_CTE = f""", vague AS (SELECT report_id, 'vague_report' AS type,
-  concat('The report is not following the expected format: ', array_to_string(m, '; '), '.') AS message
+  concat('Details are missing: ', array_to_string(m, '; '), '.') AS message
   FROM (SELECT report_id, {MISSING} AS m FROM r JOIN stp USING (report_id)) WHERE len(m) >= 2)"""
 
 

@@ -93,8 +93,8 @@ def tfidf_duplicates(spark, sf):
 
 @query("owner_frequency", f"""WITH {_SIMS}, c AS (SELECT query_id, assignee, count(*) AS n, min(rank) AS first_rank FROM tm WHERE assignee <> '' GROUP BY 1, 2),
  b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first_rank) AS p, sum(n) OVER (PARTITION BY query_id) AS total FROM c)
- SELECT item_id AS query_id, assignee AS suggested_owner, CASE WHEN assignee IS NULL THEN 'No assignee data in similar bugs.'
-   ELSE concat('Assigned to ', assignee, ' on ', n::BIGINT, '/', total::BIGINT, ' most-similar past bugs (similarity ≥ 0.12).') END AS owner_reason
+ SELECT item_id AS query_id, assignee AS suggested_owner, CASE WHEN assignee IS NULL THEN 'No similar issue names anyone.'
+   ELSE concat(assignee, ' had ', n::BIGINT, ' of ', total::BIGINT, ' similar issues (similarity 0.12 or more).') END AS owner_reason
  FROM benchmark LEFT JOIN (SELECT * FROM b WHERE p = 1) x ON x.query_id = item_id""")
 def owner_frequency(spark, sf):
     return routing.owner_frequency(staffed_matches(spark, sf), _asked(spark, sf))

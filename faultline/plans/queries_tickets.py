@@ -515,14 +515,14 @@ def findings_rollup(spark, sf):
 
 @query("with_media_summary", f"""WITH f AS (SELECT report_id, string_agg(CASE WHEN kind = 'video' THEN concat('[Video ', regexp_extract(path, '[^/]+$', 0), '] ', one_line_summary) ELSE {sql_strip('one_line_summary')} END,
   ' ' ORDER BY kind, seq) AS cs FROM ({_FINDINGS}) WHERE one_line_summary <> '' GROUP BY report_id)
-  SELECT doc_id AS report_id, CASE WHEN coalesce(cs, '') <> '' THEN concat('[Media findings from attached images]', chr(10), {sql_strip('cs')}, chr(10), chr(10), '[Email body]', chr(10), {sql_strip('text')}) ELSE {sql_strip('text')} END AS raw_text
+  SELECT doc_id AS report_id, CASE WHEN coalesce(cs, '') <> '' THEN concat('[From attached media]', chr(10), {sql_strip('cs')}, chr(10), chr(10), '[Text]', chr(10), {sql_strip('text')}) ELSE {sql_strip('text')} END AS raw_text
   FROM documents LEFT JOIN f ON report_id = doc_id""")
 def with_media_summary(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), F.col("text").alias("raw_text"))
     return drafts.with_media_summary(docs, drafts.findings_rollup(_findings(spark, sf)))
 
 
-@query("gate_media_contradiction", f"""SELECT report_id, image, screen, concat('Attachment ''', image, ''' shows the ''', screen, ''' screen, which contradicts the email: ', contradiction) AS message
+@query("gate_media_contradiction", f"""SELECT report_id, image, screen, concat('File ', image, ' (screen ', screen, ') disagrees with the text: ', contradiction) AS message
   FROM (SELECT report_id, regexp_extract(path, '[^/]+$', 0) AS image, screen, arg_min(contradiction, seq) AS contradiction FROM ({_FINDINGS}) WHERE contradiction <> '' GROUP BY 1, 2, 3)""")
 def gate_media_contradiction(spark, sf):
     return quality.gate_media_contradiction(_findings(spark, sf)).select("report_id", "image", "screen", "message")

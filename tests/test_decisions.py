@@ -140,8 +140,8 @@ def test_owner_frequency_tie(spark):
     m = spark.createDataFrame([(1, 1, "K", "UI", "x", 0.9), (1, 2, "K", "UI", "y", 0.8), (1, 3, "K", "UI", None, 0.7)], MATCHES)
     q = spark.createDataFrame([(1,), (2,)], "query_id BIGINT")
     got = {r["query_id"]: (r["suggested_owner"], r["owner_reason"]) for r in routing.owner_frequency(m, q).collect()}
-    assert got[1][0] == "x" and "on 1/2 most-similar" in got[1][1]
-    assert got[2] == (None, "No assignee data in similar bugs.")
+    assert got[1][0] == "x" and "had 1 of 2 similar" in got[1][1]
+    assert got[2] == (None, "No similar issue names anyone.")
 
 
 def test_roster(spark):

@@ -138,7 +138,7 @@ def test_gate_vague_counts(spark):
     df = df.withColumn("from_form", F.col("report_id") == "form")
     found = {r["report_id"]: r["message"] for r in gate_vague_report(df).collect()}
     assert set(found) == {"two"}
-    assert "no 'Environment' section in the email; no reproduction steps" in found["two"]
+    assert "section 'Environment' is missing; steps are announced" in found["two"]
 
 
 def test_gate_consistency(spark):
