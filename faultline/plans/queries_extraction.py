@@ -313,9 +313,9 @@ def ticket_search_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", make(F.col("source"), F.col("text")).alias("text"))
 
 
-_FORM_SQL = """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE concat('  ', substr(split_part(text, chr(10), 1), 1, 40)) END AS title,
+_FORM_SQL = """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE concat('  ', split_part(text, chr(10), 1)) END AS title,
   CASE turn % 4 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Android' WHEN 2 THEN '' ELSE 'iOS' END AS platform,
-  CASE WHEN turn % 5 = 0 THEN '' ELSE split_part(text, '.', 1) END AS summary,
+  CASE WHEN turn % 5 = 0 THEN '' ELSE text END AS summary,
   CASE WHEN turn % 2 = 0 THEN concat('1. ', text, chr(10), chr(10), '- last') ELSE '' END AS steps,
   CASE WHEN turn % 3 = 1 THEN role ELSE '' END AS reporter FROM conversations"""
 

@@ -112,8 +112,12 @@ def src_attachments(spark, sf):
 
 @query("src_repo_manifest", "SELECT n_name AS team, s_name AS name, CAST(row_number() OVER (PARTITION BY n_name ORDER BY s_name) AS INT) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def src_repo_manifest(spark, sf):
+    # One manifest per nation, written as JSON and read back.
     j = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return tables.repos_by_team(j.select(F.col("n_name").alias("team"), F.col("s_name").alias("name")))
+    path = fresh_path(spark, "manifest")
+    entry = F.struct(F.col("s_name").alias("name"), F.col("n_name").alias("team"))
+    j.groupBy("n_name").agg(F.collect_list(entry).alias("repos")).write.partitionBy("n_name").json(path)
+    return tables.repos_by_team(tables.read_manifest(spark, path).select("team", "name"))
 
 
 # --- corrections --------------------------------------------------------------------------
@@ -153,7 +157,7 @@ def corrections_latest(spark, sf):
 
 _REVIEWS = """SELECT doc_id, concat('2024-01-', lpad(CAST(1 + doc_id % 28 AS STRING), 2, '0')) AS timestamp, source AS predicted_component,
   CASE WHEN doc_id % 5 = 0 THEN 'bugs' WHEN doc_id % 2 = 0 THEN source ELSE lang END AS edited_component, doc_id % 8 / 8.0 AS confidence,
-  source AS title, split_part(text, '.', 1) AS description, lang AS actual_result FROM documents"""
+  source AS title, text AS description, lang AS actual_result FROM documents"""
 
 
 @query("sink_corrections", f"""SELECT timestamp, substr(md5(concat_ws(chr(10) || chr(10), title, description, actual_result)), 1, 12) AS bug_hash, predicted_component,
