@@ -200,7 +200,30 @@ def op6_licenses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op7_jaccard")
+OP7_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
+    THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS g
+  FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS root, doc_id AS node FROM t
+  UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a)
+SELECT t.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id
+FROM t LEFT JOIN n USING (doc_id) JOIN r ON r.node = t.doc_id GROUP BY t.doc_id
+"""
+
+
+@query("op7_jaccard", OP7_SQL)
 def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of documents that share three quarters of their runs of five words."""
     return jaccard.link_documents(table(spark, sf, "documents"))
