@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, jaccard, language, lines, packing
+from faultline.llm import text as tx
 from faultline.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,6 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Learned from the given labels of the stage's own input; without labels every
     document is in no known language.
     """
+    tx.small_batches(spark)
     model = language.fit(docs)
     found = language.identify(docs, model, prefix="crf_")
     kept = (F.col("crf_lang_pred") != language.UNKNOWN) & (F.col("crf_score") >= LEAST_SCORE)
@@ -32,6 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of line runs; documents of which nothing is left go."""
+    tx.small_batches(spark)
     found = lines.drop_repeated_lines(docs)
     left = F.regexp_like(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]"))
     cut = F.col("n_deleted") > 0
@@ -44,6 +47,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near-duplicate documents."""
+    tx.small_batches(spark)
     groups = jaccard.link_documents(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
@@ -51,12 +55,14 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of ten words of a benchmark item."""
+    tx.small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.without_windows(docs, items).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens, with their ids."""
+    tx.small_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -24,6 +24,7 @@ from faultline.llm.graph import components
 from faultline.session import materialise
 
 KEY_BYTES = 5
+TILE_BYTES = 1 << 21  # text whose shingles share tiles
 TILE_SCHEMA = "block int, ids binary, counts binary, sizes binary, keys binary, freq binary"
 TILE_NAMES = ["block", "ids", "counts", "sizes", "keys", "freq"]
 TILE_KINDS = [pa.int32()] + [pa.binary()] * 5
@@ -103,7 +104,7 @@ def incidence_tiles(docs: DataFrame, size: int, blocks: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(batch.column("id"))
-            for row, end, data, offsets in tx.text_slices(batch, "text"):
+            for row, end, data, offsets in tx.text_slices(batch, "text", TILE_BYTES):
                 words, first = tx.word_hashes(data, offsets, tx.NOT_SPACE)
                 values, bounds = tx.shingle_sets(words, first, size)
                 n = np.diff(bounds)

@@ -65,7 +65,8 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     lines = materialise(line_rows(docs), "lines")
     place = F.struct("doc_id", "line")
     classes = lines.groupBy("hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = classes.where("n > 1").select("hash", "first")
+    # written, so that both sides of the join are dealt out and a common line can be split
+    classes = materialise(classes.where("n > 1").select("hash", "first"), "line-classes")
     level = materialise(
         lines.join(classes, "hash").withColumnRenamed("hash", "rank"), "windows"
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, exact, jaccard, language, licenses, lines, packing, passages, quality, warc
+from faultline.llm import text as tx
 from faultline.session import fresh_path, materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    tx.small_batches(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

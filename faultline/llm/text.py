@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-SLICE_BYTES = 1 << 21  # text handled at a time; a longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # text handled at a time; a longer text is a slice of its own
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2)
@@ -19,6 +20,15 @@ _BYTE += np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch than the default of 10,000.
+
+    Texts are long: a batch is held on both sides of the pipe to Python, by every task.
+    A setting of the session, for the queries and the pipeline to make.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """Table of 256: true outside the given byte ranges (both ends in)."""
     table = np.ones(256, bool)
