@@ -249,7 +249,7 @@ def train(
     model = Model(vectors, centre, spread, (weights[0], weights[1]), (weights[2], float(weights[3][0])), 1.0)
     if back.any():
         logit, truth = _forward(model, x[back])[0], y[back]
-        tried = np.exp(np.linspace(-1.5, 2.5, 81))
+        tried = np.exp(np.linspace(0, 2.5, 81))  # never surer than the network
         loss = [np.logaddexp(0, -(2 * truth - 1) * logit / t).mean() for t in tried]
         model.temperature = float(tried[int(np.argmin(loss))])
     return model
