@@ -11,7 +11,7 @@ from faultline.session import materialise
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with a link; the component is its smallest node.
 
-    ``edges`` has columns a and b. Alternates two steps until nothing changes: every
+    ``edges`` has columns a and b. Alternates two steps until all links form stars: every
     node shows its larger neighbours the smallest node it knows, then its smaller ones.
     Minima are grouped before they are joined back, so a node with many links is
     one row on one side of each join. No links give no rows.
@@ -19,16 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
-    pairs, seen = materialise(pairs.distinct(), "links"), None
+    pairs = materialise(pairs.distinct(), "links")
     while True:
-        state = pairs.agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
-        ).first()
-        if tuple(state) == seen:
+        if not _no_star(pairs).take(1):
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        seen = tuple(state)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))
@@ -38,3 +34,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         own = least.select("u", F.col("m").alias("v"))
         pairs = materialise(own.unionByName(small).distinct(), "links")
+
+
+def _no_star(pairs: DataFrame) -> DataFrame:
+    """Nodes with two smaller neighbours, or with a smaller and a larger one."""
+    ends = pairs.select(F.col("u").alias("x"), "v").unionByName(
+        pairs.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("v"))
+    )
+    seen = ends.groupBy("x").agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.max(F.col("v").isNull()).alias("head")
+    )
+    return seen.where("low <> high or (low is not null and head)")

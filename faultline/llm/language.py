@@ -222,13 +222,17 @@ def fit(
 def _train(model: Model, rows: list[tuple[str, int]], max_words: int, epochs: int, seed: int):
     rng = np.random.default_rng(seed)
     batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string())], ["text"])
-    parts = [x for x in tx.text_slices(batch, "text", 1 << 40)]
-    if not parts:
+    found, n_words, n_grams = [], 0, 0
+    for _, _, data, offsets in tx.text_slices(batch, "text", 1 << 18):
+        data = lower_bytes(data)
+        starts, ends, first = tx.word_bounds(data, offsets, LETTERS)
+        affixes, grams, gram_first, words = word_features(data, starts, ends)
+        found.append((affixes, grams, gram_first + n_grams, words, first[:-1] + n_words))
+        n_words, n_grams = n_words + len(words), n_grams + len(grams)
+    if not n_words:
         return
-    _, _, data, offsets = parts[0]
-    data = lower_bytes(data)
-    starts, ends, first = tx.word_bounds(data, offsets, LETTERS)
-    affixes, grams, gram_first, words = word_features(data, starts, ends)
+    affixes, grams, gram_first, words, first = (np.concatenate(x) for x in zip(*found, strict=True))
+    first = np.append(first, n_words)
     gram_end = np.append(gram_first[1:], len(grams))
     label = np.array([y for _, y in rows])
     known = np.flatnonzero(np.diff(first) > 0)
