@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from faultline.llm import text as tx
 from faultline.session import materialise
 
-LINE_SCHEMA = "doc_id long, line int, hash long, words int"
+LINE_SCHEMA = "doc_id long, line int, hash long, words int, before long"
 RUN = "struct<first:int,lines:int,source_id:long,source_line:int>"
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place among those of its text, its hash and word count."""
+    """Every line with a word: its place among those of its text, hash, words, words before it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -26,14 +26,16 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 starts, ends, words, text = _lines(data, offsets)
                 first = np.searchsorted(text, np.arange(len(offsets)))
                 place = np.arange(len(text)) - first[text]
+                total = np.concatenate([[0], np.cumsum(words)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[row + text]),
                         pa.array(place, pa.int32()),
                         pa.array(tx.span_hashes(data, starts, ends).view(np.int64)),
                         pa.array(words, pa.int32()),
+                        pa.array(total[:-1] - total[first[text]], pa.int64()),
                     ],
-                    ["doc_id", "line", "hash", "words"],
+                    ["doc_id", "line", "hash", "words", "before"],
                 )
 
     return docs.mapInArrow(cut, LINE_SCHEMA)
@@ -53,14 +55,17 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line, size): windows of 1, 2, 4, ... lines that repeat an earlier one.
+    """(doc_id, line, size, first): windows that repeat an earlier one; they cover all such runs.
 
     ``rank`` numbers the distinct windows in their sorted order, so sorting suffixes by it
     is the suffix array to that depth; the members of a rank are the interval whose common
     prefix has at least ``size`` lines. A round pairs the rank of a window with that of
     the window after it, groups the pairs, and sorts what occurs twice. Windows that
     occur once are dropped; so a round has only what is still repeated. Doubling ends
-    when all of those have ``min_words`` words, since longer runs are made of them.
+    when all of those have ``min_words`` words. Between two rounds, a window of any other
+    length is the pair of the ranks at its start and at its end, which overlap. Only those
+    are made that are too short without their first or their last line: each line of a
+    repeated run is in one of these, and they have at most ``min_words`` lines.
     """
     lines = materialise(line_rows(docs), "lines")
     place = F.struct("doc_id", "line")
@@ -79,6 +84,8 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
         )
         if not level.where(~enough).take(1):
             break
+        for other in range(size + 1, min(2 * size - 1, min_words) + 1):
+            found.append(_between(level, size, other, min_words))
         after = level.select(
             "doc_id",
             (F.col("line") - size).alias("line"),
@@ -113,12 +120,42 @@ def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
     return out
 
 
+def _between(level: DataFrame, size: int, other: int, min_words: int) -> DataFrame:
+    """Repeated windows of ``other`` lines, from ``size`` to twice that, with a part that is too short."""
+    tail = level.select(
+        "doc_id",
+        (F.col("line") - (other - size)).alias("line"),
+        F.col("rank").alias("next"),
+        F.col("words").alias("more"),
+        F.col("before").alias("behind"),
+    )
+    words = F.col("behind") + F.col("more") - F.col("before")
+    short = (F.col("words") < min_words) | (F.col("more") < min_words)
+    pairs = materialise(
+        level.drop("first")
+        .join(tail, ["doc_id", "line"])
+        .where(short & (words >= min_words))
+        .select("doc_id", "line", "rank", "next"),
+        "window-pairs",
+    )
+    classes = pairs.groupBy("rank", "next").agg(
+        F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")
+    )
+    classes = materialise(classes.where("n > 1").drop("n"), "window-classes")
+    later = F.struct("doc_id", "line") > F.col("first")
+    return (
+        pairs.join(classes, ["rank", "next"])
+        .where(later)
+        .select("doc_id", "line", F.lit(other).alias("size"), "first")
+    )
+
+
 def drop_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5
 ) -> DataFrame:
     """Replaces the text by what is left of it; adds n_lines, n_deleted and runs.
 
-    A line goes if it lies in a window of 1, 2, 4, ... lines that has at least
+    A line goes if it lies in a run of lines of any length that has at least
     ``min_words`` words and occurred before, by id and line. ``runs`` are the stretches
     deleted (place among the lines with a word, number of lines) with the place of the
     earlier copy of their first line. Lines without a word are not counted and stay.

@@ -68,3 +68,34 @@ def test_odd_rows(spark):
     want += [(4, rows[4][1], 1, 0), (5, rows[5][1], 1, 0), (5, rows[5][1], 1, 0), (6, "", 1, 1)]
     assert found == sorted(want, key=str)
     assert lines.drop_repeated_lines(frame(spark, [])).collect() == []
+
+
+def brute_runs(rows, min_words):
+    """Deleted lines (document, place) over runs of every length."""
+    texts = {d: [x for x in t.split("\n") if x.strip()] for d, t in sorted(rows)}
+    seen, gone = {}, set()
+    for size in range(1, max(map(len, texts.values())) + 1):
+        for doc, own in texts.items():
+            for p in range(len(own) - size + 1):
+                window = tuple(own[p : p + size])
+                first = seen.setdefault(window, (doc, p))
+                if first < (doc, p) and sum(len(x.split()) for x in window) >= min_words:
+                    gone.update((doc, k) for k in range(p, p + size))
+    return gone
+
+
+@pytest.mark.parametrize("min_words", [1, 5, 12])
+def test_runs_of_every_length(spark, min_words):
+    rng = random.Random(40 + min_words)
+    pool = ["a", "b", "c d", "e f", "g h i", "j k l m n o"]
+    rows = [(k, "\n".join(rng.choices(pool, k=rng.randrange(16)))) for k in range(50)]
+    menu = [f"item{k}" for k in range(7)]
+    for n in (5, 6, 7):
+        rows += [(100 * n + k, "\n".join([f"top{n}{k}", *menu[:n], f"end{n}{k}"])) for k in range(2)]
+    for n, run in ((8, ["one two", "three four", "five six"]), (9, ["r s t u v w", "x", "y"])):
+        rows += [(100 * n + k, "\n".join([f"top{n}{k}", *run, f"end{n}{k}"])) for k in range(2)]
+    found = lines.drop_repeated_lines(frame(spark, rows), min_words=min_words).collect()
+    gone = {(r.doc_id, p) for r in found for x in r.runs for p in range(x["first"], x["first"] + x["lines"])}
+    assert gone == brute_runs(rows, min_words)
+    if min_words == 5:
+        assert {(801, 1), (801, 2), (801, 3), (901, 3), (501, 5)} <= gone
