@@ -15,7 +15,7 @@ from faultline.llm import text as tx
 from faultline.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Mean probability of the predicted language below which a text is in none.
+#: Mean over the words of their most probable language's probability, below which a text is in none.
 LEAST_SCORE = 0.4
 
 
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     tx.small_batches(spark)
     model = language.fit(docs)
     found = language.identify(docs, model, prefix="crf_")
-    kept = (F.col("crf_lang_pred") != language.UNKNOWN) & (F.col("crf_score") >= LEAST_SCORE)
+    kept = (F.col("crf_lang_pred") != language.UNKNOWN) & (F.col("crf_certainty") >= LEAST_SCORE)
     return found.where(kept).withColumn("lang", F.col("crf_lang_pred")).select(*COLUMNS)
 
 

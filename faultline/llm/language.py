@@ -295,17 +295,18 @@ def _has_letter(text: str) -> bool:
 def identify(
     docs: DataFrame, model: Model, text_col: str = "text", prefix: str = ""
 ) -> DataFrame:
-    """Adds lang_pred, score and runs to every row.
+    """Adds lang_pred, score, runs and certainty to every row.
 
     Every word is labelled by its forward-backward probabilities; ``lang_pred`` is the
     language with the highest mean probability over the words, ``score`` that mean.
-    ``runs`` are stretches of words of one language: first word, words, lang. A null
-    text, one without a letter, or a model without languages gives ``und``, 0 and no
-    runs. Ties go to the first language by name. Columns of the same names are
+    ``runs`` are stretches of words of one language: first word, words, lang.
+    ``certainty`` is the mean over the words of their most probable language, so it
+    stays high where a text switches between languages. A null text, one without a
+    letter, or a model without languages gives ``und``, 0, no runs and 0. Ties go to the first language by name. Columns of the same names are
     replaced unless a ``prefix`` keeps the new ones apart; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [prefix + x for x in ("lang_pred", "score", "runs")]
+    names = [prefix + x for x in ("lang_pred", "score", "runs", "certainty")]
     kept = [c for c in docs.columns if c not in names]
     run = pa.list_(
         pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())])
@@ -316,9 +317,9 @@ def identify(
         for batch in batches:
             for row, end, data, offsets in tx.text_slices(batch, text_col):
                 part = batch.slice(row, end - row)
-                lang, score, runs = _label(model, part.column(text_col), data, offsets)
+                lang, score, runs, certainty = _label(model, part.column(text_col), data, offsets)
                 columns = [part.column(c) for c in kept]
-                columns += [pa.array(lang, pa.string()), pa.array(score), pa.array(runs, run)]
+                columns += [pa.array(lang, pa.string()), pa.array(score), pa.array(runs, run), pa.array(certainty)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
     schema = ", ".join(
@@ -326,6 +327,7 @@ def identify(
         + [
             f"`{names[0]}` string, `{names[1]}` double",
             f"`{names[2]}` array<struct<first:int,words:int,lang:string>>",
+            f"`{names[3]}` double",
         ]
     )
     return docs.select(*kept).mapInArrow(label, schema)
@@ -343,7 +345,7 @@ def _label(model: Model, texts: pa.Array, data: np.ndarray, offsets: np.ndarray)
     data = lower_bytes(data)
     starts, ends, first = tx.word_bounds(data, offsets, LETTERS)
     if not len(starts) or not model.languages:
-        return names[np.full(n, -1)].tolist(), np.zeros(n), [[] for _ in range(n)]
+        return names[np.full(n, -1)].tolist(), np.zeros(n), [[] for _ in range(n)], np.zeros(n)
     scores = emissions(model, data, starts, ends)
     share, _ = marginals(scores, model.transitions, *sequences(first))
     total = np.concatenate([np.zeros((1, share.shape[1])), np.cumsum(share, 0, np.float64)])
@@ -351,6 +353,9 @@ def _label(model: Model, texts: pa.Array, data: np.ndarray, offsets: np.ndarray)
     known &= np.diff(first) > 0
     best = np.where(known, mean.argmax(axis=1), -1)
     score = np.where(known, np.minimum(mean.max(axis=1), 1.0), 0.0)
+    most = np.concatenate([[0.0], np.cumsum(share.max(axis=1), dtype=np.float64)])
+    certainty = (most[first[1:]] - most[first[:-1]]) / np.maximum(np.diff(first), 1)
+    certainty = np.where(known, np.minimum(certainty, 1.0), 0.0)
     label = share.argmax(axis=1)
     new = np.ones(len(label), bool)
     new[1:] = label[1:] != label[:-1]
@@ -362,4 +367,4 @@ def _label(model: Model, texts: pa.Array, data: np.ndarray, offsets: np.ndarray)
     for d, a, w in zip(text.tolist(), at.tolist(), words.tolist(), strict=True):
         if known[d]:
             runs[d].append({"first": a - int(first[d]), "words": w, "lang": names[label[a]]})
-    return names[best].tolist(), score, runs
+    return names[best].tolist(), score, runs, certainty

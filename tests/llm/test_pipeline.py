@@ -67,3 +67,17 @@ def test_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), f"empty-{name}")
     assert docs.collect() == []
+
+
+def test_text_of_several_languages_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    parts = {}
+    for r in docs.where("n_chars > 900").orderBy("doc_id").collect():
+        if " | " not in r.text:
+            parts.setdefault(r.lang, " ".join(r.text.split()[20:80]))
+    assert len(parts) >= 3
+    texts = [" ".join(parts[x] for x in ("en", "de", "es")), " ".join(parts.values())]
+    rows = [(10**9 + k, t, "en", "a", len(t)) for k, t in enumerate(texts)]
+    more = spark.createDataFrame(rows, docs.schema)
+    found = corpus_pipeline.identify_language(spark, docs.unionByName(more), SF)
+    assert {r.doc_id for r in found.where("doc_id >= 1000000000").collect()} == {10**9, 10**9 + 1}
