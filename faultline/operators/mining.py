@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from faultline import lexicons as lx
 
 
-def read_repo_files(spark: SparkSession, root: str, max_bytes: int = 2_000_000) -> DataFrame:
+def read_repo_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """All files below ``root/<repo>/``, one row per file.
 
     Only files that the operators read have their content, whole: source suffixes,
-    build files, configuration and READMEs of up to ``max_bytes``; names and length are
-    checked by the scan, before a byte is read. Bytes that are no UTF-8 become
+    build files, configuration and READMEs, of any length unless ``max_bytes`` is given;
+    names and length are checked by the scan, before a byte is read. One of 2 GB or more
+    is an error, as Spark cannot hold it in a row. Bytes that are no UTF-8 become
     replacement characters. The other files have a null content.
     """
     base = root.rstrip("/")
@@ -23,7 +24,9 @@ def read_repo_files(spark: SparkSession, root: str, max_bytes: int = 2_000_000)
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     names = [*lx.BUILD_FILES, *lx.ENTRY_FILES, *lx.README_NAMES, "*.yml", "*.yaml", "*.properties"]
     wanted = "{" + ",".join(dict.fromkeys([f"*{x}" for x in lx.SOURCE_SUFFIXES] + names)) + "}"
-    texts = scan.option("pathGlobFilter", wanted).load(base).filter(F.col("length") <= max_bytes)
+    texts = scan.option("pathGlobFilter", wanted).load(base)
+    if max_bytes is not None:
+        texts = texts.filter(F.col("length") <= max_bytes)
     texts = texts.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     return every.select("path", "length").join(texts, "path", "left").select(

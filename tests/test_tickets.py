@@ -269,3 +269,13 @@ def test_stream_triage_rerun_adds_nothing(spark, tmp_path):
         streams.stream_triage(streams.report_stream(spark, str(tmp_path)), parse_reports, out).awaitTermination()
     rows = spark.read.parquet(f"{out}/data").collect()
     assert [(r["report_id"], r["title"]) for r in rows] == [("a", "[Payments]: pay fails")]
+
+
+def test_long_source_files_are_read_whole(spark, tmp_path):
+    (tmp_path / "shop").mkdir()
+    (tmp_path / "shop/big.py").write_text("#" * 2_500_000 + "\nclass Last(Base):\n")
+    df = mining.read_repo_files(spark, str(tmp_path))
+    content = df.first()["content"]
+    assert len(content) == 2_500_019 and content.endswith("class Last(Base):\n")
+    assert [(r["path"], r["line_no"]) for r in mining.mine_grep(df, "class last").collect()] == [("big.py", 2)]
+    assert mining.read_repo_files(spark, str(tmp_path), 1000).first()["content"] is None
