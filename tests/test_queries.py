@@ -1,6 +1,10 @@
 """Every registered query against its SQL counterpart on the smallest tables."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -46,3 +50,23 @@ def test_query(spark, sf, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["query_id", "suggested_owner", "owner_reason"]
+
+
+def test_entry_without_the_corpus_package(tmp_path):
+    """The other queries stand without the corpus operators and their tests."""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    code = (
+        "import __spark_entry__ as e; names = set(e.queries())\n"
+        "assert 'pipeline' not in names and not [n for n in names if n.startswith('op')]\n"
+        "assert set(e.oracle_sql()) <= names and len(names) > 100"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, timeout=120)
+
+
+def test_template_words_are_cut_once(spark, sf):
+    """No filter repeats the extraction below the explode."""
+    plan = entry.queries()["template_best"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter")]
+    assert not [x for x in filters if "regexp_extract_all" in x]
