@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, exact, jaccard, language, licenses, lines, packing, passages, quality, warc
+from faultline.llm import (
+    decontaminate,
+    exact,
+    jaccard,
+    language,
+    licenses,
+    lines,
+    merkle,
+    packing,
+    passages,
+    quality,
+    tokens,
+    warc,
+)
 from faultline.llm import text as tx
 from faultline.session import fresh_path, materialise
 
@@ -274,3 +287,94 @@ def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
     return others.select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(
         revisits.select(*columns, "refers_to")
     )
+
+
+OP11_SQL = """
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+rows AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+    xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 AS struck
+  FROM documents, crc),
+told AS (
+  SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM rows),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN struck THEN sha256(head || coalesce(strlen(small) || ':' || small, '-')) END AS changed FROM told),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+  count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+low(tree, level, place, n, digest) AS (
+  SELECT tree, 0, place, n, leaf FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 8, (max(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM low WHERE n > 1 GROUP BY tree, level, place // 8),
+subs AS (SELECT tree, level AS depth, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place,
+  count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, place, n, digest) AS (
+  SELECT 0, place, n, subroot FROM subs
+  UNION ALL
+  SELECT level + 1, place // 8, (max(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM high WHERE n > 1 GROUP BY level, place // 8),
+nodes AS (
+  SELECT tree, level, place, n, digest FROM low
+  UNION ALL SELECT NULL, level, place, n, digest FROM high),
+sides AS (
+  SELECT a.tree, a.level, a.place, string_agg(b.digest, '' ORDER BY b.place) FILTER (WHERE b.place < a.place) AS l,
+    string_agg(b.digest, '' ORDER BY b.place) FILTER (WHERE b.place > a.place) AS r
+  FROM nodes a JOIN nodes b ON a.tree IS NOT DISTINCT FROM b.tree AND a.level = b.level
+    AND a.place // 8 = b.place // 8 WHERE a.n > 1 GROUP BY 1, 2, 3),
+climb(tree, first, level, place, proof, folded) AS (
+  SELECT tree, place, 0, place, '', coalesce(changed, leaf) FROM placed
+  UNION ALL
+  SELECT c.tree, first, c.level + 1, CASE WHEN c.level + 1 = depth THEN 0 ELSE c.place // 8 END,
+    proof || coalesce(l, '') || coalesce(r, ''), sha256(coalesce(l, '') || folded || coalesce(r, ''))
+  FROM climb c JOIN subs USING (tree) JOIN sides s ON s.tree = c.tree AND s.level = c.level AND s.place = c.place
+  WHERE c.level < depth),
+top_climb(tree, first, level, place, proof, folded) AS (
+  SELECT c.tree, first, 0, s.place, proof, folded FROM climb c JOIN subs s ON s.tree = c.tree AND c.level = s.depth
+  UNION ALL
+  SELECT c.tree, first, c.level + 1, c.place // 8, proof || coalesce(l, '') || coalesce(r, ''),
+    sha256(coalesce(l, '') || folded || coalesce(r, ''))
+  FROM top_climb c JOIN sides s ON s.tree IS NULL AND s.level = c.level AND s.place = c.place)
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+  folded = digest AS verified
+FROM placed p JOIN subs USING (tree) JOIN high h ON h.n = 1
+JOIN top_climb t ON t.tree = p.tree AND t.first = p.place AND t.level = h.level
+"""
+
+
+@query("op11_merkle", OP11_SQL)
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Proof of every document in the manifest; a third of the documents are tampered with."""
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    struck = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    told = F.when(struck, merkle.leaf_digest(text=small))
+    manifest = merkle.build_manifest(table(spark, sf, "documents"), keep={"told": told})
+    found = merkle.verify(manifest, F.coalesce("told", "leaf"))
+    return found.select(
+        F.col("row_id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document; fills an empty cache of counts."""
+    name = f"token_cache_{uuid.uuid4().hex}"
+    tokens.open_cache(spark, name, fresh_path(spark, "token-cache"))
+    counts = tokens.count_tokens(table(spark, sf, "documents"), name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the counts are written
+    return counts.select(
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit")
+    )
