@@ -19,6 +19,7 @@ from faultline.llm import (
     packing,
     passages,
     quality,
+    repair,
     tokens,
     warc,
 )
@@ -289,16 +290,25 @@ def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-OP11_SQL = """
+#: CRC-32 in SQL: the table from its rule, then a fold over the (ASCII) characters.
+CRC_SQL = """
 WITH RECURSIVE bits(i, k, v) AS (
   SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
   UNION ALL
   SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
 crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+"""
+
+
+def crc_of(text: str) -> str:
+    return f"""xor(list_reduce([4294967295] || list_transform(string_split({text}, ''),
+      lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+OP11_SQL = f"""{CRC_SQL}
 rows AS (
   SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
-    xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
-      lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 AS struck
+    {crc_of('CAST(doc_id AS VARCHAR)')} % 3 = 0 AS struck
   FROM documents, crc),
 told AS (
   SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-')
@@ -378,3 +388,92 @@ def op12_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit")
     )
+
+
+OP13_SQL = f"""{CRC_SQL}
+keyed AS (
+  SELECT *, {crc_of("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k,
+    coalesce(CAST(conv_id AS VARCHAR), '~') AS c FROM conversations, crc),
+damaged AS (
+  SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM keyed WHERE k <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c
+    ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text), copy) - 1 AS place FROM damaged),
+coded AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+      WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY place) > 1 THEN 'd'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '.' END AS fault,
+    left(role, 1) AS initial, lead(left(role, 1)) OVER (PARTITION BY c ORDER BY place) AS next FROM placed),
+tallies AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank,
+    count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated, count(*) AS n,
+    count_if(next IS NOT NULL AND initial || next NOT IN ('su', 'ua', 'au')) AS illegal FROM coded GROUP BY c),
+fill(q, q2, cost, audit, lines) AS (VALUES
+  (0, 0, 0, '', []), (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']),
+  (1, 1, 0, '', []), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+  (2, 2, 0, '', []), (2, 3, 5, 'I', ['assistant:']), (3, 3, 0, '', []), (3, 2, 5, 'I', ['user:'])),
+keep(q, q2, initial) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')),
+rename(q, q2, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+edits AS (
+  SELECT c, place, q, q AS q2, 2 AS cost, 'D' AS audit, CAST([] AS VARCHAR[]) AS lines
+    FROM coded, (SELECT unnest([0, 1, 2, 3]) AS q)
+  UNION ALL
+  SELECT c, place, q, q2, CASE WHEN fault = 't' THEN 5 ELSE 0 END, 'K', [role || ':' || text]
+    FROM coded JOIN keep USING (initial) WHERE fault IN ('t', '.')
+  UNION ALL
+  SELECT c, place, q, q2, CASE WHEN fault = 't' THEN 6 ELSE 1 END, 'R', [r.role || ':' || text]
+    FROM coded, rename r WHERE fault IN ('t', '.')),
+best(c, place, q, b) AS (
+  SELECT c, CAST(0 AS BIGINT), 0, struct_pack(cost := CAST(0 AS BIGINT), audit := '', lines := CAST([] AS VARCHAR[])) FROM tallies
+  UNION ALL
+  SELECT s.c, s.place + 1, e.q2, min(struct_pack(cost := CAST(b.cost + f.cost + e.cost AS BIGINT),
+    audit := b.audit || f.audit || e.audit, lines := b.lines || f.lines || e.lines))
+  FROM best s JOIN fill f ON f.q = s.q JOIN edits e ON e.c = s.c AND e.place = s.place AND e.q = f.q2
+  GROUP BY s.c, s.place, e.q2),
+won AS (
+  SELECT s.c, min(struct_pack(cost := CAST(b.cost + f.cost AS BIGINT), audit := b.audit || f.audit,
+    lines := b.lines || f.lines)) AS b
+  FROM best s JOIN tallies t ON t.c = s.c AND t.n = s.place JOIN fill f ON f.q = s.q AND f.q2 IN (0, 3) GROUP BY s.c)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost,
+  coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN tallies t ON t.c = coalesce(CAST(i.conv_id AS VARCHAR), '~')
+LEFT JOIN won w ON w.c = t.c
+"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Faults by the CRC of conversation and turn: dropped, emptied, cut, repeated, renamed."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    k = F.crc32(F.concat(parts[0], F.lit(":"), parts[1])) % 20
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    struck = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), k.alias("k")).where("k <> 0")
+    return struck.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("k") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("k") == 1, "").when(F.col("k") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("k") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+@query("op13_repair", OP13_SQL)
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Damaged conversations, their faults, the cheapest repair and a digest of the result."""
+    turns = table(spark, sf, "conversations")
+    found, repaired = repair.repair_conversations(damaged(turns))
+    digests = repair.conversation_digests(repaired)
+    every = turns.select("conv_id").distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    found = found.withColumnRenamed("conv_id", "_f")
+    digests = digests.withColumnRenamed("conv_id", "_d")
+    whole = every.join(found, F.col("conv_id").eqNullSafe(F.col("_f")), "left")
+    whole = whole.join(digests, F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    return whole.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
