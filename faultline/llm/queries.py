@@ -109,6 +109,7 @@ def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: A line of a run that goes lies in a part of it of up to five lines that has five words too.
 OP9_SQL = """
 WITH raw AS (
   SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
@@ -121,7 +122,7 @@ docs AS (SELECT doc_id, list(line ORDER BY p) AS ls, list(w ORDER BY p) AS ws FR
 wins AS (
   SELECT doc_id, size, k - 1 AS p, ls[k:k + size - 1] AS win, list_sum(ws[k:k + size - 1]) AS w
   FROM (SELECT *, unnest(range(1, len(ls) - size + 2)) AS k
-        FROM docs, (SELECT unnest([1, 2, 4, 8]) AS size) WHERE len(ls) >= size)),
+        FROM docs, (SELECT unnest(range(1, 6)) AS size) WHERE len(ls) >= size)),
 later AS (
   SELECT *, row_number() OVER (PARTITION BY size, win ORDER BY doc_id, p) AS nth FROM wins),
 gone AS (

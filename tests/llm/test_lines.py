@@ -12,7 +12,7 @@ def brute(rows, min_words=5):
     seen, gone, texts = {}, {}, {}
     for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         texts[doc] = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
-    for size in (1, 2, 4, 8, 16, 32):
+    for size in range(1, max(map(len, texts.values()), default=0) + 1):
         for doc, own in texts.items():
             for p in range(len(own) - size + 1):
                 window = tuple(own[p : p + size])
