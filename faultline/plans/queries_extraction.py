@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
@@ -13,6 +13,7 @@ from faultline.plans import standins as s
 from faultline.plans.registry import q, query, sql_any, sql_ladder, sql_list, sql_pattern, sql_strip, sql_word, table
 from faultline.sources import issues as src
 from faultline.sources import reports as rep
+from faultline.session import materialise
 
 PRODUCT = "App"
 BASE = f"WITH {s.REPORTS_CTE}, r AS (SELECT *, {sql_strip('raw_text')} AS t FROM rep)"
@@ -273,6 +274,42 @@ def lexicon_join(spark, sf):
     return extraction.lexicon_join(corpus, lx.COMPONENT_RULES)
 
 
+# A lexicon of the size of a real one: the 10,000 most frequent pairs of neighbouring words.
+_PAIRS = """pairs AS (SELECT w[k] || ' ' || w[k + 1] AS pattern, count(*) AS n
+   FROM (SELECT w, unnest(range(1, len(w))) AS k FROM (SELECT string_split(lower(text), ' ') AS w FROM documents)) GROUP BY 1),
+ lex AS (SELECT row_number() OVER (ORDER BY n DESC, pattern) AS rank, split_part(pattern, ' ', 1) AS label, pattern
+   FROM (SELECT * FROM pairs WHERE length(pattern) >= 5 ORDER BY n DESC, pattern LIMIT 10000))"""
+
+
+def pair_lexicon(spark, sf) -> DataFrame:
+    words = table(spark, sf, "documents").select(F.split(F.lower("text"), " ", -1).alias("w"))
+    firsts = F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = F.zip_with(firsts, F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+    counts = words.select(F.explode_outer(pairs).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    top = counts.where("length(pattern) >= 5").orderBy(F.desc("n"), "pattern").limit(10_000)
+    ranked = top.select("pattern", F.row_number().over(Window.orderBy(F.desc("n"), "pattern")).alias("rank"))
+    return materialise(ranked.withColumn("label", F.split_part("pattern", F.lit(" "), F.lit(1))), "lexicon")
+
+
+@query("lexicon_table_join", f"""WITH {_PAIRS}
+ SELECT doc_id AS report_id, count(*) AS n_entries, sum(rank)::BIGINT AS ranks, max(pattern) AS last_pattern
+ FROM documents JOIN lex ON contains(lower(text), pattern) GROUP BY 1""")
+def lexicon_table_join(spark, sf):
+    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), F.lower("text").alias("corpus"))
+    found = extraction.lexicon_join(corpus, pair_lexicon(spark, sf))
+    return found.groupBy("report_id").agg(
+        F.count("*").alias("n_entries"), F.sum("rank").alias("ranks"), F.max("pattern").alias("last_pattern")
+    )
+
+
+@query("component_table", f"""WITH {_PAIRS}
+ SELECT doc_id AS report_id, coalesce(arg_min(label, rank), {q(lx.CATCH_ALL)}) AS component_hint
+ FROM documents LEFT JOIN lex ON contains(lower(text), pattern) GROUP BY 1""")
+def component_table(spark, sf):
+    corpus = table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), F.lower("text").alias("corpus"))
+    return extraction.route_components(corpus, pair_lexicon(spark, sf))
+
+
 # --- other text sources -----------------------------------------------------------------
 
 

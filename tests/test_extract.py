@@ -1,10 +1,23 @@
 """Extraction on authored reports."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from faultline.functions import automaton
 from faultline.functions import extract as x
 from faultline.functions import text as t
-from faultline.operators.extraction import keyword_hits, lexicon_rules, parse_reports
+from faultline.operators.extraction import (
+    keyword_hits,
+    lexicon_join,
+    lexicon_matches,
+    lexicon_rules,
+    lexicon_table,
+    parse_reports,
+    route_components,
+    with_components,
+)
 from faultline.operators.priority import is_vague
 from faultline.operators.quality import gate_field_consistency, gate_vague_report
 from faultline.sources.reports import form_reports
@@ -194,3 +207,41 @@ def test_json_from_text(spark):
     long = '{"a": "' + "\\\\n{" * 20000 + '"}'
     assert get("see " + long + " and {") == long
     assert get("nothing") is None and get("{broken") is None
+
+
+def test_phrases_of_texts():
+    rng = random.Random(1)
+    for _ in range(40):
+        phrases = list({"".join(rng.choices("abé ", k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 30))})
+        texts = [
+            rng.choice([None, "".join(rng.choices("abcé ", k=rng.choice([0, 3, 20, 3000])))]) for _ in range(40)
+        ]
+        own = automaton.Automaton([p.encode() for p in phrases])
+        want = [[i for i, p in enumerate(phrases) if x is not None and p in x] for x in texts]
+        assert automaton.phrases_of_texts(own, pa.array(texts, pa.string())).to_pylist() == want
+    empty = automaton.phrases_of_texts(automaton.Automaton([]), pa.array(["a", None], pa.string()))
+    assert empty.to_pylist() == [[], []]
+
+
+def test_lexicon_table_of_any_size(spark):
+    """Shards, hot phrases, repeated and odd rows against plain search."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcde", k=4))
+    entries = [(k, f"l{k % 7}", word()) for k in range(1, 900)]
+    entries += [(5000, "hot", "a"), (1, "tie", "a"), (6000, "none", ""), (7000, "none", None)]
+    texts = [(k, " ".join(word() for _ in range(rng.choice([0, 1, 30])))) for k in range(150)]
+    texts += [(200, None), (201, "a" * 100_000), (202, "zzz")]
+    corpus = spark.createDataFrame([(i, t, "p") for i, t in texts], "report_id long, corpus string, pattern string")
+    lexicon = spark.createDataFrame(entries, "rank int, label string, pattern string")
+    want = sorted((i, r, b, p) for i, t in texts for r, b, p in entries if t is not None and p and p in t)
+    found = lexicon_join(corpus, lexicon)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    shards = lexicon_matches(corpus.select("report_id", "corpus"), lexicon, shard_bytes=500)
+    assert sorted(set(tuple(r) for r in shards.collect())) == sorted({(i, t, p) for i, t in texts for _, _, p in entries if t is not None and p and p in t})
+    first = {i: min([(r, b) for j, r, b, _ in want if j == i], default=(0, "bugs"))[1] for i, _ in texts}
+    assert {r.report_id: r.component_hint for r in route_components(corpus, lexicon, "bugs").collect()} == first
+    assert lexicon_join(corpus.limit(0), lexicon).collect() == [] and lexicon_join(corpus, lexicon.limit(0)).collect() == []
+    reports = spark.createDataFrame([(1, FULL), (2, "nothing")], "report_id long, raw_text string")
+    rules = lexicon_table(spark, [("Pay", ["spins forever"]), ("Other", ["coupon"])])
+    routed = with_components(parse_reports(reports), rules)
+    assert {r.report_id: r.component_hint for r in routed.collect()} == {1: "Pay", 2: "bugs"}
