@@ -6,8 +6,8 @@ the cells whose best possible similarity can still reach its top k; the bound
 is exact, so nothing is lost. A task holds one packed corpus block and one
 packed chunk of queries, multiplies them, and emits at most k rows per query.
 
-What reaches the driver has a fixed bound: the pivot rows, and one summary row
-per cell (for sparse vectors one per cell and vocabulary entry).
+What reaches the driver are the pivot rows and one summary row per cell, whose number
+grows with the root of the table.
 """
 
 from __future__ import annotations
@@ -57,38 +57,6 @@ def _dense(values) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(np.float64)
 
 
-def _flat(idx: pd.Series, w: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Columns and weights of all rows one after the other, and the rows' offsets."""
-    offsets = np.concatenate([[0], np.cumsum(idx.str.len().to_numpy(np.int64))])
-    if not offsets[-1]:
-        return np.empty(0, np.int64), np.empty(0), offsets
-    return np.concatenate(idx.to_numpy()).astype(np.int64), np.concatenate(w.to_numpy()), offsets
-
-
-def _sparse(idx: pd.Series, w: pd.Series, width: int) -> np.ndarray:
-    cols, weights, offsets = _flat(idx, w)
-    out = np.zeros((len(idx), width))
-    out[np.repeat(np.arange(len(idx)), np.diff(offsets)), cols] = weights
-    return out
-
-
-def _times(idx: pd.Series, w: pd.Series, by_term: np.ndarray) -> np.ndarray:
-    """Sparse rows times a matrix of one row per term, some entries at a time."""
-    cols, weights, offsets = _flat(idx, w)
-    out = np.zeros((len(idx), by_term.shape[1]))
-    some = np.flatnonzero(np.diff(offsets))
-    step = max(1, ENTRIES // max(1, by_term.shape[1]))
-    at = 0
-    while at < len(some):
-        end = max(at + 1, int(np.searchsorted(offsets[some], offsets[some[at]] + step)))
-        rows = some[at:end]
-        part = slice(offsets[rows[0]], offsets[rows[-1] + 1])
-        products = by_term[cols[part]] * weights[part, None]
-        out[rows] = np.add.reduceat(products, offsets[rows] - offsets[rows[0]], axis=0)
-        at = end
-    return out
-
-
 def _rows_of(column: pa.Array, i: int):
     """Flat values and row offsets of the i-th packed list of lists."""
     lists = column[i].values
@@ -110,23 +78,6 @@ def _directions(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows / np.maximum(sizes, 1e-300)[:, None], sizes
 
 
-def _sparse_scores(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    q_idx, q_off = _rows_of(batch.column("q_idx"), i)
-    q_w, _ = _rows_of(batch.column("q_w"), i)
-    c_idx, c_off = _rows_of(batch.column("c_idx"), i)
-    c_w, _ = _rows_of(batch.column("c_w"), i)
-    used = np.unique(q_idx)
-    if not len(used):
-        return np.zeros((len(q_off) - 1, len(c_off) - 1))
-    q = np.zeros((len(q_off) - 1, len(used)))
-    q[np.repeat(np.arange(len(q)), np.diff(q_off)), np.searchsorted(used, q_idx)] = q_w
-    place = np.minimum(np.searchsorted(used, c_idx), len(used) - 1)
-    shared = used[place] == c_idx
-    c = np.zeros((len(c_off) - 1, len(used)))
-    c[np.repeat(np.arange(len(c)), np.diff(c_off))[shared], place[shared]] = c_w[shared]
-    return q @ c.T
-
-
 def _best(scores: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int, floor, exclude_self: bool):
     """At most k pairs per query: highest rounded score first, then lowest key."""
     scores = np.round(scores, DECIMALS)
@@ -364,61 +315,3 @@ def topk_dense(
         )
 
     return _answer(queries, ["vec"], join, k, exclude_self)
-
-
-def topk_sparse(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    width: int,
-    min_similarity: float | None = None,
-    exclude_self: bool = False,
-    pivots: int | None = None,
-    block_rows: int = 1024,
-    chunk_rows: int = 256,
-) -> DataFrame:
-    """Top k for sparse unit vectors ``(id, idx array<int>, w array<double>)``.
-
-    ``width`` bounds the vocabulary. Cells are pruned by the product of the
-    query with the largest weight of each term inside the cell. Both sides are
-    read several times and should be written tables.
-    """
-    wanted = k + 1 if exclude_self else k
-    corpus = corpus.select("key", "idx", "w")
-    size, copied = _size_and_copies(corpus, ["idx", "w"])
-    if copied:
-        corpus = _first_copies(corpus, ["idx", "w"], wanted)
-    picked = sample_by_hash(corpus, "key", pivots or _cells_for(size)).toPandas()
-    if picked.empty:
-        return _empty(queries, corpus)
-    centre = _sparse(picked["idx"], picked["w"], width).T.astype(np.float32)
-
-    @F.pandas_udf("int")
-    def assign(idx: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series(_times(idx, w, centre).argmax(axis=1).astype(np.int32))
-
-    assigned = materialise(corpus.withColumn("cell", assign("idx", "w")), "cells")
-    top = (
-        assigned.select("cell", F.posexplode(F.arrays_zip("idx", "w")).alias("pos", "e"))
-        .groupBy("cell", "e.idx")
-        .agg(F.max("e.w").alias("w"), F.count_if(F.col("pos") == 0).alias("rows"))
-        .toPandas()
-    )
-    sizes = top.groupby("cell")["rows"].sum().to_dict()
-    ceiling = np.zeros((width, centre.shape[1]), np.float32)
-    ceiling[top["idx"], top["cell"]] = top["w"]
-    shared = queries.sparkSession.sparkContext.broadcast((centre, ceiling))
-
-    @F.pandas_udf("array<int>")
-    def reach(idx: pd.Series, w: pd.Series) -> pd.Series:
-        near, most = shared.value
-        return pd.Series(_reachable(_times(idx, w, near), _times(idx, w, most), wanted, min_similarity))
-
-    def join(asked: DataFrame, best: int, skip: bool) -> DataFrame:
-        return _join_blocks(
-            asked.select("query_id", "idx", "w", reach("idx", "w").alias("cells")),
-            assigned, ["idx", "w"], sizes, centre.shape[1],
-            _sparse_scores, best, min_similarity, skip, block_rows, chunk_rows,
-        )
-
-    return _answer(queries, ["idx", "w"], join, k, exclude_self)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
 from faultline.functions import text as t
-from faultline.operators.blockjoin import topk_sparse
+from faultline.operators.postings import build_index, topk_index
 from faultline.session import materialise
 
 
@@ -25,13 +25,16 @@ def _terms(docs: DataFrame, stop_words: Sequence[str], bigrams: bool = True) ->
     else:
         split = docs.select("doc_id", "text").repartition("doc_id")
         split = split.select("doc_id", t.words(F.col("text"), stop_words).alias("words"))
-    return split.select("doc_id", F.explode(t.with_bigrams(words) if bigrams else words).alias("term"))
+    # outer: for an inner explode Spark infers a filter on the list and computes it twice
+    terms = F.explode_outer(t.with_bigrams(words) if bigrams else words).alias("term")
+    return split.select("doc_id", terms).where("term is not null")
 
 
 def tokenised(docs: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """``doc_id, words``, written once for the passes that count and weigh them."""
     words = t.words(F.col("text"), stop_words).alias("words")
-    return materialise(docs.select("doc_id", words), "words")
+    # dealt out first: a table of one file would be split into words by one task
+    return materialise(docs.select("doc_id", "text").repartition("doc_id").select("doc_id", words), "words")
 
 
 def term_counts(
@@ -135,11 +138,8 @@ def tfidf_matches(
     vocab = materialise(vocabulary(term_counts(docs, stop_words), docs, max_features), "vocab")
     corpus = vectors(docs, vocab, stop_words).withColumnRenamed("doc_id", "key")
     asked = vectors(queries.withColumnRenamed("query_id", "doc_id"), vocab, stop_words)
-    ranked = topk_sparse(
-        materialise(asked.withColumnRenamed("doc_id", "query_id"), "queries"),
-        materialise(corpus, "corpus"),
-        k, max_features, exclude_self=exclude_self,
-    ).filter(F.col("similarity") > 0)
+    asked = asked.withColumnRenamed("doc_id", "query_id")
+    ranked = topk_index(asked, build_index(corpus), k, exclude_self=exclude_self)
     ranked = materialise(ranked, "ranked")
     matches = ranked.filter(F.col("similarity") >= similar).withColumn(
         "is_duplicate_candidate", F.col("similarity") >= duplicate

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import blockjoin, retrieval, tfidf
+from faultline.operators import blockjoin, postings, retrieval, tfidf
 
 
 def brute(q_ids, q, c_ids, c, k, floor=None, skip_self=False):
@@ -52,26 +52,63 @@ def test_dense_prunes_cells():
     assert [c.tolist() for c in blockjoin._reachable(near, np.array([[1.0, 1.0]]), 1, None, probes=1)] == [[0]]
 
 
-def test_sparse_is_exact(spark):
-    rng = np.random.default_rng(6)
-    docs, width = [], 50
-    for i in range(200):
-        low, high = (0, 25) if i % 2 else (25, 50)  # two vocabularies
-        idx = rng.choice(np.arange(low, high), size=rng.integers(1, 8), replace=False)
+def sparse_rows(rng, n, width, longest=8):
+    rows = []
+    for i in range(n):
+        low, high = (0, width // 2) if i % 2 else (width // 2, width)  # two vocabularies
+        idx = np.sort(rng.choice(np.arange(low, high), size=rng.integers(1, longest), replace=False))
         w = rng.random(len(idx)) + 0.1
-        docs.append((i, [int(x) for x in idx], [float(x) for x in w / np.linalg.norm(w)]))
+        rows.append((i, [int(x) for x in idx], [float(x) for x in w / np.linalg.norm(w)]))
+    return rows
+
+
+@pytest.mark.parametrize("parts, floor", [(1, None), (7, None), (40, 0.6)])
+def test_index_is_exact(spark, parts, floor):
+    rng = np.random.default_rng(6)
+    docs, width = sparse_rows(rng, 300, 50), 50
+    docs += [(300 + i, *docs[4][1:]) for i in range(60)]  # copies
+    asked = [(i, idx, w) for i, idx, w in docs[:120]]
     df = spark.createDataFrame(docs, "key BIGINT, idx ARRAY<INT>, w ARRAY<DOUBLE>")
-    m = np.zeros((200, width))
+    m = np.zeros((len(docs), width))
     for i, idx, w in docs:
         m[i, idx] = w
-    got = blockjoin.topk_sparse(df.withColumnRenamed("key", "query_id"), df, 3, width, exclude_self=True, pivots=8, block_rows=16, chunk_rows=32)
-    ids = list(range(200))
-    assert result(got) == brute(ids, m, ids, m, 3, None, True)
+    index = postings.build_index(df, parts=parts)
+    got = postings.topk_index(
+        spark.createDataFrame(asked, "query_id BIGINT, idx ARRAY<INT>, w ARRAY<DOUBLE>"), index, 3,
+        min_similarity=floor, exclude_self=True,
+    )
+    ids = list(range(len(docs)))
+    want = brute(ids[:120], m[:120], ids, m, 3, floor or 1e-6, True)
+    assert result(got) == want
+    assert index.count() <= parts and index.agg(F.sum(F.size("keys"))).first()[0] == len(docs)
+
+
+def test_bounds_leave_lists_early(spark):
+    """A list is read only as far as its weights can still matter."""
+    rows = [(k, [0, 1], [1.0 - k / 1000, 0.01]) for k in range(500)]
+    df = spark.createDataFrame(rows, "key BIGINT, idx ARRAY<INT>, w ARRAY<DOUBLE>")
+    batch = postings.build_index(df, parts=1).toArrow().to_batches()[0]
+    part = postings._Part(batch, 0)
+    read = []
+
+    class Watched(np.ndarray):
+        def __setitem__(self, where, value):
+            read.append(len(np.atleast_1d(where)))
+            super().__setitem__(where, value)
+
+    part.total = np.zeros(500).view(Watched)
+    keys, scores = part.best(np.array([0, 1]), np.array([1.0, 1.0]), 2, 0.98, None)
+    assert part.keys[keys].tolist() == [0, 1] and scores.tolist() == [1.01, 1.009]
+    assert read[0] < 40
+    assert len(part.best(np.array([0]), np.array([1.0]), 2, 1.5, None)[0]) == 0
 
 
 def test_empty_index(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id BIGINT, vec ARRAY<DOUBLE>")
     assert blockjoin.topk_dense(q, spark.createDataFrame([], "key BIGINT, vec ARRAY<DOUBLE>"), 3).count() == 0
+    asked = spark.createDataFrame([(1, [0], [1.0])], "query_id BIGINT, idx ARRAY<INT>, w ARRAY<DOUBLE>")
+    index = postings.build_index(asked.withColumnRenamed("query_id", "key").where("key > 1"))
+    assert postings.topk_index(asked, index, 3).collect() == []
 
 
 def test_tfidf_matches_and_decision(spark):
