@@ -13,6 +13,7 @@ grows with the root of the table.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import partial
 from math import ceil, isqrt
 
@@ -253,35 +254,35 @@ def _answer(queries: DataFrame, features: list[str], join: Callable, k: int, exc
     return _ranked(found.filter(F.col("query_id") != F.col("key")) if exclude_self else found, k)
 
 
-def topk_dense(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    min_similarity: float | None = None,
-    exclude_self: bool = False,
-    pivots: int | None = None,
-    block_rows: int = 4096,
-    chunk_rows: int = 1024,
-    probes: int | None = None,
-) -> DataFrame:
-    """Top k of ``corpus(key, vec)`` for each row of ``queries(query_id, vec)``.
+@dataclass
+class DenseCells:
+    """A corpus of vectors dealt to cells: ``key, vec, cell`` rows, the pivots, and per cell its
+    radius, longest row and number of rows."""
 
-    Similarities are inner products, for vectors of any length. Cells are pruned by
-    the triangle inequality on angles: no member of a cell is closer to the query
-    than the angle to the pivot minus the cell's radius, and none is longer than the
-    cell's longest. ``probes`` limits the cells a query visits and makes the join
-    approximate. A query without a vector has no result, a row of the corpus
-    without one is never found.
+    rows: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    longest: np.ndarray
+    sizes: dict[int, int]
+
+    @property
+    def centre(self) -> np.ndarray:
+        return _directions(self.pivots)[0]
+
+
+def dense_cells(corpus: DataFrame, keep: int, pivots: int | None = None) -> DenseCells | None:
+    """The cells of ``corpus(key, vec)``, None without a vector.
+
+    A pivot's cell are the rows nearer to it than to the others. Of equal vectors the ``keep``
+    lowest keys are kept. Pivots are ``pivots`` rows, or as many as the root of the table.
     """
-    wanted = k + 1 if exclude_self else k
     corpus = corpus.filter(F.col("vec").isNotNull()).select("key", "vec")
-    queries = queries.filter(F.col("vec").isNotNull())
     size, copied = _size_and_copies(corpus, ["vec"])
     if copied:
-        corpus = _first_copies(corpus, ["vec"], wanted)
+        corpus = _first_copies(corpus, ["vec"], keep)
     picked = sample_by_hash(corpus, "key", pivots or _cells_for(size)).toPandas()
     if picked.empty:
-        return _empty(queries, corpus)
+        return None
     chosen = _dense(picked["vec"])
     centre = _directions(chosen)[0]
 
@@ -291,13 +292,29 @@ def topk_dense(
         sims = directions @ centre.T
         return pd.DataFrame({"cell": sims.argmax(axis=1).astype(np.int32), "near": sims.max(axis=1), "size": sizes})
 
-    assigned = materialise(
+    rows = materialise(
         corpus.select("key", "vec", assign("vec").alias("a")).select("key", "vec", "a.cell", "a.near", "a.size"), "cells"
     )
-    per_cell = assigned.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near"), F.max("size").alias("size"))
+    per_cell = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("near"), F.max("size").alias("size"))
     stats = {r["cell"]: r for r in per_cell.collect()}
     radius = np.array([np.arccos(np.clip(stats[c]["near"], -1, 1)) if c in stats else 0.0 for c in range(len(centre))])
     longest = np.array([stats[c]["size"] if c in stats else 0.0 for c in range(len(centre))])
+    return DenseCells(rows, chosen, radius, longest, {c: r["n"] for c, r in stats.items()})
+
+
+def search_cells(
+    cells: DenseCells,
+    queries: DataFrame,
+    k: int,
+    min_similarity: float | None = None,
+    exclude_self: bool = False,
+    block_rows: int = 4096,
+    chunk_rows: int = 1024,
+    probes: int | None = None,
+) -> DataFrame:
+    """Top k of the cells' rows for each of ``queries(query_id, vec)``."""
+    centre, pivots, radius, longest = cells.centre, cells.pivots, cells.radius, cells.longest
+    wanted = k + 1 if exclude_self else k
 
     @F.pandas_udf("array<int>")
     def reach(vec: pd.Series) -> pd.Series:
@@ -305,13 +322,74 @@ def topk_dense(
         directions, sizes = _directions(rows)
         best = np.cos(np.clip(np.arccos(np.clip(directions @ centre.T, -1, 1)) - radius, 0, None))
         bounds = sizes[:, None] * np.maximum(best * longest, 0)  # a shorter member may do better below 0
-        return pd.Series(_reachable(rows @ chosen.T, bounds, wanted, min_similarity, probes))
+        return pd.Series(_reachable(rows @ pivots.T, bounds, wanted, min_similarity, probes))
 
     def join(asked: DataFrame, best: int, skip: bool) -> DataFrame:
         return _join_blocks(
             asked.select("query_id", "vec", reach("vec").alias("cells")),
-            assigned, ["vec"], {c: r["n"] for c, r in stats.items()}, len(centre),
+            cells.rows, ["vec"], cells.sizes, len(centre),
             _dense_scores, best, min_similarity, skip, block_rows, chunk_rows,
         )
 
-    return _answer(queries, ["vec"], join, k, exclude_self)
+    return _answer(queries.filter(F.col("vec").isNotNull()), ["vec"], join, k, exclude_self)
+
+
+def topk_dense(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    min_similarity: float | None = None,
+    exclude_self: bool = False,
+    pivots: int | None = None,
+    block_rows: int = 4096,
+    chunk_rows: int = 1024,
+    probes: int | None = None,
+) -> DataFrame:
+    """Top k of ``corpus(key, vec)`` for each row of ``queries(query_id, vec)``.
+
+    Similarities are inner products, for vectors of any length. Cells are pruned by
+    the triangle inequality on angles: no member of a cell is closer to the query
+    than the angle to the pivot minus the cell's radius, and none is longer than the
+    cell's longest. ``probes`` limits the cells a query visits and makes the join
+    approximate. A query without a vector has no result, a row of the corpus
+    without one is never found.
+    """
+    cells = dense_cells(corpus, k + 1 if exclude_self else k, pivots)
+    if cells is None:
+        return _empty(queries, corpus)
+    return search_cells(cells, queries, k, min_similarity, exclude_self, block_rows, chunk_rows, probes)
+
+
+def probes_for(
+    cells: DenseCells, queries: DataFrame, k: int, recall: float, min_similarity: float | None = None, sample: int = 256
+) -> int:
+    """The least number of cells, nearest first, that hold the share ``recall`` of the true matches.
+
+    Measured: ``sample`` queries, chosen by a hash, are answered exactly, and the cells of
+    their matches looked up. The share asked of the sample is higher by two standard
+    errors of a share among its queries. Without a match in the sample, all cells.
+    """
+    asked = sample_by_hash(queries.filter(F.col("vec").isNotNull()).select("query_id", "vec"), "query_id", sample)
+    exact = search_cells(cells, asked, k, min_similarity).select("query_id", "key")
+    pivots = cells.pivots
+
+    @F.pandas_udf("array<int>")
+    def places(vec: pd.Series) -> pd.Series:
+        """For each cell its place in the order of a query with limited probes."""
+        order = np.argsort(-(_dense(vec) @ pivots.T), axis=1, kind="stable")
+        return pd.Series(list(np.argsort(order, axis=1, kind="stable").astype(np.int32)))
+
+    placed = asked.select("query_id", places("vec").alias("places"))
+    needed = exact.join(cells.rows.select("key", "cell"), "key").join(placed, "query_id")
+    needed = needed.select("query_id", (F.get("places", F.col("cell")) + 1).alias("probes"))
+    counts = dict(needed.groupBy("probes").count().orderBy("probes").collect())
+    total, seen = sum(counts.values()), 0
+    n = needed.select("query_id").distinct().count()
+    if not n:
+        return len(pivots)
+    wanted = min(1.0, recall + 2 * (recall * (1 - recall) / n) ** 0.5) * total
+    for probes, count in counts.items():
+        seen += count
+        if seen >= wanted - 1e-9:
+            return probes
+    return len(pivots)

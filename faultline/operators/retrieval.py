@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline import lexicons as lx
 from faultline.functions import text as t
 from faultline.functions import vectors as v
-from faultline.operators.blockjoin import DECIMALS, topk_dense
+from faultline.operators.blockjoin import DECIMALS, dense_cells, probes_for, search_cells, topk_dense
 from faultline.session import materialise
 
 
@@ -170,16 +170,29 @@ def top_match(matches: DataFrame) -> DataFrame:
 
 
 def approximate_join(
-    queries: DataFrame, index: DataFrame, k: int = lx.RECALL_K, probes: int = 4, min_similarity: float | None = None
+    queries: DataFrame,
+    index: DataFrame,
+    k: int = lx.RECALL_K,
+    probes: int | None = None,
+    min_similarity: float | None = None,
+    recall: float = 0.9,
+    sample: int = 256,
+    pivots: int | None = None,
 ) -> DataFrame:
-    """Top k among the ``probes`` nearest cells of a query.
+    """Top k among the nearest cells of a query, as many as the recall asks for.
 
-    Locality hashing by nearest pivot. Work per query does not grow with the
-    number of cells, and a crowded cell is split into blocks instead of being
-    paired with itself. Every similarity reported is exact; matches in cells
-    not visited are missed.
+    Locality hashing by nearest pivot with several probes. Their number is measured on
+    ``sample`` queries answered exactly, so it follows the data and the number of cells instead
+    of being set; ``probes`` sets it nevertheless. A crowded cell is split into blocks
+    instead of being paired with itself. Every similarity reported is exact; the share
+    ``recall`` of the true matches is found, the others lie in cells not visited.
     """
-    return topk_dense(queries, index, k, min_similarity=min_similarity, probes=probes)
+    cells = dense_cells(index, k, pivots)
+    if cells is None:
+        return topk_dense(queries, index, k)
+    if probes is None:
+        probes = probes_for(cells, queries, k, recall, min_similarity, sample)
+    return search_cells(cells, queries, k, min_similarity, probes=probes)
 
 
 def cached_matches(matches: DataFrame) -> DataFrame:

@@ -214,7 +214,7 @@ def dup_candidate_flag(spark, sf):
 
 @query("lsh_sim_join")
 def lsh_sim_join(spark, sf):
-    found = retrieval.approximate_join(_queries(spark, sf), s.index(spark, sf), k=30, probes=6, min_similarity=0.3)
+    found = retrieval.approximate_join(_queries(spark, sf), s.index(spark, sf), k=30, min_similarity=0.3)
     return found.select("query_id", "key", "similarity")
 
 

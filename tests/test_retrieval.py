@@ -159,6 +159,25 @@ def test_approximate_is_a_subset_of_exact(spark, sf):
     assert pairs(retrieval.approximate_join(q, idx, k=500, probes=16, min_similarity=0.3)) == exact
 
 
+def test_recall_over_hundreds_of_cells(spark):
+    """Probes follow the recall asked for, on a table with many cells, and stay few."""
+    rng = np.random.default_rng(12)
+    centres = unit(rng.normal(size=(60, 16)))
+    vectors = unit(centres[rng.integers(0, 60, 8000)] + 0.18 * rng.normal(size=(8000, 16)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "key BIGINT, vec ARRAY<DOUBLE>")
+    asked = df.where("key < 1500").withColumnRenamed("key", "query_id")
+    exact = np.round(vectors[:1500] @ vectors.T, 6)
+    want = {(q, int(c)) for q in range(1500) for c in np.lexsort((np.arange(8000), -exact[q]))[:10]}
+    shares = []
+    for recall in (0.9, 0.98):
+        cells = blockjoin.dense_cells(df, 10, pivots=300)
+        probes = blockjoin.probes_for(cells, asked, 10, recall)
+        found = {(r.query_id, r.key) for r in retrieval.approximate_join(asked, df, k=10, recall=recall, pivots=300).collect()}
+        shares.append((len(found & want) / len(want), probes))
+        assert len(found & want) >= recall * len(want) and probes < 120
+    assert shares[0][1] < shares[1][1]
+
+
 @pytest.mark.parametrize("k,floor", [(1, None), (4, None), (6, 2.0)])
 def test_dense_takes_any_length_and_nulls(spark, k, floor):
     rng = np.random.default_rng(9)
