@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +14,16 @@ from pyspark.sql import functions as F
 from faultline.session import materialise
 
 CACHE_SCHEMA = "digest BINARY, tokenizer BINARY, n_tokens BIGINT"
+#: Steps of a vocabulary file.
+FOLD = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+CUT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+PIECES = 1 << 19  # counts of pieces that a task remembers before it starts anew
+LETTERS = 1 << 20  # of texts whose new pieces are encoded at once
 #: Raised when the normal form or the way of counting changes; part of the version.
 REVISION = b"1"
 
@@ -37,16 +49,30 @@ def tokenizer_version(path: str) -> bytes:
     return sha.digest()
 
 
-def folds_space(path: str) -> bool:
-    """True if the vocabulary's own first step makes one space of a run of white space."""
+def _steps(path: str) -> tuple[list, list]:
+    """The vocabulary's steps before the words and those that cut them."""
     if path.endswith(".model"):
-        return False
-    import json
-
+        return [], []
     with open(path, encoding="utf-8") as file:
-        steps = (json.load(file).get("normalizer") or {}).get("normalizers", [])
-    fold = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
-    return fold in steps
+        own = json.load(file)
+    before, cut = own.get("normalizer") or {}, own.get("pre_tokenizer") or {}
+    return before.get("normalizers", [before]), cut.get("pretokenizers", [cut])
+
+
+def folds_space(path: str) -> bool:
+    """True if the vocabulary's own steps make one space of a run of white space."""
+    return FOLD in _steps(path)[0]
+
+
+def cuts_at_space(path: str) -> bool:
+    """True if no token reaches across a space, so a text has the tokens of its pieces.
+
+    So it is where white space is folded, the other steps look at single characters or at
+    what combines with a letter, and the words are the matches of a pattern without spaces.
+    """
+    before, cut = _steps(path)
+    plain = all(s == FOLD or s.get("type") in ("NFC", "Lowercase") for s in before)
+    return plain and FOLD in before and cut[:1] == [CUT]
 
 
 def normal_form(text: Column, fold: bool) -> Column:
@@ -76,18 +102,35 @@ def counter(path: str):
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             _tokenizers[path] = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
-            import os
-
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task its core
             from tokenizers import Tokenizer
 
             own = Tokenizer.from_file(path)
             own.no_truncation()
             own.no_padding()
-            _tokenizers[path] = lambda texts: [len(own.encode(x, add_special_tokens=False)) for x in texts]
+
+            def count(texts: list[str]) -> list[int]:
+                return [len(x.ids) for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+            _tokenizers[path] = _by_pieces(count) if cuts_at_space(path) else count
     return _tokenizers[path]
 
 
+def _by_pieces(count):
+    """``count`` for folded texts, with each piece between spaces encoded once."""
+    known: dict[str, int] = {}
+
+    def total(texts: list[str]) -> list[int]:
+        if len(known) > PIECES:
+            known.clear()
+        pieces = [text.split(" ") for text in texts]
+        new = list(set().union(*pieces) - known.keys())
+        known.update(zip(new, count(new), strict=True))
+        return [sum(map(known.__getitem__, own)) for own in pieces]
+
+    return total
+
+
 def encode_misses(texts: DataFrame, path: str) -> DataFrame:
     """``digest, body`` to ``digest, n_tokens``; rows of one digest in a row are encoded once."""
 
@@ -98,7 +141,14 @@ def encode_misses(texts: DataFrame, path: str) -> DataFrame:
             fresh = [k for k, x in enumerate(digests) if x != (digests[k - 1] if k else last)]
             last = digests[-1] if digests else last
             body = batch.column("body")
-            totals = [count([body[k].as_py()])[0] for k in fresh]  # one text at a time as a string
+            totals, texts, held = [], [], 0
+            for k in fresh:  # some texts at a time as strings
+                texts.append(body[k].as_py())
+                held += len(texts[-1])
+                if held > LETTERS:
+                    totals += count(texts)
+                    texts, held = [], 0
+            totals += count(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([digests[k] for k in fresh], pa.binary()), pa.array(totals, pa.int64())],
                 ["digest", "n_tokens"],
