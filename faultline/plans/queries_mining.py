@@ -181,6 +181,7 @@ def _event_stream(spark, sf) -> DataFrame:
 def stream_ticket_state(spark, sf):
     out = fresh_path(spark, "state")
     streams.stream_ticket_state(_event_stream(spark, sf), out, "user_id", "event_type", ["ts", "event_id"]).awaitTermination()
+    streams.compact_state(spark, out, "user_id")
     return streams.read_state(spark, out, "user_id").select("user_id", "status", "n_events")
 
 
@@ -189,31 +190,63 @@ def stream_event_dedup(spark, sf):
     out = fresh_path(spark, "unique")
     twice = _event_stream(spark, sf)
     streams.stream_event_dedup(twice.unionByName(_event_stream(spark, sf)), out, "event_id", "ts").awaitTermination()
-    return spark.read.parquet(f"{out}/data").select("event_id", "user_id", "event_type")
+    return streams.read_events(spark, out).select("event_id", "user_id", "event_type")
 
 
-@query("stream_late_events", "SELECT count(DISTINCT event_id) AS n_events, 0::BIGINT AS lost FROM events")
+# Events are dealt into four files in an order of their own; the later files' events are behind the
+# watermark of those before. Which are late is decided by the first of them that holds a later time.
+_DEALT = "SELECT *, abs(user_id) % 4 AS file FROM events"
+
+
+@query("stream_late_events", f"""WITH e AS ({_DEALT}),
+  seen AS (SELECT file, max(ts) OVER (ORDER BY file) AS latest FROM (SELECT file, max(ts) AS ts FROM e GROUP BY file))
+  SELECT event_id, coalesce(epoch_ms(e.ts) <= epoch_ms(latest - INTERVAL 1 HOUR), false) AS late
+  FROM e LEFT JOIN seen ON seen.file = e.file - 1""")
 def stream_late_events(spark, sf):
-    """Unique events and late ones together are all events."""
-    out = fresh_path(spark, "unique")
-    streams.stream_event_dedup(_event_stream(spark, sf), out, "event_id", "ts").awaitTermination()
-    late = streams.late_events(table(spark, sf, "events"), out, "event_id").select("event_id")
-    both = spark.read.parquet(f"{out}/data").select("event_id").unionByName(late)
-    ids = table(spark, sf, "events").select("event_id")
-    lost = ids.join(both, "event_id", "left_anti").agg(F.count("*").alias("lost"))
-    return both.agg(F.count("*").alias("n_events")).join(lost, F.lit(True))
+    """Every event comes out once: unique or late, by the same stream."""
+    out, source = fresh_path(spark, "unique"), fresh_path(spark, "dealt")
+    events = table(spark, sf, "events")
+    for k in range(4):  # in the order of the files' times
+        events.where(F.abs("user_id") % 4 == k).coalesce(1).write.parquet(f"{source}/{k}")
+    stream = streams.file_stream(spark, events.schema, f"{source}/*", "*.parquet", per_trigger=1, latestFirst="false")
+    streams.stream_event_dedup(stream, out, "event_id", "ts").awaitTermination()
+    both = [streams.read_events(spark, out, late).select("event_id", F.lit(late).alias("late")) for late in (False, True)]
+    return both[0].unionByName(both[1])
+
 
+_TRANSITIONS = """SELECT user_id AS key, coalesce(from_status, '-') AS from_status, to_status, count(*) AS n, min(valid::INT)::INT AS valid FROM
+  (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, event_type AS to_status, event_type IN ('view', 'click', 'purchase') AS valid FROM events) GROUP BY 1, 2, 3"""
 
-@query("stream_status_transitions", """SELECT user_id AS key, coalesce(from_status, '-') AS from_status, to_status, count(*) AS n, min(valid::INT)::INT AS valid FROM
-  (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_status, event_type AS to_status, event_type IN ('view', 'click', 'purchase') AS valid FROM events) GROUP BY 1, 2, 3""")
+
+def _moves(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key", F.coalesce("from_status", F.lit("-")).alias("from_status"), "to_status").agg(
+        F.count("*").alias("n"), F.min(F.col("valid").cast("int")).alias("valid"))
+
+
+@query("stream_status_transitions", _TRANSITIONS)
 def stream_status_transitions(spark, sf):
     out = fresh_path(spark, "transitions")
     streams.stream_status_transitions(
-        _event_stream(spark, sf), out, "user_id", "event_type", ["ts", "event_id"], ["view", "click", "purchase"], "hour"
+        _event_stream(spark, sf), out, "user_id", "event_type", ["ts", "event_id"], ["view", "click", "purchase"]
     ).awaitTermination()
-    rows = spark.read.parquet(f"{out}/data")
-    return rows.groupBy("key", F.coalesce("from_status", F.lit("-")).alias("from_status"), "to_status").agg(
-        F.count("*").alias("n"), F.min(F.col("valid").cast("int")).alias("valid"))
+    return _moves(spark.read.parquet(f"{out}/data"))
+
+
+@query("stream_transitions_by_time", _TRANSITIONS)
+def stream_transitions_by_time(spark, sf):
+    """Events that arrive in four batches by the hash of their id give the same transitions."""
+    out, source = fresh_path(spark, "transitions"), fresh_path(spark, "shuffled")
+    events = table(spark, sf, "events")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for k in range(4):
+        events.where(part == k).coalesce(1).write.parquet(f"{source}/{k}")
+    span = "40 days"  # more than the events span: none is behind the watermark before the end
+    streams.write_heartbeat(events, f"{source}/4", "ts", "41 DAYS")
+    stream = streams.file_stream(spark, events.schema, f"{source}/*", "*.parquet", per_trigger=1)
+    streams.stream_status_transitions(
+        stream, out, "user_id", "event_type", ["ts", "event_id"], ["view", "click", "purchase"], span
+    ).awaitTermination()
+    return _moves(streams.read_events(spark, out))
 
 
 @query("stream_triage", f"{PARSED} SELECT report_id, title, component_hint, reproducibility, 0 AS rejected FROM parsed UNION ALL SELECT -1 - doc_id, NULL, NULL, NULL, 1 FROM documents WHERE doc_id % 50 = 0")

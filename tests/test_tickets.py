@@ -174,6 +174,111 @@ def test_transitions_over_several_batches(spark, tmp_path):
     assert got == sorted(want)
 
 
+def stop_after_batches(query, n):
+    """Lets a started query finish ``n`` batches, then stops it in the middle of the source."""
+    while query.isActive and len(query.recentProgress) < n:
+        query.awaitTermination(0.05)
+    query.stop()
+
+
+def test_transitions_by_time_of_shuffled_batches(spark, tmp_path):
+    """Any order of arrival, a restart between two batches, and late events beside the others."""
+    import random
+
+    from faultline.streaming import keyed, streams
+
+    rng, rows = random.Random(3), []
+    for n in range(400):
+        rows.append((n, rng.choice(["a", "a", "b", "c", None]), rng.choice(["Open", "Closed", "odd", None]), 1000 + n // 3))
+    shuffled = rng.sample(rows, len(rows))
+    schema = "seq BIGINT, key STRING, status STRING, second BIGINT"
+
+    def write(part, name):
+        own = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds("second")).drop("second")
+        own.coalesce(1).write.parquet(str(tmp_path / f"in{name}"))
+        return own
+
+    for part in range(5):
+        write(shuffled[part * 80 : part * 80 + 80], part)
+    every = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("second")).drop("second")
+    streams.write_heartbeat(every, str(tmp_path / "in5"), "ts", "1 HOUR")
+    write([(900, "a", "Open", 1001), (901, "d", "Closed", 1002)], 6)
+    out, kinds = f"{tmp_path}/out", "seq BIGINT, key STRING, status STRING, ts TIMESTAMP"
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+
+    def start():
+        return streams.stream_status_transitions(stream, out, "key", "status", ["ts", "seq"], delay="10 minutes")
+
+    stop_after_batches(start(), 2)
+    start().awaitTermination()
+    got = sorted(
+        (r.key, r.seconds, r.from_status or "-", r.to_status or "-", r.valid)
+        for r in streams.read_events(spark, out).withColumn("seconds", F.unix_seconds("moment")).collect()
+    )
+    last, want = {}, []
+    for _, key, status, second in rows:
+        if key is not None:
+            want.append((key, second, last.get(key) or "-", status or "-", status in ("Open", "Closed")))
+            last[key] = status
+    assert got == sorted(want)
+    late = streams.read_events(spark, out, late=True).collect()
+    assert sorted((r.key, r.to_status, r.from_status) for r in late) == [("a", "Open", None), ("d", "Closed", None)]
+    assert keyed.ROCKSDB != spark.conf.get(keyed.PROVIDER, "")  # the session's own setting is back
+
+
+def test_each_event_once_or_late(spark, tmp_path):
+    from faultline.streaming import streams
+
+    kinds = "id BIGINT, ts TIMESTAMP, value STRING"
+    batches = [
+        [(1, 100), (2, 4000), (1, 100)],
+        [(2, 4000), (3, 9000), (1, 100)],  # the watermark is at 3400: 1 is behind it
+        [(4, 8000), (5, 8500), (3, 9000), (None, 9000), (6, None)],
+        [(4, 8000), (7, 20000)],
+        [(3, 9000), (7, 20000), (8, 20001)],
+    ]
+    for n, rows in enumerate(batches):
+        own = spark.createDataFrame(rows, "id BIGINT, s BIGINT").select("id", F.timestamp_seconds("s").alias("ts"), F.lit("x").alias("value"))
+        own.coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    out = f"{tmp_path}/out"
+    stop_after_batches(streams.stream_event_dedup(stream, out, "id", "ts", "600 seconds"), 1)
+    streams.stream_event_dedup(stream, out, "id", "ts", "600 seconds").awaitTermination()
+    once = sorted((r.id, r.value) for r in streams.read_events(spark, out).collect())
+    assert once == [(i, "x") for i in (1, 2, 3, 5, 7, 8)]
+    late = sorted((str(r.id) for r in streams.read_events(spark, out, late=True).collect()))
+    assert late == sorted(["1", "4", "None", "6", "4", "3"])
+
+
+def test_compacted_state(spark, tmp_path):
+    """A snapshot and the batches behind it give the state; a batch writes only what it changes."""
+    import pathlib
+
+    from faultline.streaming import streams
+
+    kinds, out = "k BIGINT, status STRING, t BIGINT", f"{tmp_path}/out"
+    sizes = [[(k, "Open", 1) for k in range(500)], [(3, "Closed", 2)], [(4, "Closed", 2), (999, "Open", 2)]]
+
+    def state():
+        return {(r.k, r.status, r.n_events) for r in streams.read_state(spark, out, "k").collect()}
+
+    for n, rows in enumerate(sizes):
+        spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(str(tmp_path / f"in{n}"))
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+        streams.stream_ticket_state(stream, out, "k", "status", ["t"]).awaitTermination()
+        if n == 1:
+            before = state()
+            mark = streams.compact_state(spark, out, "k")
+            assert streams.compact_state(spark, out, "k") == mark and state() == before
+    assert {(3, "Closed", 2), (4, "Closed", 2), (999, "Open", 1), (5, "Open", 1)} <= state() and len(state()) == 501
+    rows = spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data")
+    written = dict(rows.groupBy("batch_id").count().collect())
+    assert sorted(written.values())[-3:] == [1, 2, 500]
+    # what the snapshot holds is not read from the batches again
+    first = min(pathlib.Path(f"{out}/data").glob("batch_id=*"), key=lambda p: int(p.name.split("=")[1]))
+    assert not any(first.name in p for p in streams._state_rows(spark, out)[0].inputFiles())
+
+
 def test_paged_search_walks_all(spark):
     df = spark.createDataFrame([(i, i // 3) for i in range(20)], "key INT, updated INT")
     seen, after = [], None
