@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
 from faultline.functions import text as t
 from faultline.operators.postings import build_index, topk_index
-from faultline.session import materialise
+from faultline.session import complete_folders, materialise
 
 
 def _terms(docs: DataFrame, stop_words: Sequence[str], bigrams: bool = True) -> DataFrame:
@@ -118,29 +119,69 @@ def vectors(docs: DataFrame, vocab: DataFrame, stop_words: Sequence[str] = lx.ST
     return packed.select("doc_id", F.col("e.term_id").alias("idx"), scaled.alias("w"))
 
 
-def tfidf_matches(
-    queries: DataFrame,
+@dataclass
+class TextIndex:
+    """Vocabulary and inverted index of a corpus, and the attributes of its documents."""
+
+    vocab: DataFrame
+    postings: DataFrame
+    facts: DataFrame | None = None
+
+
+def build_text_index(
     docs: DataFrame,
+    stop_words: Sequence[str] = lx.STOP_WORDS,
+    max_features: int = lx.TFIDF_MAX_FEATURES,
+    path: str | None = None,
+) -> TextIndex:
+    """The index of ``docs(doc_id, text)``, for this job or as the next version below ``path``.
+
+    Other columns are kept as facts of the documents under ``key``. A version is complete
+    when its last part, the inverted index, is; older ones are left as they are, so a reader
+    keeps what it has loaded.
+    """
+    spark = docs.sparkSession
+    words = tokenised(docs.select("doc_id", "text"), stop_words)
+    vocab = vocabulary(term_counts(words, stop_words), words, max_features)
+    facts = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = docs.select(F.col("doc_id").alias("key"), *facts)
+    if path is None:
+        vocab = materialise(vocab, "vocab")
+        corpus = vectors(words, vocab, stop_words).withColumnRenamed("doc_id", "key")
+        return TextIndex(vocab, build_index(corpus), own if facts else None)
+    folder = f"{path}/version={max([-1, *complete_folders(spark, path, 'version=', 'postings/_SUCCESS')]) + 1}"
+    vocab.write.mode("overwrite").parquet(f"{folder}/vocab")
+    vocab = spark.read.parquet(f"{folder}/vocab")
+    own.write.mode("overwrite").parquet(f"{folder}/facts")
+    corpus = vectors(words, vocab, stop_words).withColumnRenamed("doc_id", "key")
+    build_index(corpus, path=f"{folder}/postings")
+    return load_text_index(spark, path)
+
+
+def load_text_index(spark: SparkSession, path: str, version: int | None = None) -> TextIndex:
+    """A version of the index, by default the newest complete one."""
+    if version is None:
+        found = complete_folders(spark, path, "version=", "postings/_SUCCESS")
+        if not found:
+            raise ValueError(f"no complete index below {path}")
+        version = found[-1]
+    parts = [spark.read.parquet(f"{path}/version={version}/{name}") for name in ("vocab", "postings", "facts")]
+    return TextIndex(*parts)
+
+
+def search_text_index(
+    queries: DataFrame,
+    index: TextIndex,
     k: int = lx.TFIDF_TOP_K,
     similar: float = lx.TFIDF_SIMILAR,
     duplicate: float = lx.TFIDF_DUPLICATE,
     stop_words: Sequence[str] = lx.STOP_WORDS,
-    max_features: int = lx.TFIDF_MAX_FEATURES,
     exclude_self: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Text retrieval over a whole table of queries.
-
-    ``queries(query_id, text)``, ``docs(doc_id, text)``. Returns the matches at
-    or above ``similar`` and one summary row per query with the duplicate
-    decision; its confidence is the best score even below ``similar``.
-    """
-    docs = tokenised(docs, stop_words)
-    vocab = materialise(vocabulary(term_counts(docs, stop_words), docs, max_features), "vocab")
-    corpus = vectors(docs, vocab, stop_words).withColumnRenamed("doc_id", "key")
-    asked = vectors(queries.withColumnRenamed("query_id", "doc_id"), vocab, stop_words)
+    """Matches and decisions of ``queries(query_id, text)``, see :func:`tfidf_matches`."""
+    asked = vectors(queries.select(F.col("query_id").alias("doc_id"), "text"), index.vocab, stop_words)
     asked = asked.withColumnRenamed("doc_id", "query_id")
-    ranked = topk_index(asked, build_index(corpus), k, exclude_self=exclude_self)
-    ranked = materialise(ranked, "ranked")
+    ranked = materialise(topk_index(asked, index.postings, k, exclude_self=exclude_self), "ranked")
     matches = ranked.filter(F.col("similarity") >= similar).withColumn(
         "is_duplicate_candidate", F.col("similarity") >= duplicate
     )
@@ -151,3 +192,23 @@ def tfidf_matches(
         F.coalesce(F.round("similarity", 3), F.lit(0.0)).alias("duplicate_confidence"),
     )
     return matches, decision
+
+
+def tfidf_matches(
+    queries: DataFrame,
+    docs: DataFrame,
+    k: int = lx.TFIDF_TOP_K,
+    similar: float = lx.TFIDF_SIMILAR,
+    duplicate: float = lx.TFIDF_DUPLICATE,
+    stop_words: Sequence[str] = lx.STOP_WORDS,
+    max_features: int = lx.TFIDF_MAX_FEATURES,
+    exclude_self: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Text retrieval over a whole table of queries.
+
+    ``queries(query_id, text)``, ``docs(doc_id, text)``. Returns the matches at
+    or above ``similar`` and one summary row per query with the duplicate
+    decision; its confidence is the best score even below ``similar``.
+    """
+    index = build_text_index(docs.select("doc_id", "text"), stop_words, max_features)
+    return search_text_index(queries, index, k, similar, duplicate, stop_words, exclude_self)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
-from faultline.operators import blockjoin, classify, indexing, retrieval
+from faultline.operators import blockjoin, classify, indexing, retrieval, tfidf
 from faultline.plans import queries_decisions as dec
 from faultline.plans import queries_tickets as tic
 from faultline.plans import standins as s
@@ -15,6 +15,7 @@ from faultline.plans.queries_extraction import PRODUCT, VAGUE_CTE
 from faultline.plans.queries_retrieval import counts_sql, tfidf_ctes
 from faultline.plans.registry import query, table
 from faultline.session import fresh_path
+from faultline.streaming import streams
 
 # Every document as an issue of the past.
 _HISTORY = """SELECT doc_id AS key, text, concat(source, ' ', lang) AS summary, CASE WHEN lang = 'es' THEN '' ELSE source END AS assignee,
@@ -35,27 +36,48 @@ def _history(spark, sf) -> DataFrame:
     return spark.sql(_HISTORY)
 
 
-@query("triage_by_rules", f"""{_FLOW}{VAGUE_CTE},
+_BY_RULES = f"""{_FLOW}{VAGUE_CTE},
  cnt AS (SELECT query_id, assignee, count(*) AS n, min(rank) AS fr FROM matches WHERE assignee <> '' GROUP BY 1, 2),
  own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, fr) AS p FROM cnt) WHERE p = 1)
  SELECT s.report_id, s.priority, s.scoring_path, own.assignee AS owner, CASE WHEN d.similarity >= {lx.TFIDF_DUPLICATE} THEN CAST(d.key AS VARCHAR) END AS duplicate_of,
    p.component_hint AS component, coalesce(v.type, '') AS issues
  FROM sc1 s JOIN parsed p USING (report_id) LEFT JOIN own ON own.query_id = s.report_id LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) d ON d.query_id = s.report_id
- LEFT JOIN vague v USING (report_id)""")
-def triage_by_rules(spark, sf):
-    done = triage.triage_by_rules(s.reports(spark, sf), _history(spark, sf), tic._dim(spark, sf), PRODUCT)
-    notes = done.drafts.select(
+ LEFT JOIN vague v USING (report_id)"""
+
+
+def _decided(scored: DataFrame, parsed: DataFrame, drafts: DataFrame) -> DataFrame:
+    notes = drafts.select(
         "report_id",
         F.col("fields.suggested_assignee").alias("owner"),
         F.col("fields.duplicate_candidate").alias("duplicate_of"),
         F.array_join("triage_notes.quality_issues", ",").alias("issues"),
     )
-    component = done.parsed.select("report_id", F.col("component_hint").alias("component"))
-    return (
-        done.scored.select("report_id", "priority", "scoring_path")
-        .join(notes, "report_id")
-        .join(component, "report_id")
-    )
+    component = parsed.select("report_id", F.col("component_hint").alias("component"))
+    return scored.select("report_id", "priority", "scoring_path").join(notes, "report_id").join(component, "report_id")
+
+
+@query("triage_by_rules", _BY_RULES)
+def triage_by_rules(spark, sf):
+    done = triage.triage_by_rules(s.reports(spark, sf), _history(spark, sf), tic._dim(spark, sf), PRODUCT)
+    return _decided(done.scored, done.parsed, done.drafts)
+
+
+@query("stream_triage_flow", f"""SELECT * FROM ({_BY_RULES}) UNION ALL
+ SELECT -1 - doc_id, NULL, NULL, NULL, NULL, NULL, 'rejected' FROM documents WHERE doc_id % 50 = 0""")
+def stream_triage_flow(spark, sf):
+    """All reports in two micro-batches against a saved index, and empty ones that stop nothing."""
+    source, out, index = fresh_path(spark, "mails"), fresh_path(spark, "triage"), fresh_path(spark, "text-index")
+    tfidf.build_text_index(_history(spark, sf).withColumnRenamed("key", "doc_id"), path=index)
+    mails = s.reports(spark, sf)
+    blank = mails.filter(F.col("report_id") % 50 == 0).select((-1 - F.col("report_id")).alias("report_id"), F.lit(" \n").alias("raw_text"))
+    every = mails.unionByName(blank)
+    for k in range(2):
+        every.where(F.pmod("report_id", F.lit(2)) == k).repartition(8).write.parquet(f"{source}/{k}")
+    arriving = streams.file_stream(spark, "report_id BIGINT, raw_text STRING", f"{source}/*", "*.parquet", per_trigger=8)
+    triage.stream_by_rules(arriving, index, tic._dim(spark, sf), out, PRODUCT).awaitTermination()
+    scored, parsed, drafts, rejects = (spark.read.parquet(f"{out}/{name}") for name in ("scored", "parsed", "drafts", "rejects"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("priority", "scoring_path", "owner", "duplicate_of", "component")]
+    return _decided(scored, parsed, drafts).unionByName(rejects.select("report_id", *nothing, F.lit("rejected").alias("issues")))
 
 
 def _index(spark, sf) -> indexing.Index:

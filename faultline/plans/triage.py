@@ -13,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from faultline import lexicons as lx
 from faultline.operators import classify, dedup, drafts, extraction, priority, quality, retrieval, routing, tfidf
 from faultline.session import materialise
+from faultline.streaming import streams
 
 
 @dataclass
@@ -34,13 +36,23 @@ def _query_text() -> Column:
     return F.concat_ws("\n", "title", "description", "actual_result")
 
 
-def triage_by_rules(reports: DataFrame, history: DataFrame, dim: DataFrame, product: str = "App") -> Triage:
-    """``reports(report_id, raw_text)`` against ``history(key, text, summary,
-    assignee, priority, component)`` by words alone."""
+FACTS = ["summary", "assignee", "priority", "component"]
+
+
+def triage_by_rules(
+    reports: DataFrame, history: DataFrame | tfidf.TextIndex, dim: DataFrame, product: str = "App"
+) -> Triage:
+    """``reports(report_id, raw_text)`` against the past by words alone.
+
+    ``history`` is a table ``key, text, summary, assignee, priority, component``, or an index
+    built from one (with ``key`` as ``doc_id``), which is searched as it is.
+    """
+    if isinstance(history, DataFrame):
+        history = tfidf.build_text_index(history.select(F.col("key").alias("doc_id"), "text", *FACTS))
     parsed = materialise(extraction.parse_reports(reports, product=product), "parsed")
     queries = parsed.select(F.col("report_id").alias("query_id"), _query_text().alias("text"))
-    found, duplicates = tfidf.tfidf_matches(queries, history.select(F.col("key").alias("doc_id"), "text"))
-    matches = retrieval.with_attributes(found, history, ["summary", "assignee", "priority", "component"])
+    found, duplicates = tfidf.search_text_index(queries, history)
+    matches = retrieval.with_attributes(found, history.facts, FACTS)
     matches = materialise(matches, "matches")
     scored = priority.score_priority(parsed, matches)
     owners = routing.owner_frequency(matches, queries)
@@ -49,6 +61,25 @@ def triage_by_rules(reports: DataFrame, history: DataFrame, dim: DataFrame, prod
     return Triage(parsed, matches, scored, owners, duplicates, issues, built)
 
 
+def stream_by_rules(reports: DataFrame, index_path: str, dim: DataFrame, out: str, product: str = "App") -> StreamingQuery:
+    """Arriving reports through the whole flow by words: drafts, scores, owners, matches, rejects.
+
+    Every micro-batch loads the newest complete version of the index below ``index_path`` (see
+    :func:`tfidf.build_text_index`) and the component table; a new version that is
+    written beside takes effect with the next batch, without a restart.
+    """
+
+    def flow(batch: DataFrame) -> dict[str, DataFrame]:
+        index = tfidf.load_text_index(batch.sparkSession, index_path)
+        done = triage_by_rules(batch, index, dim, product)
+        return {
+            "parsed": done.parsed, "matches": done.matches, "scored": done.scored, "owners": done.owners,
+            "duplicates": done.duplicates, "drafts": done.drafts,
+        }
+
+    return streams.stream_triage(reports, flow, out)
+
+
 def triage_by_vectors(
     reports: DataFrame,
     index: DataFrame,
@@ -83,9 +114,8 @@ def triage_by_vectors(
     routed = classify.predict_component_lr(queries, model, classes).select("query_id", "component")
     routed = materialise(routed, "routed")
     found = retrieval.rerank_two_stage(queries, index, tickets)
-    facts = ["summary", "assignee", "priority", "component"]
-    both = retrieval.union_candidates(index.select("key", *facts), tickets.select("key", *facts))
-    matches = materialise(retrieval.with_attributes(found, both, facts), "matches")
+    both = retrieval.union_candidates(index.select("key", *FACTS), tickets.select("key", *FACTS))
+    matches = materialise(retrieval.with_attributes(found, both, FACTS), "matches")
     signal = retrieval.gate_relevance(matches)
     ids = queries.select("query_id")
     duplicates = dedup.decide_duplicates(signal, ids, verdicts, duplicate=lx.VECTOR_DUPLICATE)

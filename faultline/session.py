@@ -57,3 +57,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def complete_folders(spark: SparkSession, folder: str, prefix: str, mark: str = "_SUCCESS") -> list[int]:
+    """Numbers n of the ``<prefix><n>`` folders below ``folder`` that hold the file ``mark``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path(folder)):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path(folder))]
+    found = [int(n[len(prefix) :]) for n in names if n.startswith(prefix)]
+    return sorted(n for n in found if files.exists(path(f"{folder}/{prefix}{n}/{mark}")))

@@ -190,3 +190,26 @@ def test_dense_takes_any_length_and_nulls(spark, k, floor):
     )
     ids = list(range(400))
     assert result(got) == brute(ids, vectors, ids, vectors, k, floor)
+
+
+def test_index_versions(spark, tmp_path):
+    """Readers take the newest complete version; an older one stays as it was loaded."""
+    docs = [(1, "payment page crashes badly", "Ada"), (2, "login screen flickers", "Bob")]
+    schema = "doc_id BIGINT, text STRING, assignee STRING"
+    asked = spark.createDataFrame([(7, "checkout button hidden")], "query_id BIGINT, text STRING")
+
+    def best(index):
+        matches, _ = tfidf.search_text_index(asked, index, stop_words=[])
+        return [(r.query_id, r.key, r.rank) for r in matches.collect()]
+
+    path = str(tmp_path / "index")
+    with pytest.raises(ValueError):
+        tfidf.load_text_index(spark, path)
+    old = tfidf.build_text_index(spark.createDataFrame(docs, schema), stop_words=[], path=path)
+    assert best(old) == [] and [r.assignee for r in old.facts.orderBy("key").collect()] == ["Ada", "Bob"]
+    more = spark.createDataFrame([*docs, (3, "checkout button hidden", "Cem")], schema)
+    new = tfidf.build_text_index(more, stop_words=[], path=path)
+    assert best(new) == best(tfidf.load_text_index(spark, path)) == [(7, 3, 1)]
+    assert best(old) == [] == best(tfidf.load_text_index(spark, path, 0))
+    (tmp_path / "index/version=2/postings").mkdir(parents=True)  # half written
+    assert best(tfidf.load_text_index(spark, path)) == [(7, 3, 1)]
