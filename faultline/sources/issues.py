@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from faultline import schemas
 from faultline.functions import text as t
@@ -73,34 +70,46 @@ def html_text(html: Column) -> Column:
     return t.strip(F.regexp_replace(html, "<[^>]+>", " "))
 
 
-def _tree_text(tree: str | None) -> str:
-    try:
-        stack, found = [json.loads(tree or "null")], []
-    except ValueError:
-        return ""
-    while stack:
-        node = stack.pop()
-        if not isinstance(node, dict):
-            continue
-        if node.get("type") == "text":
-            found.append(node.get("text") or "")
-        elif isinstance(node.get("content"), list):
-            stack.extend(reversed(node["content"]))
-    return " ".join(x for x in found if x)
+def doc_tree_text(tree: Column) -> Column:
+    """Text nodes of a document tree (JSON text), depth first, joined by a space.
 
-
-@F.pandas_udf(T.StringType())
-def doc_tree_text(tree_json: pd.Series) -> pd.Series:
-    """Text nodes of a document tree of any depth, depth first, joined by a space.
-
-    A tree that is null or no JSON has the empty text.
+    A step of the fold puts the children of every node in the node's own place, so the order is
+    that of the document at any depth; when no node has children left, the remaining steps
+    do nothing. Their number is bounded by the ``content`` keys there are. A tree that is
+    null or no JSON has the empty text; what is no object is passed over; text that is no string is
+    taken as it prints.
     """
-    return tree_json.map(_tree_text)
+
+    def kind(node: Column) -> Column:
+        return F.try_variant_get(node, "$.type", "string")
+
+    def children(node: Column) -> Column:
+        inner = F.when(kind(node).eqNullSafe(F.lit("text")), F.lit(None))
+        return inner.otherwise(F.try_variant_get(node, "$.content", "array<variant>"))
+
+    def step(state: Column, _: Column) -> Column:
+        spread = F.flatten(F.transform(state["nodes"], lambda x: F.coalesce(children(x), F.array(x))))
+        more = F.exists(spread, lambda x: children(x).isNotNull())
+        done = F.struct(F.lit(False).alias("more"), state["nodes"].alias("nodes"))
+        return F.when(state["more"], F.struct(more.alias("more"), spread.alias("nodes"))).otherwise(done)
+
+    def walk(root: Column) -> Column:
+        name = F.lit('"content"')
+        plain = F.to_json(root)
+        bound = ((F.length(plain) - F.length(F.replace(plain, name, F.lit("")))) / F.length(name)).cast("int")
+        start = F.struct(F.lit(True).alias("more"), F.array(root).alias("nodes"))
+        return F.aggregate(F.sequence(F.lit(0), bound), start, step)["nodes"]
+
+    texts = F.transform(
+        t.let(F.try_parse_json(tree), walk),
+        lambda x: F.when(kind(x) == "text", F.try_variant_get(x, "$.text", "string")),
+    )
+    return F.coalesce(F.array_join(F.filter(texts, lambda x: x != ""), " "), F.lit(""))
 
 
 def issue_text(summary: Column, html: Column, tree_json: Column | None = None) -> Column:
     """Summary and body; the body is the rendered HTML, else the document tree."""
-    body = F.coalesce(doc_tree_text(tree_json), F.lit("")) if tree_json is not None else F.lit("")
+    body = doc_tree_text(tree_json) if tree_json is not None else F.lit("")
     body = F.when(F.coalesce(html, F.lit("")) != "", html_text(html)).otherwise(body)
     return t.strip(F.concat(F.coalesce(summary, F.lit("")), F.lit("\n"), body))
 

@@ -112,6 +112,35 @@ def test_tree_of_any_depth(spark):
     assert got == [" ".join(["x"] + ["y"] * 40), "", "", "", ""]
 
 
+def test_deep_and_wide_trees_in_the_jvm(spark):
+    import random
+
+    rng = random.Random(6)
+
+    def plain(node):
+        if not isinstance(node, dict):
+            return []
+        if node.get("type") == "text":
+            return [node["text"]] if node.get("text") else []
+        inner = node.get("content")
+        return [x for c in inner for x in plain(c)] if isinstance(inner, list) else []
+
+    def grow(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([{"type": "text", "text": f'w{rng.randrange(99)} "content" \\u00e9'}, {"type": "hr"}, 7, None, "x"])
+        return {"content": [grow(depth - 1) for _ in range(rng.randrange(5))], "type": rng.choice(["p", "doc", None]), "text": "no"}
+
+    trees = [grow(7) for _ in range(60)]
+    deep = {"type": "text", "text": "deep"}
+    for _ in range(200):
+        deep = {"type": "p", "content": [deep]}
+    trees += [deep, {"content": [{"type": "text", "text": f"t{k}"} for k in range(3000)]}]
+    df = spark.createDataFrame([(json.dumps(x),) for x in trees], "j STRING")
+    found = df.select(src.doc_tree_text(F.col("j")).alias("t"))
+    assert [r.t for r in found.collect()] == [" ".join(plain(x)) for x in trees]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_log_of_one_instant(spark):
     """Insert, update and delete at one time replay to the table."""
     now = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
