@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
 from faultline import schemas
 from faultline.functions import text as t
+from faultline.session import complete_folders
 
 #: Order of events of one instant and sequence number.
 _EVENT_RANK = {"INSERT": 0, "STATUS_UPDATE": 1, "DELETE": 2}
@@ -154,12 +155,10 @@ def delete_tickets(
     return tickets.join(gone, "key", "left_anti"), events
 
 
-def replay_state(events: DataFrame) -> DataFrame:
-    """Current tickets from the log alone: one grouped pass, combined map-side.
+def event_state(events: DataFrame) -> DataFrame:
+    """What a replay needs to know of each key: the last insert, status and event, and when they were.
 
-    Per key: the payload of the last INSERT, the status of the last event, and
-    whether a DELETE came last. Events of one instant and sequence number are taken
-    as INSERT, STATUS_UPDATE, DELETE.
+    Events of one instant and sequence number are taken as INSERT, STATUS_UPDATE, DELETE.
     """
     ranks = F.create_map(*[F.lit(x) for pair in _EVENT_RANK.items() for x in pair])
     order = F.struct("timestamp", "seq", F.element_at(ranks, F.col("event")).alias("rank"))
@@ -167,14 +166,29 @@ def replay_state(events: DataFrame) -> DataFrame:
     status = F.when(inserted, F.get_json_object("payload", "$.status")).when(
         F.col("event") == "STATUS_UPDATE", F.get_json_object("payload", "$.to")
     )
-    per = events.groupBy("key").agg(
+    return events.groupBy("key").agg(
         F.max_by(F.when(inserted, F.col("payload")), F.when(inserted, order)).alias("payload"),
+        F.max(F.when(inserted, order)).alias("payload_at"),
         F.max_by(status, F.when(status.isNotNull(), order)).alias("status"),
+        F.max(F.when(status.isNotNull(), order)).alias("status_at"),
         F.max_by("event", order).alias("last"),
+        F.max(order).alias("last_at"),
         F.max(F.when(inserted, F.col("timestamp"))).alias("created"),
         F.max("timestamp").alias("updated"),
     )
-    alive = per.filter((F.col("last") != "DELETE") & F.col("payload").isNotNull())
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """States of parts of a log to those of the whole, in any order of the parts."""
+    parts = [F.max_by(c, f"{c}_at").alias(c) for c in ("payload", "status", "last")]
+    marks = [F.max(f"{c}_at").alias(f"{c}_at") for c in ("payload", "status", "last")]
+    merged = states.groupBy("key").agg(*parts, *marks, F.max("created").alias("created"), F.max("updated").alias("updated"))
+    return merged.select(*states.columns)
+
+
+def tickets_of(states: DataFrame) -> DataFrame:
+    """The tickets that are there, from the states of their keys."""
+    alive = states.filter((F.col("last") != "DELETE") & F.col("payload").isNotNull())
     body = alive.withColumn("p", F.from_json("payload", schemas.INSERT_PAYLOAD))
     kept = ["summary", "description", "component", "priority", "assignee", "reporter", "duplicate_of"]
     return body.select(
@@ -184,6 +198,53 @@ def replay_state(events: DataFrame) -> DataFrame:
     )
 
 
+def replay_state(events: DataFrame) -> DataFrame:
+    """Current tickets from the log alone: one grouped pass, combined map-side."""
+    return tickets_of(event_state(events))
+
+
+# --- a log on disk, with snapshots --------------------------------------------------------
+
+
+def append_log(events: DataFrame, path: str) -> int:
+    """Writes the events as the next batch of the log at ``path``; returns its number."""
+    number = max([-1, *complete_folders(events.sparkSession, f"{path}/log", "batch=")]) + 1
+    events.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+    return number
+
+
+def _state_of_log(spark: SparkSession, path: str, upto: int | None) -> tuple[DataFrame, int, int]:
+    """State up to a batch, the snapshot's mark in it (-1: none) and the last batch."""
+    batches = [n for n in complete_folders(spark, f"{path}/log", "batch=") if upto is None or n <= upto]
+    if not batches:
+        raise ValueError(f"no events below {path}")
+    mark = max([-1, *[n for n in complete_folders(spark, f"{path}/state", "upto=") if n <= batches[-1]]])
+    tail = [f"{path}/log/batch={n}" for n in batches if n > mark]
+    states = event_state(spark.read.parquet(*tail)) if tail else None
+    if mark >= 0:
+        before = spark.read.parquet(f"{path}/state/upto={mark}")
+        states = before if states is None else merge_states(before.unionByName(states))
+    return states, mark, batches[-1]
+
+
+def snapshot_log(spark: SparkSession, path: str) -> int:
+    """Writes the state up to the last complete batch; returns that batch, the high-water mark.
+
+    It reads the last snapshot and the batches behind it. Batches count in the order they were
+    appended, so an event whose time lies before the mark is not lost: it is in a later
+    batch, and states merge by the events' own order. Needless folders stay for their owner.
+    """
+    states, mark, last = _state_of_log(spark, path, None)
+    if last > mark:
+        states.write.mode("overwrite").parquet(f"{path}/state/upto={last}")
+    return last
+
+
+def replay_log(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """Tickets after batch ``upto`` (default: the last) from the nearest snapshot and the rest."""
+    return tickets_of(_state_of_log(spark, path, upto)[0])
+
+
 def last_status(events: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
     """Latest status per key, from a log that carries the status directly."""
     moment = F.struct(*order)

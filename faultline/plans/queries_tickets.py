@@ -13,6 +13,7 @@ from faultline.plans.queries_extraction import BASE, EMAIL, NAME, PARSED, PLATFO
 from faultline.plans.registry import q, query, sql_case, sql_list, sql_strip, table
 from faultline.session import fresh_path, materialise
 from faultline.sources import issues as src
+from faultline.sources import paged
 from faultline.sources import reports as rep
 from faultline.sources import tables
 
@@ -53,6 +54,13 @@ def src_paged_search(spark, sf):
     return rows.drop("o_orderdate")
 
 
+@query("src_issue_pages", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_custkey > 20")
+def src_issue_pages(spark, sf):
+    """All open orders through the paged source, 5,000 rows a page; both filters are pushed."""
+    rows = paged.read_pages(spark, f"{sf}/orders.parquet", "o_orderdate", "o_orderkey", page_rows=5000)
+    return rows.where("o_orderstatus = 'O' AND o_custkey > 20").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 _W = "(^|[^\\p{L}\\p{N}_])"
 _E = "($|[^\\p{L}\\p{N}_])"
 
@@ -100,14 +108,18 @@ def src_report_files(spark, sf):
     return found.select("raw_text", F.size("attachments").alias("n_attachments"))
 
 
-_PATHS = "SELECT page_id, concat(split_part(url, '?', 1), CASE page_id % 5 WHEN 0 THEN '/a.PNG' WHEN 1 THEN '/b.mov' WHEN 2 THEN '/c.txt' WHEN 3 THEN '/d.jpeg' ELSE '' END) AS path FROM pages"
+_MEDIA = "SELECT page_id, concat('case', page_id % 40, '/', page_id, CASE page_id % 5 WHEN 0 THEN '.PNG' WHEN 1 THEN '.mov' WHEN 2 THEN '.txt' WHEN 3 THEN '.jpeg' ELSE '' END) AS path, html FROM pages"
 
 
-@query("src_attachments", f"""SELECT page_id, kind, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS label FROM (SELECT *, CASE WHEN sx IN ({sql_list(lx.IMAGE_SUFFIXES)}) THEN 'image'
-  WHEN sx IN ({sql_list(lx.VIDEO_SUFFIXES)}) THEN 'video' END AS kind FROM (SELECT *, lower(regexp_extract(path, '\\.[^./]+$', 0)) AS sx FROM ({_PATHS}))) WHERE kind IS NOT NULL""")
+@query("src_attachments", f"""SELECT page_id, kind, 'case' || (page_id % 40) AS label, octet_length(encode(coalesce(html, ''))) AS n_bytes FROM (SELECT *, CASE WHEN sx IN ({sql_list(lx.IMAGE_SUFFIXES)}) THEN 'image'
+  WHEN sx IN ({sql_list(lx.VIDEO_SUFFIXES)}) THEN 'video' END AS kind FROM (SELECT *, lower(regexp_extract(path, '\\.[^./]+$', 0)) AS sx FROM ({_MEDIA}))) WHERE kind IS NOT NULL""")
 def src_attachments(spark, sf):
+    """Every page as a file of a report's folder, written, then found among the others."""
     s.views(spark, sf, "pages")
-    return rep.media_files(spark.sql(_PATHS)).select("page_id", "kind", "label")
+    folder = fresh_path(spark, "cases")
+    rep.write_files(spark.sql(_MEDIA).select("path", F.encode("html", "UTF-8").alias("content")).repartition(8), folder)
+    number = F.regexp_extract("path", r"/(\d+)\.[^/]*$", 1).cast("bigint")
+    return rep.attachments(spark, folder).select(number.alias("page_id"), "kind", "label", F.col("length").alias("n_bytes"))
 
 
 @query("src_repo_manifest", "SELECT n_name AS team, s_name AS name, CAST(row_number() OVER (PARTITION BY n_name ORDER BY s_name) AS INT) AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -276,6 +288,17 @@ def replay_state(spark, sf):
     return tickets.replay_state(s.ticket_log(spark, sf)).select("key", "summary", "status", "priority")
 
 
+@query("replay_log", f"WITH log AS ({s.LOG_SQL}) {_REPLAYED}")
+def replay_log(spark, sf):
+    """The log appended in four batches out of order; a snapshot after two of them, the rest replayed."""
+    path, log = fresh_path(spark, "log"), s.ticket_log(spark, sf)
+    for k in range(4):
+        tickets.append_log(log.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == k), path)
+        if k == 1:
+            tickets.snapshot_log(spark, path)
+    return tickets.replay_log(spark, path).select("key", "summary", "status", "priority")
+
+
 @query("last_status", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_events FROM events GROUP BY user_id")
 def last_status(spark, sf):
     return tickets.last_status(table(spark, sf, "events"), "user_id", "event_type", ["ts", "event_id"]).drop("updated")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +32,29 @@ def attachments(spark: SparkSession, path: str) -> DataFrame:
     return media_files(listing.select("path", "modificationTime", "length"))
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes ``path`` (below ``root``), ``content`` (binary) rows as files, each by the task that has it.
+
+    A file is written under another name first, so a task that is run again leaves whole files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root.removeprefix("file:"))
+        done = 0
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                place = f"{base}/{path}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                part = f"{place}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, place)
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], ["n"])
+
+    files.select("path", F.coalesce("content", F.lit(b"")).alias("content")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def report_files(spark: SparkSession, path: str) -> DataFrame:
     """``report_id, raw_text, attachments`` from text files and report folders.
 
