@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
-from faultline.operators import classify, drafts, quality, routing, tickets
+from faultline.operators import classify, drafts, mining, quality, routing, textindex, tickets
 from faultline.plans import queries_decisions as dec
 from faultline.plans import standins as s
 from faultline.plans.queries_extraction import BASE, EMAIL, NAME, PARSED, PLATFORM, parsed
@@ -71,6 +71,21 @@ def src_text_search(spark, sf):
     return src.text_search(docs, "text", "the ARE", "n_chars", "doc_id").select("doc_id", "source")
 
 
+@query("text_search_index", f"""SELECT * FROM (SELECT 'search' AS kind, doc_id, source, 0 AS line_no FROM documents WHERE regexp_matches(lower(text), '{_W}the{_E}') AND regexp_matches(lower(text), '{_W}released{_E}') ORDER BY n_chars DESC, doc_id LIMIT 20)
+  UNION ALL SELECT 'grep', doc_id, source, line_no FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) AS n FROM (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY line_no) AS i FROM
+   (SELECT doc_id, source, generate_subscripts(ls, 1)::INT AS line_no, unnest(ls) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents)) WHERE contains(lower(line), 'released under')) WHERE i <= 5) WHERE n <= 20""")
+def text_search_index(spark, sf):
+    """A search by words and one for a phrase, both through a saved trigram index."""
+    path = fresh_path(spark, "trigrams")
+    textindex.build_index(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), "text", path)
+    some = textindex.find_texts(spark, path, ["the", "Released"])
+    searched = src.text_search(some, "text", "the Released", "n_chars", "id")
+    files = textindex.find_texts(spark, path, ["Released under"])
+    lines = mining.mine_grep(files.select(F.col("source").alias("repo"), F.format_string("%020d", "id").alias("path"), F.col("text").alias("content")), "Released under")
+    lines = lines.select(F.lit("grep").alias("kind"), F.col("path").cast("bigint").alias("doc_id"), F.col("repo").alias("source"), "line_no")
+    return searched.select(F.lit("search").alias("kind"), F.col("id").alias("doc_id"), "source", F.lit(0).alias("line_no")).unionByName(lines)
+
+
 @query("src_issue_by_key", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT doc_id FROM documents)")
 def src_issue_by_key(spark, sf):
     keys = table(spark, sf, "documents").select(F.col("doc_id").alias("o_orderkey"))
