@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.llm.ordinals import number_rows
+from faultline.session import materialise
+
 #: Fixed values of the format.
 END = "\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,30 +40,49 @@ def _record(fields: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(*lines, F.lit(END), block)
 
 
-def mark_revisits(
-    pages: DataFrame, id_col: str, payload_col: str, min_payload: int = 100
-) -> DataFrame:
-    """Adds payload, payload_bytes, payload_digest and first_id.
+def mark_revisits(rows: DataFrame, min_payload: int = 100) -> DataFrame:
+    """``id, url, body`` with payload, payload_bytes, payload_digest, first, nth and key.
 
-    ``first_id`` is the smallest id with the same payload where the payload has
-    ``min_payload`` bytes or more and more than one page; else null. Equal payloads
-    are counted before the join, whose smaller side has one row per repeated payload.
+    ``first`` is the (id, url) of the smallest id with the same payload where the payload has
+    ``min_payload`` bytes or more and more than one page; else null. ``nth`` numbers rows
+    that agree in id, URL and payload, so that every row is a capture of its own. ``key`` names
+    it. Equal rows are counted before any join; only rows that have a twin are dealt out to
+    be numbered, in ranges, so a page in any number of equal rows is spread.
     """
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.withColumn("payload", payload).withColumns(
+    payload = F.coalesce(F.col("body"), F.lit(""))
+    rows = rows.withColumn("payload", payload).withColumns(
         {
             "payload_bytes": F.octet_length("payload").cast("long"),
             "payload_digest": F.sha2("payload", 256),
         }
     )
+    same = ["id", "url", "payload_digest", "payload_bytes"]
+    kinds = materialise(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")), "warc-pages")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url"))
     firsts = (
-        rows.where(F.col("payload_bytes") >= min_payload)
+        kinds.where(F.col("payload_bytes") >= min_payload)
         .groupBy("payload_digest")
-        .agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies"))
+        .agg(least.alias("first"), F.sum("copies").alias("copies"))
         .where(F.col("copies") > 1)
         .drop("copies")
     )
-    return rows.join(firsts, "payload_digest", "left")
+    twins = kinds.where("copies > 1").select(*[F.col(c).alias(f"_{c}") for c in same[:3]])
+    if twins.take(1):
+        equal = F.lit(True)
+        for c in same[:3]:
+            equal = equal & rows[c].eqNullSafe(F.col(f"_{c}"))
+        numbered = number_rows(rows.join(twins, equal, "left_semi"), same[:3], [], "nth")
+        rows = rows.join(twins, equal, "left_anti").withColumn("nth", F.lit(0).cast("long")).unionByName(numbered)
+    else:
+        rows = rows.withColumn("nth", F.lit(0).cast("long"))
+    rows = rows.join(firsts, "payload_digest", "left")
+    return rows.withColumn("key", capture_key(F.col("id"), F.col("url"), F.col("nth")))
+
+
+def capture_key(id_: Column, url: Column, nth: Column) -> Column:
+    """Name of a row among those of its payload."""
+    told = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")) for c in (id_, url)]
+    return F.concat_ws("/", *told, F.col("payload_digest"), nth.cast("string"))
 
 
 def write_warc(
@@ -71,25 +93,46 @@ def write_warc(
     payload_col: str = "html",
     date: str = "1970-01-01T00:00:00Z",
     min_payload: int = 100,
-    records_per_file: int = 4000,
+    records_per_file: int = 3000,
+    page_bytes: int = 1 << 18,
 ) -> None:
     """A request, a response or revisit, and a metadata record for each page.
 
     The text sink writes the records with the format's own terminator between
-    them, gzipped, in files of at most ``records_per_file`` records. A null payload
+    them, gzipped. Files have at most ``records_per_file`` records; pages above
+    ``page_bytes`` go to files of their own size class, with half as many records for each
+    doubling, so a file holds a bounded number of bytes or one capture. Every row is a
+    capture, rows that agree in all columns too. A null payload
     is empty; a null URL leaves the field out; line ends in a URL are escaped.
-    Pages with a null id are named like an empty id. Other columns are left out;
+    Pages with a null id are never the first of a payload. Other columns are left out;
     an empty table writes no record.
     """
     own = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("body")
     )
-    rows = mark_revisits(own, "id", "body", min_payload).withColumn(
-        "url", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    )
-    revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
-    capture = record_id("response", F.coalesce(F.col("id").cast("string"), F.lit("")))
-    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    marked = mark_revisits(own, min_payload)
+    largest = own.agg(F.max(F.octet_length("body"))).first()[0] or 0
+    size = F.coalesce(F.octet_length("body"), F.lit(0))
+    klass, low = 0, -1
+    while klass == 0 or low < largest:
+        high = page_bytes << klass
+        records = _records(marked.where((size > low) & (size <= high)), date)
+        (
+            records.write.mode("append")
+            .option("lineSep", END + END)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", max(3, records_per_file >> klass) // 3 * 3)
+            .text(path)
+        )
+        klass, low = klass + 1, high
+
+
+def _records(marked: DataFrame, date: str) -> DataFrame:
+    """One row ``value`` for each record."""
+    rows = marked.withColumn("uri", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))
+    revisit = F.col("first.id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
+    key = F.col("key")
+    capture = record_id("response", key)
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
         F.col("payload_bytes").cast("string"),
@@ -101,11 +144,11 @@ def write_warc(
             ("WARC-Record-ID", record_id("request", key)),
             ("WARC-Concurrent-To", capture),
             ("WARC-Date", date),
-            ("WARC-Target-URI", F.col("url")),
+            ("WARC-Target-URI", F.col("uri")),
             ("Content-Type", "application/http;msgtype=request"),
         ],
         F.concat(
-            F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{END}Accept: */*{END * 2}")
+            F.lit("GET "), F.coalesce("uri", F.lit("/")), F.lit(f" HTTP/1.1{END}Accept: */*{END * 2}")
         ),
     )
     response = _record(
@@ -113,12 +156,12 @@ def write_warc(
             ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
             ("WARC-Record-ID", capture),
             ("WARC-Date", date),
-            ("WARC-Target-URI", F.col("url")),
+            ("WARC-Target-URI", F.col("uri")),
             ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
             ("WARC-Profile", F.when(revisit, REVISIT_PROFILE)),
             (
                 "WARC-Refers-To",
-                F.when(revisit, record_id("response", F.col("first_id"))),
+                F.when(revisit, record_id("response", capture_key(F.col("first.id"), F.col("first.url"), F.lit(0)))),
             ),
             ("Content-Type", "application/http;msgtype=response"),
         ],
@@ -130,18 +173,12 @@ def write_warc(
             ("WARC-Record-ID", record_id("metadata", key)),
             ("WARC-Concurrent-To", capture),
             ("WARC-Date", date),
-            ("WARC-Target-URI", F.col("url")),
+            ("WARC-Target-URI", F.col("uri")),
             ("Content-Type", "application/warc-fields"),
         ],
-        F.concat(F.lit("id: "), key, F.lit(END)),
-    )
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    (
-        records.write.option("lineSep", END + END)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", records_per_file)
-        .text(path)
+        F.concat(F.lit("id: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(END)),
     )
+    return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, list[str]], memoryview]]:

@@ -1,5 +1,6 @@
 """Archives written, read back byte for byte, and assembled."""
 
+import gzip
 import hashlib
 
 from faultline.llm import warc
@@ -64,10 +65,32 @@ def test_response_that_names_its_request(spark):
     assert found["d"].request is None
 
 
-def test_repeated_rows_and_empty_table(spark):
+def test_every_row_is_a_capture(spark):
+    """Rows of one id, equal or not: one capture each; revisits name a response that is there."""
+    body = "<p>" + "x" * 200 + "</p>"
+    rows = [(1, "u", "a"), (1, "u", "a"), (1, "u", "b"), (1, "v", "a"), (1, None, "a"), (1, "", "a")]
+    rows += [(2, "u", body)] * 3 + [(2, "w", body), (3, "u", body), (3, "u", body), (None, "u", body), (None, "u", body)]
     path = fresh_path(spark, "warc")
-    warc.write_warc(frame(spark, [PAGES[0], PAGES[0]]), path)
-    assert warc.assemble_captures(warc.read_warc(spark, path)).count() == 1
+    warc.write_warc(frame(spark, rows), path)
+    found = warc.assemble_captures(warc.read_warc(spark, path)).collect()
+    assert len(found) == len({r.capture_id for r in found}) == len(rows)
+    responses = {r.capture_id: r for r in found if r.response.type == "response"}
+    revisits = [r for r in found if r.response.type == "revisit"]
+    assert len(revisits) == 4 and all(responses[r.response.refers_to].response.payload_bytes == len(body) for r in revisits)
+    assert sum(r.response.payload_bytes == len(body) for r in responses.values()) == 4
     path = fresh_path(spark, "warc")
     warc.write_warc(frame(spark, []), path)
     assert warc.assemble_captures(warc.read_warc(spark, path)).count() == 0
+
+
+def test_files_are_cut_by_size(spark):
+    """Larger pages lie in files with fewer records."""
+    rows = [(k, "u", str(k) * 10) for k in range(100)] + [(200 + k, "u", chr(97 + k) * 5000) for k in range(8)]
+    path = fresh_path(spark, "warc")
+    warc.write_warc(frame(spark, rows), path, records_per_file=60, page_bytes=1000)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    parsed = [[len(block) for _, block in warc.parse_records(gzip.decompress(bytes(r.content)))] for r in files if r.content]
+    parsed = [own for own in parsed if own]
+    assert sum(map(len, parsed)) == 3 * len(rows) and max(map(len, parsed)) <= 60
+    assert all(len(own) <= 6 for own in parsed if max(own) >= 5000)
+    assert warc.assemble_captures(warc.read_warc(spark, path)).count() == len(rows)
