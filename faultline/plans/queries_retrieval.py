@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
-from faultline.operators import dedup, retrieval, routing, tfidf
+from faultline.operators import classify, dedup, retrieval, routing, svd, tfidf
 from faultline.plans import standins as s
 from faultline.plans.registry import query, sql_list, table
+from faultline.session import materialise
 
 _STOPS = sql_list(lx.STOP_WORDS)
 
@@ -56,6 +57,28 @@ def vocab_limit(spark, sf):
     return tfidf.vocab_limit(tfidf.term_counts(_docs(spark, sf)), lx.TFIDF_MAX_FEATURES)
 
 
+def _learned(spark, sf) -> DataFrame:
+    docs = _docs(spark, sf)
+    return svd.embed_svd(docs, svd.fit_svd_encoder(docs, rank=32))
+
+
+@query("embed_svd", f"""WITH {_DOCS} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM weights) THEN 1.0::DOUBLE END AS norm,
+  CASE WHEN doc_id IN (SELECT doc_id FROM weights) THEN 32 END AS width FROM documents""")
+def embed_svd(spark, sf):
+    """Vectors of the learned encoder: unit length where a term is known, null elsewhere."""
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    found = _learned(spark, sf)
+    return found.select("doc_id", F.round(F.sqrt(square), 6).alias("norm"), F.when(F.col("vec").isNotNull(), F.size("vec")).alias("width"))
+
+
+@query("loo_evaluate_svd")
+def loo_evaluate_svd(spark, sf):
+    """Leave-one-out votes for the language of every document from its nearest in the learned space."""
+    langs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("label"))
+    index = materialise(_learned(spark, sf).withColumnRenamed("doc_id", "key").where("vec is not null").join(langs, "key"), "learned")
+    return classify.evaluation(classify.loo_predictions(index))
+
+
 # Benchmark texts ask, documents answer.
 _SIMS = f"""{_DOCS}, qraw AS (SELECT doc_id AS query_id, term, (1 + ln(tf)) * idf AS raw FROM ({counts_sql('benchmark', 'item_id', 'text')}) JOIN vocab USING (term)),
  qw AS (SELECT query_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY query_id)) AS weight FROM qraw),
