@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline import lexicons as lx
 from faultline.functions import text as t
-from faultline.operators import classify, extraction, priority, quality, routing
+from faultline.operators import classify, extraction, leaveout, priority, quality, routing
 from faultline.plans import standins as s
 from faultline.plans.queries_extraction import CORPUS, PARSED, hits_sql, parsed
 from faultline.plans.queries_retrieval import counts_sql, tfidf_ctes
@@ -142,6 +142,36 @@ def predict_component_lr(spark, sf):
     return _rounded(_lr(spark, sf)).select("query_id", "component", "confidence", "method", "fell_back")
 
 
+@query("lr_optimum", "SELECT label, count(*) AS n, true AS flat FROM embeddings GROUP BY label")
+def lr_optimum(spark, sf):
+    """The fitted model is the optimum: the gradient of weighted loss and penalty is zero for each class."""
+    idx = s.index(spark, sf)
+    model, classes = classify.train_component_lr(idx, tol=1e-9)
+    weights = classify.class_weights(idx).select("label", "weight")
+    scored = classify.predict_component_lr(idx.withColumnRenamed("key", "query_id"), model, classes)
+    rows = scored.join(idx.withColumnRenamed("key", "query_id"), "query_id").join(F.broadcast(weights), "label")
+    pull = rows.select(
+        "label", "weight", "vec", F.explode("probabilities").alias("class", "p")
+    ).withColumn("pull", F.col("weight") * (F.col("p") - (F.col("class") == F.col("label").cast("string")).cast("double")))
+    terms = F.concat(F.col("vec").cast("array<double>"), F.array(F.lit(1.0)))
+    sums = pull.select("class", "pull", F.posexplode(terms).alias("j", "x")).groupBy("class", "j").agg(F.sum(F.col("pull") * F.col("x")).alias("g"))
+    table_ = [
+        (str(c), j, float(v)) for c, row in zip(classes, model.coefficientMatrix.toArray()) for j, v in enumerate([*row, 0.0])
+    ]
+    penalty = spark.createDataFrame(table_, "class string, j int, beta double")
+    flat = sums.join(penalty, ["class", "j"]).groupBy("class").agg(F.max(F.abs(F.col("g") + F.col("beta"))).alias("steep"))
+    counts = idx.groupBy("label").agg(F.count("*").alias("n"))
+    return counts.join(flat, F.col("label").cast("string") == F.col("class")).select("label", "n", (F.col("steep") < 0.02).alias("flat"))
+
+
+@query("loo_logistic")
+def loo_logistic(spark, sf):
+    """Every vector classified by the logistic model as if it had not been trained on it."""
+    idx = s.index(spark, sf)
+    model, classes = classify.train_component_lr(idx)
+    return leaveout.approximate_loo(idx, model, classes).withColumn("confidence", F.round("confidence", 6))
+
+
 @query("embed_text", """SELECT doc_id, 1.0::DOUBLE AS norm, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'))) AS n_tokens, true AS entries_fit, true AS copies_agree FROM documents""")
 def embed_text(spark, sf):
     """Length one; no more entries than tokens; equal texts have equal vectors."""
