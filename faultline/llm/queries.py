@@ -165,6 +165,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     name = f"digest_index_{uuid.uuid4().hex}"
     exact.open_index(spark, name, fresh_path(spark, "digest-index"))
     decided = exact.append_new(table(spark, sf, "documents"), name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; what is read below is written
     return decided.select(
         "doc_id",
         "keep_id",
