@@ -163,15 +163,24 @@ def loo_proba(neighbours: DataFrame, queries: DataFrame, labels: DataFrame) -> D
 # --- training set ----------------------------------------------------------------
 
 
-def training_eligibility(issues: DataFrame, mapped: Sequence[str]) -> DataFrame:
-    """Reason a row cannot train, or ``ok``: ``component, text`` in, ``reason`` added."""
+def training_eligibility(issues: DataFrame, mapped: Sequence[str] | DataFrame) -> DataFrame:
+    """Reason a row cannot train, or ``ok``: ``component, text`` in, ``reason`` added.
+
+    ``mapped`` are the known components: a list, or a table with a ``component`` column.
+    """
+    if isinstance(mapped, DataFrame):
+        known = mapped.select(F.col("component").alias("_component"), F.lit(True).alias("_known")).distinct()
+        rows = issues.join(known, F.col("component") == F.col("_component"), "left")
+        is_mapped = F.coalesce("_known", F.lit(False))
+    else:
+        rows, is_mapped = issues, F.col("component").isin(list(mapped))
     reason = (
         F.when(F.coalesce("component", F.lit("")) == "", "no_component")
-        .when(~F.col("component").isin(list(mapped)), "unmapped_component")
+        .when(~is_mapped, "unmapped_component")
         .when(t.strip(F.coalesce("text", F.lit(""))) == "", "no_text")
         .otherwise("ok")
     )
-    return issues.withColumn("reason", reason)
+    return rows.withColumn("reason", reason).select(*issues.columns, "reason")
 
 
 def class_counts(eligible: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def _eligible(spark, sf) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     comp = F.when(F.col("quality").isNotNull(), F.when(F.col("lang") == "es", "unmapped").otherwise(F.col("source")))
     rows = d.select("doc_id", comp.alias("component"), F.when(F.col("toxic") == 1, "  ").otherwise(F.col("text")).alias("text"))
-    sources = [r["source"] for r in table(spark, sf, "documents").select("source").distinct().collect()]
+    sources = table(spark, sf, "documents").select(F.col("source").alias("component"))
     return classify.training_eligibility(rows, sources)
 
 

@@ -82,7 +82,7 @@ def stream_triage_flow(spark, sf):
 
 def _index(spark, sf) -> indexing.Index:
     issues = _history(spark, sf).withColumn("key", F.col("key").cast("string"))
-    sources = [r["source"] for r in table(spark, sf, "documents").select("source").distinct().collect()]
+    sources = table(spark, sf, "documents").select(F.col("source").alias("component"))
     docs = table(spark, sf, "documents")
     corrections = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(
         F.lit("2024-01-01").alias("timestamp"), F.md5("text").alias("bug_hash"),
