@@ -138,7 +138,7 @@ def fit_svd_encoder(
 ) -> SvdEncoder:
     """An encoder learned from all of ``docs(doc_id, text)``."""
     words = tfidf.tokenised(docs.select("doc_id", "text"), stop_words)
-    vocab = materialise(tfidf.vocabulary(tfidf.term_counts(words, stop_words), words, max_features), "vocab")
+    vocab = materialise(tfidf.vocabulary(tfidf.term_counts(words, stop_words, most=max_features), words, max_features), "vocab")
     rows = materialise(tfidf.vectors(words, vocab, stop_words), "tfidf-rows")
     basis, values = truncated_svd(rows, vocab.count(), rank, rounds)
     return SvdEncoder(vocab, basis, values, tuple(stop_words))

@@ -1,5 +1,7 @@
 """Similarity joins against brute force, with small blocks and hot groups."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -213,3 +215,18 @@ def test_index_versions(spark, tmp_path):
     assert best(old) == [] == best(tfidf.load_text_index(spark, path, 0))
     (tmp_path / "index/version=2/postings").mkdir(parents=True)  # half written
     assert best(tfidf.load_text_index(spark, path)) == [(7, 3, 1)]
+
+
+def test_rare_terms_drop_out_before_they_are_counted(spark):
+    rng = random.Random(3)
+    rows = [(k % 50 if k % 7 else None, None if k % 11 == 0 else " ".join(
+        f"w{min(int(rng.paretovariate(0.8)), 400)}" for _ in range(60))) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = tfidf.term_counts(docs)
+    for most in (5, 20):
+        few = tfidf.term_counts(docs, most=most)
+        assert few.count() < 0.9 * every.count()
+        want, found = (sorted(map(tuple, tfidf.vocab_limit(c, most).collect())) for c in (every, few))
+        assert len(want) == most and found == want
+    # fewer words than asked for: nothing may be left out
+    assert tfidf.term_counts(docs, most=100_000).count() == every.count()
