@@ -230,3 +230,24 @@ def test_rare_terms_drop_out_before_they_are_counted(spark):
         assert len(want) == most and found == want
     # fewer words than asked for: nothing may be left out
     assert tfidf.term_counts(docs, most=100_000).count() == every.count()
+
+
+@pytest.mark.parametrize("floor", [None, 0.1])
+def test_best_of_a_block_with_ties_and_repeated_keys(floor):
+    rng = np.random.default_rng(8)
+    for n, k in ((3, 5), (40, 5), (400, 5), (400, 30)):
+        scores = rng.normal(size=(30, n)).round(rng.choice([1, 3, 7])) / 3 + rng.choice([0, 4e-7], (30, n))
+        keys, asked = rng.integers(0, 2 * n, n), rng.integers(0, 2 * n, 30)
+        for skip in (False, True):
+            want = []
+            for i, row in enumerate(np.round(scores, blockjoin.DECIMALS)):
+                pairs = [(-s, j) for s, j in zip(row, keys) if not (skip and asked[i] == j) and (floor is None or s >= floor)]
+                want += [(asked[i], j, -s) for s, j in sorted(pairs)[:k]]
+            assert list(zip(*blockjoin._best(scores, asked, keys, k, floor, skip))) == want
+
+
+def test_few_scores_of_a_block_are_rounded(monkeypatch):
+    rng, sizes, done = np.random.default_rng(9), [], np.round
+    monkeypatch.setattr(np, "round", lambda x, *a: sizes.append(np.size(x)) or done(x, *a))
+    blockjoin._best(rng.normal(size=(100, 4096)), np.arange(100), np.arange(4096), 5, None, True)
+    assert sum(sizes) < 100 * 64
