@@ -48,11 +48,16 @@ PUSHED = {
 }
 
 
+#: Bytes of rows that are read ahead of a page.
+HELD_BYTES = 64 << 20
+
+
 class ParquetPages:
-    """Pages of Parquet files in the order of ``updated`` and ``key``, which must not be null.
+    """Pages of Parquet files in the order of ``updated`` and ``key``.
 
-    A page reads the row groups whose statistics reach behind its token, and holds at
-    most two pages of rows while it looks for the first ones.
+    :meth:`page` reads the row groups whose statistics reach behind its token, and holds at
+    most two pages of rows while it looks for the first ones. :meth:`pages` goes through one
+    row group and reads ahead, so a table in any order is read about once.
     """
 
     def __init__(self, path: str, updated: str, key: str) -> None:
@@ -96,16 +101,20 @@ class ParquetPages:
         at = self.value(token[0])
         return (ds.field(self.updated) > at) | ((ds.field(self.updated) == at) & (ds.field(self.key) > token[1]))
 
-    def page(
-        self, columns: list[str], where: list, after: list | None, until: list | None, rows: int
-    ) -> pa.Table:
-        """The first ``rows`` rows behind ``after`` and not behind ``until`` that pass the filters."""
+    def _test(self, where: list, after: list | None, until: list | None) -> ds.Expression | None:
         test = None
         parts = [PUSHED[kind](ds.field(name), self._literal(name, value)) for kind, name, value in where]
         parts += [self._behind(after)] if after else []
         parts += [~self._behind(until)] if until else []
         for part in parts:
             test = part if test is None else test & part
+        return test
+
+    def page(
+        self, columns: list[str], where: list, after: list | None, until: list | None, rows: int
+    ) -> pa.Table:
+        """The first ``rows`` rows behind ``after`` and not behind ``until`` that pass the filters."""
+        test = self._test(where, after, until)
         order = [(self.updated, "ascending"), (self.key, "ascending")]
         names = list(dict.fromkeys([*columns, self.updated, self.key]))
         best = None
@@ -117,6 +126,55 @@ class ParquetPages:
         empty = pa.schema([self.data.schema.field(n) for n in names]).empty_table()
         return empty if best is None else best
 
+    def groups(self) -> list[tuple[str, int, int]]:
+        """File, number and rows of every row group."""
+        pieces = [g for f in self.data.get_fragments() for g in f.split_by_row_group()]
+        return [(g.path, g.row_groups[0].id, g.row_groups[0].num_rows) for g in pieces]
+
+    def pages(
+        self, group: tuple[str, int, int], columns: list[str], where: list, after: list | None, until: list | None, rows: int
+    ) -> Iterator[pa.Table]:
+        """The row group's rows behind ``after`` and not behind ``until``, in order, ``rows`` a page.
+
+        A scan gives the first ``HELD_BYTES`` of them (one page at least); if there are more,
+        the next one goes on behind the last token. Rows of one token stay together. Without
+        ``until``, rows that lack the time or the key come first, in no order.
+        """
+        piece = self.data.format.make_fragment(group[0], filesystem=self.files, row_groups=[group[1]])
+        names = list(dict.fromkeys([*columns, self.updated, self.key]))
+        order = [(self.updated, "ascending"), (self.key, "ascending")]
+        placed = ds.field(self.updated).is_valid() & ds.field(self.key).is_valid()
+
+        def scan(test: ds.Expression, after: list | None) -> Iterator[pa.Table]:
+            asked = self._test(where, after, until)
+            test = test if asked is None else test & asked
+            batches = piece.scanner(schema=self.data.schema, columns=names, filter=test, batch_size=rows).to_batches()
+            return (pa.Table.from_batches([b]) for b in batches if b.num_rows)
+
+        if after is None and until is None:
+            yield from scan(~placed, None)
+        while True:
+            held, size, beyond = [], 0, None
+            for some in scan(placed, after):
+                held.append(some if beyond is None else some.filter(~beyond))
+                size += held[-1].nbytes
+                if size > 2 * HELD_BYTES:
+                    own = pa.concat_tables(held)
+                    most = max(rows, own.num_rows * HELD_BYTES // size)
+                    if most < own.num_rows:
+                        best = pc.select_k_unstable(own, most, order)
+                        beyond = self._behind(self.token(own, best[most - 1].as_py()))
+                        own = own.filter(~beyond)
+                    held, size = [own], own.nbytes
+            if not held:
+                return
+            best = pa.concat_tables(held).sort_by(order)
+            for at in range(0, best.num_rows, rows):
+                yield best.slice(at, rows)
+            if beyond is None:
+                return
+            after = self.token(best, best.num_rows - 1)
+
     def cuts(self, slices: int) -> list[list]:
         """Tokens that cut the table into about equal slices, from the files' statistics alone."""
         groups = []
@@ -152,11 +210,13 @@ class ParquetPages:
 
 class Slice(InputPartition):
     """Rows whose ``updated`` lies above ``low`` and not above ``high`` (None: open), or, for a
-    stream, between two tokens."""
+    stream, between two tokens; of a store that has row groups, those of some of them."""
 
-    def __init__(self, low=None, high=None, after: list | None = None, until: list | None = None) -> None:
+    def __init__(
+        self, low=None, high=None, after: list | None = None, until: list | None = None, groups: list | None = None
+    ) -> None:
         super().__init__(None)
-        self.low, self.high, self.after, self.until = low, high, after, until
+        self.low, self.high, self.after, self.until, self.groups = low, high, after, until, groups
 
 
 class _Pages:
@@ -167,9 +227,24 @@ class _Pages:
     def store(self):
         return _store(self.options)
 
+    def dealt(self, groups: list, after: list | None = None, until: list | None = None) -> list[Slice]:
+        """The row groups in slices of about as many rows, one slice at least."""
+        parts = [Slice(after=after, until=until, groups=[]) for _ in range(max(1, min(self.slices, len(groups))))]
+        sizes = [0] * len(parts)
+        for group in sorted(groups, key=lambda g: -g[2]):
+            least = sizes.index(min(sizes))
+            parts[least].groups.append(group)
+            sizes[least] += group[2]
+        return parts
+
     def pages(self, part: Slice) -> Iterator[pa.RecordBatch]:
         store, where, after = self.store(), list(self.where), part.after
         names = [f.name for f in self.schema]
+        if part.groups is not None:
+            for group in part.groups:
+                for page in store.pages(group, names, where, after, part.until, self.rows):
+                    yield from page.select(names).combine_chunks().to_batches()
+            return
         if part.low is not None:
             where.append((GreaterThan, store.updated, store.value(part.low)))
         if part.high is not None:
@@ -195,7 +270,10 @@ class IssueReader(_Pages, DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Slice]:
-        cuts = self.store().cuts(self.slices)
+        store = self.store()
+        if hasattr(store, "groups"):
+            return self.dealt(store.groups())
+        cuts = store.cuts(self.slices)
         return [Slice(low, high) for low, high in zip([None, *cuts], [*cuts, None], strict=True)]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
@@ -214,7 +292,10 @@ class IssueStreamReader(_Pages, DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         after, until = json.loads(start["token"]), json.loads(end["token"])
         self._seen = after
-        return [Slice(after=after, until=until)] if until and until != after else []
+        if not until or until == after:
+            return []
+        store = self.store()
+        return self.dealt(store.groups(), after, until) if hasattr(store, "groups") else [Slice(after=after, until=until)]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         return self.pages(partition)
@@ -225,7 +306,8 @@ class IssueStreamReader(_Pages, DataSourceStreamReader):
 
 class PagedIssues(DataSource):
     """Format ``paged_issues``. Options: path, updated, key, page_rows (10000), slices (16) and
-    ``store`` (``module:Class`` with the methods of :class:`ParquetPages`)."""
+    ``store`` (``module:Class`` with the methods of :class:`ParquetPages`; ``groups`` and ``pages`` if it
+    can read parts of itself)."""
 
     @classmethod
     def name(cls) -> str:
