@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import automaton
@@ -245,3 +246,30 @@ def test_lexicon_table_of_any_size(spark):
     rules = lexicon_table(spark, [("Pay", ["spins forever"]), ("Other", ["coupon"])])
     routed = with_components(parse_reports(reports), rules)
     assert {r.report_id: r.component_hint for r in routed.collect()} == {1: "Pay", 2: "bugs"}
+
+
+def test_component_searches_are_compiled(spark):
+    """On a staged corpus the searches are no lambda; the phrase may lie across text and title."""
+    rows = spark.createDataFrame([("a log", "Level"), ("none", None), (None, "cart"), ("x", "cart")], "text string, title string")
+    staged = rows.select("text", "title", x.component_corpus(F.col("text"), F.col("title")).alias("corpus"))
+    text, title = F.col("text"), F.col("title")
+    both = staged.select(x.component(text, title).alias("a"), x.component(text, title, corpus=F.col("corpus")).alias("b"))
+    got = both.collect()
+    assert [r.a for r in got] == [r.b for r in got] and [r.b for r in got][0] == got[3].b == "Backend"
+    plan = staged.select(x.component(text, title, corpus=F.col("corpus")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029", "\n\r", "\r\n\n"])
+def test_every_line_end(spark, end):
+    """Lines are split at one plain character after the other ends are made into it."""
+    df = spark.createDataFrame([(f"{end}a{end}b\nc{end}",), ("",), (None,)], "s string")
+    old = F.split("s", r"\r\n|[\n\r\x0b\x0c\u0085\u2028\u2029]", -1)
+    assert all(r.a == r.b for r in df.select(t.lines(F.col("s")).alias("a"), old.alias("b")).collect())
+
+
+def test_version_of_any_digits(spark):
+    texts = ["on V1.2.3 now", "v١.٢.٣", "Version : 2.1", "App Version: v3.4", "version 5.6", "v1.2", None]
+    df = spark.createDataFrame([(s,) for s in texts], "s string")
+    got = [r[0] for r in df.select(x.version(F.col("s"))).collect()]
+    assert got == ["1.2.3", "١.٢.٣", None, "3.4", "5.6", None, None]
