@@ -53,7 +53,7 @@ HELD_BYTES = 64 << 20
 
 
 class ParquetPages:
-    """Pages of Parquet files in the order of ``updated`` and ``key``.
+    """Pages of Parquet files in the order of ``updated`` (rows without it are left out) and ``key``.
 
     :meth:`page` reads the row groups whose statistics reach behind its token, and holds at
     most two pages of rows while it looks for the first ones. :meth:`pages` goes through one
@@ -137,13 +137,13 @@ class ParquetPages:
         """The row group's rows behind ``after`` and not behind ``until``, in order, ``rows`` a page.
 
         A scan gives the first ``HELD_BYTES`` of them (one page at least); if there are more,
-        the next one goes on behind the last token. Rows of one token stay together. Without
-        ``until``, rows that lack the time or the key come first, in no order.
+        the next one goes on behind the last token. Rows of one token stay together. Rows without
+        a time are left out; those without a key come first, in no order, if there is no ``until``.
         """
         piece = self.data.format.make_fragment(group[0], filesystem=self.files, row_groups=[group[1]])
         names = list(dict.fromkeys([*columns, self.updated, self.key]))
         order = [(self.updated, "ascending"), (self.key, "ascending")]
-        placed = ds.field(self.updated).is_valid() & ds.field(self.key).is_valid()
+        timed, keyed = ds.field(self.updated).is_valid(), ds.field(self.key).is_valid()
 
         def scan(test: ds.Expression, after: list | None) -> Iterator[pa.Table]:
             asked = self._test(where, after, until)
@@ -152,10 +152,10 @@ class ParquetPages:
             return (pa.Table.from_batches([b]) for b in batches if b.num_rows)
 
         if after is None and until is None:
-            yield from scan(~placed, None)
+            yield from scan(timed & ~keyed, None)
         while True:
             held, size, beyond = [], 0, None
-            for some in scan(placed, after):
+            for some in scan(timed & keyed, after):
                 held.append(some if beyond is None else some.filter(~beyond))
                 size += held[-1].nbytes
                 if size > 2 * HELD_BYTES:
