@@ -7,10 +7,14 @@ postings from the rarest gram on, fetches the candidates and tests them as the s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faultline.functions import text as t
 from faultline.session import materialise
 
 #: Postings intersected at most; further grams of a long query rule out little more.
@@ -19,14 +23,42 @@ GRAMS = 6
 LISTED = 2000
 
 
-def grams_of(text: Column) -> Column:
-    """Trigrams of the lower-case text, one by one; none of a shorter or null one."""
-    def runs(letters: Column) -> Column:
-        firsts = F.slice(letters, F.lit(1), F.greatest(F.size(letters) - 2, F.lit(0)))
-        return F.transform(firsts, lambda x, i: F.concat(x, F.get(letters, i + 1), F.get(letters, i + 2)))
+#: Characters whose grams are worked out at a time.
+SLICE_CHARS = 1 << 20
+
+
+def grams_of(docs: DataFrame, text: str) -> DataFrame:
+    """``id, gram``: the trigrams of the lower-case text, each once a row; none of a shorter or null one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, rows, size = [], [], 0
+            for row, value in enumerate(batch.column("low")):
+                # a character is one number; three of them make one of 63 bits
+                own.append(np.frombuffer(value.as_py().encode("utf-32-le"), "<u4").astype(np.uint64))
+                rows.append(row)
+                size += len(own[-1])
+                if size >= SLICE_CHARS or row == batch.num_rows - 1:
+                    yield _grams(batch.column("id"), own, rows)
+                    own, rows, size = [], [], 0
 
-    # split once: a substring by its number looks for its start from the front
-    return t.let(F.split(F.lower(text), ""), runs)
+    kind = docs.schema["id"]
+    schema = T.StructType([T.StructField("id", kind.dataType), T.StructField("gram", T.StringType())])
+    low = docs.select("id", F.lower(text).alias("low")).where("length(low) >= 3")
+    return low.mapInArrow(cut, schema)
+
+
+def _grams(ids: pa.Array, texts: list[np.ndarray], rows: list[int]) -> pa.RecordBatch:
+    keys = [(x[:-2] << np.uint64(42)) | (x[1:-1] << np.uint64(21)) | x[2:] for x in texts]
+    names, code = np.unique(np.concatenate(keys), return_inverse=True)
+    row = np.repeat(np.asarray(rows), [len(k) for k in keys])
+    both = np.unique(row * len(names) + code)
+    low = np.uint64((1 << 21) - 1)
+    letters = np.stack([names >> np.uint64(42), (names >> np.uint64(21)) & low, names & low], axis=1).astype("<u4")
+    plain = letters.tobytes().decode("utf-32-le")
+    grams = pa.array([plain[k : k + 3] for k in range(0, len(plain), 3)], pa.string())
+    columns = [ids.take(pa.array(both // len(names))), grams.take(pa.array(both % len(names)))]
+    return pa.RecordBatch.from_arrays(columns, ["id", "gram"])
 
 
 def build_index(docs: DataFrame, text: str, path: str, rows_per_file: int = 200_000) -> None:
@@ -34,15 +66,16 @@ def build_index(docs: DataFrame, text: str, path: str, rows_per_file: int = 200_
 
     Null texts are kept and never found. Rows of one id are all found by it. Postings are
     dealt by ranges of gram and id, so a gram in every text lies in many files; repeats of a
-    gram in a text are combined by the task that has the text, before anything is shuffled.
+    gram in a text are combined by the task that has the text, before anything is shuffled, and
+    those of rows with one id where the ranges are sorted.
     """
     spark = docs.sparkSession
     docs.repartitionByRange("id").sortWithinPartitions("id").write.option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/texts")
     own = spark.read.parquet(f"{path}/texts")
-    # outer: an inner explode computes the grams a second time in the filter that Spark infers
-    grams = own.select("id", F.explode_outer(grams_of(F.col(text))).alias("gram")).where("length(gram) = 3").distinct()
-    postings = materialise(grams, "grams")
-    postings.select("gram", "id").repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{path}/postings")
+    grams = materialise(grams_of(own, text), "grams")
+    dealt = grams.repartitionByRange("gram", "id").distinct()
+    dealt.select("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
     counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
     counts.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/counts")
 

@@ -78,3 +78,13 @@ def test_empty_table(spark):
     path = fresh_path(spark, "trigrams")
     textindex.build_index(make(spark, []), "text", path)
     assert textindex.find_texts(spark, path, ["abc"]).collect() == []
+
+
+def test_grams_of_any_letters(spark, monkeypatch):
+    """Each trigram of a text once a row, of characters beyond 16 bits and nulls inside too."""
+    monkeypatch.setattr(textindex, "SLICE_CHARS", 4)
+    texts = ["abcabcABC", "a\x00\x00\x00b", "x😀y😀z", "é\néÉ\n", "ab", "", None, "𝒜bc" * 5]
+    docs = spark.createDataFrame([(k, s) for k, s in enumerate(texts)], "id BIGINT, text STRING")
+    got = sorted(map(tuple, textindex.grams_of(docs, "text").collect()))
+    low = ["" if s is None else s.lower() for s in texts]
+    assert got == sorted((k, g) for k, s in enumerate(low) for g in {s[i : i + 3] for i in range(len(s) - 2)})
