@@ -85,6 +85,21 @@ def test_index_is_exact(spark, parts, floor):
     assert index.count() <= parts and index.agg(F.sum(F.size("keys"))).first()[0] == len(docs)
 
 
+def test_queries_are_not_copied_for_each_part(spark):
+    """Parts are asked in rounds; no round sends a copy of a query to each part, and all rounds together are exact."""
+    rng = np.random.default_rng(8)
+    docs, width = sparse_rows(rng, 400, 60), 60
+    df = spark.createDataFrame(docs, "key BIGINT, idx ARRAY<INT>, w ARRAY<DOUBLE>")
+    m = np.zeros((len(docs), width))
+    for i, idx, w in docs:
+        m[i, idx] = w
+    found = postings.topk_index(df.withColumnRenamed("key", "query_id"), postings.build_index(df, parts=25), 2)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    ids = list(range(len(docs)))
+    assert result(found) == brute(ids, m, ids, m, 2, 1e-6, False)
+
+
 def test_bounds_leave_lists_early(spark):
     """A list is read only as far as its weights can still matter."""
     rows = [(k, [0, 1], [1.0 - k / 1000, 0.01]) for k in range(500)]
