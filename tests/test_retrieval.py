@@ -266,3 +266,47 @@ def test_few_scores_of_a_block_are_rounded(monkeypatch):
     monkeypatch.setattr(np, "round", lambda x, *a: sizes.append(np.size(x)) or done(x, *a))
     blockjoin._best(rng.normal(size=(100, 4096)), np.arange(100), np.arange(4096), 5, None, True)
     assert sum(sizes) < 100 * 64
+
+
+@pytest.mark.parametrize("floor,skip", [(None, False), (0.2, True)])
+def test_vectors_are_not_copied_for_each_block(spark, floor, skip):
+    """Queries meet the blocks as they were written; string keys, ties and repeated queries; exact over many blocks."""
+    rng = np.random.default_rng(14)
+    vectors = unit(rng.normal(size=(260, 5)).round(1) + 0.01)
+    ids = [f"k{i:03d}" for i in range(260)]
+    rows = [(i, [float(x) for x in v]) for i, v in zip(ids, vectors)]
+    df = spark.createDataFrame(rows, "key STRING, vec ARRAY<DOUBLE>")
+    cells = blockjoin.dense_cells(df, 4, pivots=5)
+    asked = df.withColumnRenamed("key", "query_id")
+    found = blockjoin.search_cells(cells, asked, 3, floor, skip, block_rows=8, chunk_rows=16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    assert result(found) == brute(ids, vectors, ids, vectors, 3, floor, skip)
+    twice = [tuple(r) for r in blockjoin.search_cells(cells, asked.unionAll(asked.limit(3)), 3, floor, skip).collect()]
+    assert len(twice) == found.count()
+
+
+def test_a_chunk_remembers_the_best_of_its_blocks(spark):
+    """No more than k rows of a query leave a task, however many blocks it has met."""
+    rng = np.random.default_rng(15)
+    vectors = unit(rng.normal(size=(4000, 6)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "key BIGINT, vec ARRAY<DOUBLE>").coalesce(2)
+    cells = blockjoin.dense_cells(df, 2, pivots=9)
+    queries = df.where("key < 200").withColumnRenamed("key", "query_id")
+    near = F.pandas_udf(lambda vec: vec.map(lambda v: 0).astype("int32"), "int")
+    every = lambda rows: (np.full((len(rows), 9), 9.0), [np.arange(9)] * len(rows))
+    rows = blockjoin._join_blocks(queries, cells, near, every, 2, None, False, 50, 64).collect()
+    best = {}
+    for r in rows:
+        best.setdefault(r.query_id, []).append((-r.similarity, r.key))
+    exact = np.round(vectors[:200] @ vectors.T, 6)
+    assert {q: sorted(b)[:2] for q, b in best.items()} == {
+        q: [(-exact[q, c], c) for c in np.lexsort((np.arange(4000), -exact[q]))[:2]] for q in range(200)
+    }
+    # 80 blocks and more; two rows for each partition of them
+    assert len(rows) <= 200 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_small_cells_share_a_chunk():
+    first, split = blockjoin._numbers([3, 4, 0, 2, 30, 5, 6], 10)
+    assert (first, split) == ([0, 0, 0, 0, 1, 4, 5], [1, 1, 1, 1, 3, 1, 1])
