@@ -23,6 +23,8 @@ from faultline.session import materialise
 #: Terms in a piece of a product: a piece is some 300 kB at a rank of 72.
 PIECE = 512
 FAN_IN = 32
+#: Entries multiplied at a time, of one order and of the other: their products stay in a core's cache.
+STEP, STEP_BACK = 1 << 11, 1 << 13
 
 
 @dataclass
@@ -46,9 +48,8 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _times(batch: pa.RecordBatch, basis: np.ndarray) -> np.ndarray:
     row, col, w = _rows(batch)
     out = np.zeros((batch.num_rows, basis.shape[1]))
-    step = 1 << 16  # entries multiplied at a time
-    for at in range(0, len(row), step):
-        part = slice(at, at + step)
+    for at in range(0, len(row), STEP):
+        part = slice(at, at + STEP)
         products = basis[col[part]] * w[part, None]
         own = row[part]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -83,8 +84,8 @@ def _products(rows: DataFrame, basis: np.ndarray, back: bool) -> np.ndarray:
             product = _times(batch, own)
             if back:
                 row, col, w = _rows(batch)
-                for at in range(0, len(row), 1 << 16):
-                    part = slice(at, at + (1 << 16))
+                for at in range(0, len(row), STEP_BACK):
+                    part = slice(at, at + STEP_BACK)
                     order = np.argsort(col[part], kind="stable")
                     c, r, x = col[part][order], row[part][order], w[part][order]
                     first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))

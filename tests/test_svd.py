@@ -1,6 +1,9 @@
 """The learned encoder against a dense decomposition, and against the hashed encoder."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +62,18 @@ def test_learned_meaning_beats_the_hash(spark, sf):
     found = svd.embed_svd(twice.unionByName(texts.limit(1).select(F.lit(-1).cast("bigint").alias("doc_id"), F.lit("").alias("text"))), svd.fit_svd_encoder(texts, rank=8, max_features=500))
     vecs = {r.doc_id: r.vec for r in found.collect()}
     assert vecs.pop(-1) is None and len({str(v) for v in vecs.values()}) == 1
+
+
+def test_products_of_a_batch_stay_small():
+    """Rows longer than a step are put together, and no more than some steps' products are held."""
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(9000, n, replace=False)).astype(np.int32) for n in [5000, 0, 1, 3000, *[400] * 100]]
+    weights = [rng.random(len(r)) for r in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["idx", "w"])
+    basis = rng.normal(size=(9000, 40))
+    tracemalloc.start()
+    found = svd._times(batch, basis)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.array([w @ basis[r] if len(r) else np.zeros(40) for r, w in zip(rows, weights)])
+    assert np.allclose(found, want, atol=1e-9) and peak < 6 << 20
